@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import media, mixing, pieces, token_counts
+from .common import Scratch
+
+#: Where the public tokenizers' files are: the same on the driver and on the executors.
+WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +28,34 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mix).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text stored as an image: sizes and digests of payload and file, tile and difference hash."""
+    media_rows = media.to_media(_table(spark, sf_dir, "documents"))
+    return media.media_features(media_rows).select(
+        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
+        F.col("dhash").alias("feature"), "width", "height", "channels", F.sha2("tile", 256).alias("tile_sha256"),
+    )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, by a digest cache that begins empty in a folder of the call's own."""
+    cache = Scratch(spark, "token-cache").root
+    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), cache, _tokenizer(WORD_BPE))
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded to pieces and decoded again: counts, digests and whether the text came back whole."""
+    docs, path = _table(spark, sf_dir, "documents"), _tokenizer(PIECE_BPE)
+    decoded = pieces.decode_pieces(pieces.encode_pieces(docs, path), path)
+    return decoded.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids_sha256", "text_sha256")
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_media": op3_media,
+    "op8_token_counts": op8_token_counts,
+    "op9_pieces": op9_pieces,
 }
 
 ORACLES = {
