@@ -65,4 +65,5 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, pieces, token_counts
+from . import media, mixing, near_dup, pieces, token_counts
 from .common import Scratch
 
 #: Where the public tokenizers' files are: the same on the driver and on the executors.
@@ -37,6 +37,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's component of near-duplicates on sets of 4-word shingles, and whether it is the one kept."""
+    near = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+    return near.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, by a digest cache that begins empty in a folder of the call's own."""
     cache = Scratch(spark, "token-cache").root
@@ -54,6 +60,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_media": op3_media,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
 }

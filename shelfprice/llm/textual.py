@@ -86,10 +86,10 @@ def shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
         if hi - lo >= size:
             out.append(np.unique(roll[lo : hi - size + 1]))
         elif hi > lo:
-            x = np.uint64(hi - lo)
-            for w in h[lo:hi]:
-                x = mix(np.array([x * _STEP[0] + w], np.uint64))[0]
-            out.append(np.array([x], np.uint64))
+            x = np.array([hi - lo], np.uint64)
+            for w in h[lo:hi, None]:
+                x = mix(x * _STEP[0] + w)
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
