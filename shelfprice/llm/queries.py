@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_dup, pieces, token_counts
+from . import media, mixing, near_dup, pieces, token_counts, vectors
 from .common import Scratch
 
 #: Where the public tokenizers' files are: the same on the driver and on the executors.
@@ -57,12 +57,19 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids_sha256", "text_sha256")
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each embedding at a cosine of 0.98 within its label."""
+    near = vectors.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return near.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_media": op3_media,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
+    "op10_near_vectors": op10_near_vectors,
 }
 
 ORACLES = {
