@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_dup, pieces, token_counts, vectors
+from . import media, mixing, near_dup, pieces, repeats, token_counts, toxicity, vectors
 from .common import Scratch
 
 #: Where the public tokenizers' files are: the same on the driver and on the executors.
@@ -22,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of each document, by a model fitted on the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), toxicity.is_held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of each document in the mix of all sources."""
     mix = mixing.mix_sources(_table(spark, sf_dir, "documents"))
@@ -37,6 +45,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that stand in other documents too, and the document that has them first."""
+    spans = repeats.repeated_spans(_table(spark, sf_dir, "documents"))
+    return spans.select(F.col("id").alias("doc_id"), "start", "end", "n_bytes", "n_chunks", F.col("first_id").alias("first_doc_id"), "repeat_bytes", "is_first")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's component of near-duplicates on sets of 4-word shingles, and whether it is the one kept."""
     near = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
@@ -64,8 +78,10 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op3_media": op3_media,
+    "op5_repeats": op5_repeats,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
