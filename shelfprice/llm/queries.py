@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_dup, pieces, repeats, token_counts, toxicity, vectors
+from . import licenses, media, mixing, near_dup, pieces, pii, repeats, token_counts, toxicity, vectors
 from .common import Scratch
 
 #: Where the public tokenizers' files are: the same on the driver and on the executors.
@@ -45,12 +45,25 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in each document."""
+    scanned = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return scanned.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents that stand in other documents too, and the document that has them first."""
     spans = repeats.repeated_spans(_table(spark, sf_dir, "documents"))
     return spans.select(F.col("id").alias("doc_id"), "start", "end", "n_bytes", "n_chunks", F.col("first_id").alias("first_doc_id"), "repeat_bytes", "is_first")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document: base patterns, and all spans with those of the skip-chain field."""
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit_pii(docs))
+    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's component of near-duplicates on sets of 4-word shingles, and whether it is the one kept."""
     near = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
@@ -81,7 +94,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op3_media": op3_media,
+    "op4_licenses": op4_licenses,
     "op5_repeats": op5_repeats,
+    "op6_pii": op6_pii,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
