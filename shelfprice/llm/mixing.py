@@ -192,3 +192,13 @@ def taken_words(mix: DataFrame) -> DataFrame:
     """One row per document of mix_sources' blocks: id, source, tag, copy, size, source_size, target, taken."""
     taken = F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("n_words"))), F.lit(0))
     return mix.groupBy("id", "source", "tag", "copy", "size", "source_size", "target").agg(taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, mix: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of docs as often as a mix of whole documents (block_words None) takes them, in the order of its shards."""
+    turns = mix.where(F.col("round").isNotNull()).groupBy("id", "tag").agg(F.collect_list(F.struct("shard", "slot")).alias("__turns"))
+    turns = turns.withColumnsRenamed({"id": "__id", "tag": "__taken"})
+    tagged = docs.withColumn("__tag", F.xxhash64(text_col)).dropDuplicates([id_col, "__tag"])
+    joined = tagged.join(turns, tagged[id_col].eqNullSafe(turns["__id"]) & (tagged["__tag"] == turns["__taken"]))
+    placed = joined.select(*docs.columns, F.explode("__turns").alias("__turn"))
+    return placed.repartition("__turn.shard").sortWithinPartitions("__turn.shard", "__turn.slot").select(*docs.columns)

@@ -83,11 +83,12 @@ def _sketches(rows: DataFrame, size: int, m: int, bands: int) -> DataFrame:
                         pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([k if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())),
                         pa.array([s.tobytes() if f else None for s, f in zip(signatures.astype(np.uint8), full, strict=True)], pa.binary()),
+                        batch.column("tag").slice(start, len(texts)),
                     ],
-                    ["id", "n_shingles", "key", "bands", "sig"],
+                    ["id", "n_shingles", "key", "bands", "sig", "tag"],
                 )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, key binary, bands array<long>, sig binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, key binary, bands array<long>, sig binary, tag long")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -211,7 +212,7 @@ def _families(scratch: Scratch, members: DataFrame, classes: DataFrame, rows: Da
 def near_duplicates(
     docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 5, percent: int = 80, m: int = 128, bands: int = 32, small: int = 48, block: int = 128,
 ) -> DataFrame:
-    """id, n_shingles, component_id, kept of each row.
+    """id, n_shingles, component_id, kept and tag (xxhash64 of the text) of each row.
 
     Words are parted by white space, A-Z lower-cased; a text with fewer than size words has them all as
     one shingle. Two texts are linked where 100 * shared >= percent * all shingles of the two;
@@ -228,7 +229,7 @@ def near_duplicates(
     share = percent / 100
     least = max(1, ceil(m * (share - 6 * (share * (1 - share) / m) ** 0.5)))
     rows = pick(docs, id=id_col, text=text_col)
-    sketches = scratch.keep(_sketches(rows, size, m, bands))
+    sketches = scratch.keep(_sketches(rows.withColumn("tag", F.xxhash64("text")), size, m, bands))
     classes = scratch.keep(
         sketches.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
@@ -259,5 +260,13 @@ def near_duplicates(
     lowest = grouped.groupBy("root").agg(F.min("first_id").alias("component"))
     grouped = grouped.join(lowest, "root").select("key", "component")
     least_ids = classes.select("key", "first_id").join(grouped, "key", "left").select("key", F.coalesce("component", "first_id").alias("component"))
-    out = sketches.select("id", "n_shingles", "key").join(least_ids, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")))
-    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = sketches.select("id", "n_shingles", "key", "tag").join(least_ids, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")))
+    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "tag")
+
+
+def keep_one_each(docs: DataFrame, near: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of docs that near_duplicates keeps, once each where rows are equal in id and text; all columns as they are."""
+    kept = near.where("kept").select(F.col("id").alias("__id"), F.col("tag").alias("__kept")).distinct()
+    tagged = docs.withColumn("__tag", F.xxhash64(text_col))
+    same = tagged[id_col].eqNullSafe(kept["__id"]) & (tagged["__tag"] == kept["__kept"])
+    return tagged.join(kept, same, "left_semi").dropDuplicates([id_col, "__tag"]).select(*docs.columns)

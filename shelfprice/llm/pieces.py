@@ -258,10 +258,10 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
                     [
                         part.column("id"), part.column("n_bytes"), pa.array(map(len, ids), pa.int64()),
                         pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array(texts, pa.string()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
+                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]), lists,
                     ],
-                    ["id", "n_bytes", "n_tokens", "ids_sha256", "text", "text_sha256"],
+                    ["id", "n_bytes", "n_tokens", "ids_sha256", "text", "text_sha256", "ids"],
                 )
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "n_bytes", "ids").mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, ids_sha256 string, text string, text_sha256 string")
+    return encoded.select("id", "n_bytes", "ids").mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, ids_sha256 string, text string, text_sha256 string, ids array<int>")

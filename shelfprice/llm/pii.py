@@ -281,6 +281,36 @@ def _by_four(rows: list) -> Iterator[list[bytes]]:
         yield [bytes(r["data"]) for r in rows[i : i + 4]]
 
 
+def masked(text: str | None, spans: list[Span]) -> str | None:
+    """The text with each span as its kind in brackets; of spans that overlap the first is named."""
+    if not spans:
+        return text
+    out, last = [], 0
+    for a, b, k in spans:
+        if a >= last:
+            out += [text[last:a], f"[{KINDS[k].upper()}]"]
+        last = max(last, b)
+    return "".join([*out, text[last:]])
+
+
+def mask_pii(docs: DataFrame, model: SkipChain, *, text_col="text") -> DataFrame:
+    """The rows of docs, all columns as they are, but personal data in the text masked."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = part.column(at).to_pylist()
+                found = find_spans([t or "" for t in texts], model)
+                new = pa.array([masked(t, e) for t, (_, e) in zip(texts, found, strict=True)], batch.schema.field(at).type)
+                columns = list(part.columns)
+                columns[at] = new
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def find_pii(docs: DataFrame, model: SkipChain, *, id_col="doc_id", text_col="text") -> DataFrame:
     """id, the number of base spans of each kind, base and all spans (kind:start:end) and the text with all masked.
 
@@ -290,16 +320,6 @@ def find_pii(docs: DataFrame, model: SkipChain, *, id_col="doc_id", text_col="te
     """
     counts = [f"n_{k}" for k in BASE]
 
-    def masked(text: str | None, spans: list[Span]) -> str | None:
-        if not spans:
-            return text
-        out, last = [], 0
-        for a, b, k in spans:
-            if a >= last:
-                out += [text[last:a], f"[{KINDS[k].upper()}]"]
-            last = max(last, b)
-        return "".join([*out, text[last:]])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -12,7 +12,7 @@ from .common import Scratch
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -73,13 +73,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, by a digest cache that begins empty in a folder of the call's own."""
     cache = Scratch(spark, "token-cache").root
-    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), cache, _tokenizer(WORD_BPE))
+    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), cache, tokenizer_path(WORD_BPE))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document encoded to pieces and decoded again: counts, digests and whether the text came back whole."""
-    docs, path = _table(spark, sf_dir, "documents"), _tokenizer(PIECE_BPE)
+    docs, path = _table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE)
     decoded = pieces.decode_pieces(pieces.encode_pieces(docs, path), path)
     return decoded.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids_sha256", "text_sha256")
 

@@ -275,3 +275,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col="doc_id", te
     rows like any other; an empty table gives an empty one; other columns are not read.
     """
     return _featured(pick(docs, id=id_col, text=text_col), model)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col="text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores below threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                low = model.scores(model.features(part.column(at).to_pylist())) < threshold
+                yield part.filter(pa.array(low, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
