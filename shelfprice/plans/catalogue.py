@@ -1,4 +1,529 @@
 """All queries of the price engine by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import dashboard as dash
+from ..operators import ingest, offers, reports, runs
+from ..operators.filters import OfferFilter, filter_offers
+from ..sources.star import AS_OF, STAR_SQL, Star, newest_per_day, star_views
+
+FIRST, LAST = "1995-01-01", AS_OF
+DAY = "1996-05-15"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_LISTING_SQL = STAR_SQL + """, listing as (
+  select s.*, p.brand, p.type, c.code as country, st.slug
+  from snapshot s join product p using (product_id) join store st using (store_id) left join country c on p.country_id = c.country_id
+  where captured_on between date '1995-01-01' and date '1996-06-30')
+"""
+_CURRENT_SQL = STAR_SQL + """, newest as (
+  select offer_id, price, promo, captured_on, lead(price) over w as previous_price, row_number() over w as rn
+  from snapshot window w as (partition by offer_id order by captured_on desc)),
+flavors as (select product_id, list_sort(list(distinct flavor)) as flavors from product_flavor group by product_id),
+cur as (
+  select offer_id, o.product_id, o.store_id, slug, store_name, p.name, brand, type, c.code as country, age, volume_ml, coalesce(flavors, []) as flavors,
+    price, previous_price, promo, captured_on, first_seen, last_seen, in_stock
+  from newest n join offer o using (offer_id) join product p on p.product_id = o.product_id join store st on st.store_id = o.store_id
+    left join country c on c.country_id = p.country_id left join flavors f on f.product_id = o.product_id where rn = 1),
+stocked as (select * from cur where in_stock)
+"""
+_DISCOUNT = "case when {r} > 0 and {p} < {r} then cast(floor(({r} - {p}) / {r} * 100 + 0.5) as int) end"
+
+
+def _query(name: str, sql: str | None = None):
+    """Registers a function of the star (or of the session and folder, where it asks for them)."""
+
+    def add(f):
+        QUERIES[name] = f if f.__code__.co_varnames[0] == "spark" else lambda spark, sf_dir: f(star_views(spark, sf_dir))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _current(star: Star) -> DataFrame:
+    return offers.current_offers(star)
+
+
+def _stocked(star: Star) -> DataFrame:
+    return _current(star).where("in_stock")
+
+
+def _listings(star: Star) -> DataFrame:
+    return dash.within(dash.listings(star), FIRST, LAST)
+
+
+_FLAT = ["offer_id", "product_id", "slug", "price", "previous_price", "captured_on"]
+
+
+# Current offers and prices over time
+
+@_query("current_offers", _CURRENT_SQL + "select * replace (array_to_string(flavors, ',') as flavors) from cur")
+def _(star):
+    return _current(star).withColumn("flavors", F.concat_ws(",", "flavors"))
+
+
+@_query("latest_date", STAR_SQL + "select max(captured_on) as latest_date from snapshot")
+def _(star):
+    return offers.latest_date(star.snapshot)
+
+
+@_query("price_extremes", STAR_SQL + "select offer_id, min(price) as min_price, max(price) as max_price from snapshot where captured_on >= date '1995-07-01' group by offer_id")
+def _(star):
+    return offers.price_extremes(star.snapshot, F.lit("1995-07-01").cast("date"))
+
+
+_SINCE_SQL = """, now as (select offer_id, arg_max(price, captured_on) as now from snapshot group by offer_id),
+higher as (select offer_id, max(captured_on) as higher_on from snapshot join now using (offer_id) where price > now group by offer_id),
+since as (
+  select s.offer_id, min(captured_on) as since from snapshot s left join higher h using (offer_id)
+  where higher_on is null or captured_on > higher_on group by s.offer_id)
+"""
+
+
+@_query("price_since", STAR_SQL + _SINCE_SQL + "select * from since")
+def _(star):
+    return offers.price_since(star.snapshot)
+
+
+@_query("price_history", STAR_SQL + """, tail as (select *, row_number() over (partition by offer_id order by captured_on desc) as back from snapshot)
+select offer_id, row_number() over (partition by offer_id order by captured_on)::int as point, captured_on, price from tail where back <= 60""")
+def _(star):
+    return offers.price_history(star.snapshot)
+
+
+@_query("resolve_offer", STAR_SQL + "select offer_id, product_id, store_id from offer where product_id = 7 order by in_stock desc, last_seen desc, offer_id limit 1")
+def _(star):
+    return offers.resolve_offer(star.offer, "7")
+
+
+@_query("resolve_term", _CURRENT_SQL + "select offer_id, name, in_stock, last_seen from cur where name ilike '%red%' order by in_stock desc, last_seen desc, offer_id limit 1")
+def _(star):
+    return offers.resolve_term(_current(star), "RED")
+
+
+# Dashboard
+
+@_query("dash_bounds", STAR_SQL + "select min(captured_on) as first_day, max(captured_on) as last_day, count(distinct captured_on) as days from snapshot")
+def _(star):
+    return dash.bounds(star.snapshot)
+
+
+@_query("dash_coverage", STAR_SQL + """, o as (select store_id, count(*) as listings, count(*) filter (where in_stock) as in_stock from offer group by store_id),
+s as (select store_id, min(captured_on) as first_day, max(captured_on) as last_day from snapshot group by store_id)
+select slug, coalesce(listings, 0) as listings, coalesce(in_stock, 0) as in_stock, first_day, last_day from store left join o using (store_id) left join s using (store_id)""")
+def _(star):
+    return dash.coverage(star)
+
+
+_METRICS = """count(*) as in_stock, count(distinct product_id) as products, count(distinct brand) as brands, count(distinct store_id) as stores,
+  count(*) filter (where promo) as promo, round(quantile_cont(price::double, 0.25), 4) as p25, round(quantile_cont(price::double, 0.5), 4) as median,
+  round(quantile_cont(price::double, 0.75), 4) as p75"""
+
+
+@_query("dash_daily", _LISTING_SQL + f"select captured_on, {_METRICS} from listing group by captured_on")
+def _(star):
+    return dash.daily(_listings(star))
+
+
+@_query("dash_daily_store", _LISTING_SQL + f"select captured_on, slug, {_METRICS} from listing group by captured_on, slug")
+def _(star):
+    return dash.daily(_listings(star), "slug")
+
+
+@_query("dash_daily_country", _LISTING_SQL + f"select captured_on, coalesce(country, 'unknown') as country, {_METRICS} from listing group by 1, 2")
+def _(star):
+    return dash.daily(_listings(star), "country")
+
+
+_EDGE_SQL = "(select min(captured_on) from listing union select max(captured_on) from listing)"
+
+
+@_query("dash_boundary", _LISTING_SQL + f"select captured_on, {_METRICS} from listing where captured_on in {_EDGE_SQL} group by captured_on")
+def _(star):
+    return dash.boundary(_listings(star))
+
+
+@_query("brk_totals", _LISTING_SQL + f"select count(*) as listings, count(distinct product_id) as products from listing where captured_on = date '{DAY}'")
+def _(star):
+    return dash.totals(dash.within(dash.listings(star), DAY, DAY))
+
+
+def _brk_sql(by: str, source: str = "listing") -> str:
+    return f"select coalesce({by}, 'unknown') as key, count(*) as listings, count(distinct product_id) as products, round(quantile_cont(price::double, 0.5), 4) as median from {source} group by 1"
+
+
+for _name, _column in (("type", "type"), ("country", "country"), ("store", "slug")):
+    _query(f"brk_{_name}", _LISTING_SQL + _brk_sql(_column))(lambda star, c=_column: dash.breakdown(_listings(star), c))
+
+
+@_query("brk_flavor", _LISTING_SQL + _brk_sql("flavor", "listing join product_flavor using (product_id)"))
+def _(star):
+    return dash.breakdown_flavors(_listings(star), star.product_flavor)
+
+
+_BUCKET = " + ".join(f"(price >= {e})::int" for e in dash.BUCKETS)
+
+
+@_query("brk_price_bucket", _LISTING_SQL + f"""select bucket, [null, {', '.join(map(str, dash.BUCKETS))}][bucket + 1] as low, [{', '.join(map(str, dash.BUCKETS))}, null][bucket + 1] as high,
+  count(*) as listings, count(distinct product_id) as products from (select *, {_BUCKET} as bucket from listing) group by bucket""")
+def _(star):
+    return dash.breakdown_prices(_listings(star))
+
+
+def _life_sql(by: str = "", source: str = "offer") -> str:
+    keys, on = (f"{by}, ", f"and x.{by} = k.{by}") if by else ("", "")
+    axis = f"(select distinct {by} from {source}) k, range(date '{FIRST}', date '1996-07-01', interval 1 day) d(day)" if by else f"(select 1) k, range(date '{FIRST}', date '1996-07-01', interval 1 day) d(day)"
+    return f"""select {'k.' + by + ',' if by else ''} d.day::date as day,
+  (select count(*) from {source} x where x.first_seen <= d.day::date {on}) as tracked,
+  (select count(*) from {source} x where x.first_seen = d.day::date {on}) as new,
+  (select count(*) from {source} x where x.last_seen = d.day::date and not x.in_stock {on}) as departed
+from {axis}"""
+
+
+_KEYED_SQL = """, keyed as (select o.*, slug, coalesce(code, 'unknown') as country from offer o join store using (store_id) join product using (product_id) left join country using (country_id))
+"""
+
+
+def _keyed(star: Star) -> DataFrame:
+    return star.offer.join(star.store, "store_id").join(star.product, "product_id").join(star.country, "country_id", "left").withColumn("country", F.coalesce("code", F.lit("unknown")))
+
+
+@_query("lifecycle_daily", STAR_SQL + _life_sql())
+def _(star):
+    return dash.lifecycle(star.offer, FIRST, LAST)
+
+
+@_query("lifecycle_store", STAR_SQL + _KEYED_SQL + _life_sql("slug", "keyed"))
+def _(star):
+    return dash.lifecycle(_keyed(star), FIRST, LAST, "slug")
+
+
+@_query("lifecycle_country", STAR_SQL + _KEYED_SQL + _life_sql("country", "keyed"))
+def _(star):
+    return dash.lifecycle(_keyed(star), FIRST, LAST, "country")
+
+
+def _series_sql(by: str = "") -> str:
+    k = f"{by}, " if by else ""
+    value = "coalesce(country, 'unknown') as country" if by == "country" else by
+    zeros = ", ".join(f"coalesce({c}, 0)::bigint as {c}" for c in dash.COUNTS)
+    return f""", d as (select {value + ',' if by else ''} captured_on as day, {_METRICS} from listing group by all), l as ({_life_sql(by, 'keyed')}),
+points as (select {k}day, {zeros}, greatest(0, coalesce(tracked, 0) - coalesce(in_stock, 0))::bigint as out_of_stock, p25, median, p75 from d full join l using ({k}day))
+"""
+
+
+def _series(star: Star, *by: str) -> DataFrame:
+    return dash.series(dash.daily(_listings(star), *by), dash.lifecycle(_keyed(star), FIRST, LAST, *by), *by)
+
+
+_query("dash_series", _LISTING_SQL + _KEYED_SQL + _series_sql() + "select * from points")(lambda star: _series(star))
+_query("dash_series_store", _LISTING_SQL + _KEYED_SQL + _series_sql("slug") + "select * from points")(lambda star: _series(star, "slug"))
+_query("dash_series_country", _LISTING_SQL + _KEYED_SQL + _series_sql("country") + "select * from points")(lambda star: _series(star, "country"))
+_LEVELS = ["in_stock", "products", "brands", "stores", "promo", "tracked", "out_of_stock", "p25", "median", "p75"]
+
+
+@_query("dash_weekly", _LISTING_SQL + _KEYED_SQL + _series_sql() + f"""select date_trunc('week', day)::date as week, {', '.join(f'arg_max_null({c}, day) as {c}' for c in _LEVELS)},
+  sum(new)::bigint as new, sum(departed)::bigint as departed from points group by 1""")
+def _(star):
+    return dash.weekly(_series(star))
+
+
+@_query("dash_summary", _LISTING_SQL + f""", edges as (select captured_on, {_METRICS} from listing where captured_on in {_EDGE_SQL} group by captured_on),
+facts as (
+  select *, greatest(0, tracked - in_stock) as out_of_stock, round(promo::double / in_stock, 6) as promo_share
+  from (select e.*, (select count(*) from offer o where o.first_seen <= e.captured_on) as tracked from edges e)),
+long as (unpivot (select captured_on, in_stock::double as in_stock, tracked::double as tracked, out_of_stock::double as out_of_stock, products::double as products, brands::double as brands,
+  stores::double as stores, median, promo_share from facts) on in_stock, tracked, out_of_stock, products, brands, stores, median, promo_share into name metric value value),
+paired as (select metric, arg_max(value, captured_on) as latest, arg_min(value, captured_on) as baseline from long group by metric)
+select metric, latest, baseline, round(latest - baseline, 6) as delta, case when baseline <> 0 then round((latest - baseline) / baseline * 100, 4) end as delta_pct from paired""")
+def _(star):
+    return dash.summary(_listings(star), star.offer)
+
+
+def _mover_sql(rises: bool) -> str:
+    sign, order = (">", "desc") if rises else ("<", "asc")
+    return STAR_SQL + f""", edges as (
+  select offer_id, store_id, min(captured_on) as first_day, max(captured_on) as last_day, arg_min(price, captured_on) as first_price, arg_max(price, captured_on) as last_price
+  from snapshot where captured_on between date '{FIRST}' and date '{LAST}' group by offer_id, store_id)
+select offer_id, store_id, first_day, last_day, first_price, last_price, round(last_price - first_price, 2) as change, round((last_price - first_price) / first_price * 100, 4) as change_pct
+from edges where first_day < last_day and first_price > 0 and last_price {sign} first_price order by change_pct {order}, offer_id limit 10"""
+
+
+_query("movers_drops", _mover_sql(False))(lambda star: dash.movers(dash.within(star.snapshot, FIRST, LAST), rises=False))
+_query("movers_rises", _mover_sql(True))(lambda star: dash.movers(dash.within(star.snapshot, FIRST, LAST), rises=True))
+
+
+# Reports
+
+_GROUP_SQL = """, ranked as (select *, row_number() over (partition by group_key order by price, store_name, offer_id) - 1 as offer_rank from enriched)
+select first_value(offer_id) over (partition by group_key order by offer_rank) as group_id, offer_rank::int as offer_rank, offer_id, product_id, slug, price, reference, discount, days from ranked"""
+
+
+def _enriched_sql(reference: str, source: str, days: str = "null::int", key: str = "product_id", where: str = "true") -> str:
+    return f", enriched as (select * from (select *, {_DISCOUNT.format(p='price', r='reference')} as discount from (select *, {reference} as reference, {days} as days, {key} as group_key from {source})) where {where})"
+
+
+_PREVIOUS = "case when previous_price > price then previous_price end"
+
+
+@_query("rep_catalog", _CURRENT_SQL + _enriched_sql(_PREVIOUS, "stocked") + _GROUP_SQL)
+def _(star):
+    return reports.flat(reports.catalog(_stocked(star)))
+
+
+@_query("rep_catalog_page", _CURRENT_SQL + """select arg_min(offer_id, (price, store_name, offer_id)) as group_id, any_value(name) as name, min(price) as price, count(*) as n_offers
+from stocked group by product_id order by lower(any_value(name)), min(price), group_id limit 50 offset 50""")
+def _(star):
+    shown = reports.page(reports.catalog(_stocked(star)), "catalog", number=2)
+    return shown.select("group_id", "name", "price", F.size("offers").cast("long").alias("n_offers"))
+
+
+_RECENT_SQL = """, cutoff as (select max(captured_on) - 365 as cutoff from stocked),
+extremes as (select offer_id, min(price) as min_price, max(price) as max_price from snapshot, cutoff where captured_on >= cutoff group by offer_id)
+"""
+
+
+@_query("rep_drops", _CURRENT_SQL + _SINCE_SQL + _RECENT_SQL + ", rows as (select s.*, max_price, since from stocked s left join extremes using (offer_id) left join since using (offer_id))"
+        + _enriched_sql("case when max_price > price then max_price end", "rows", f"date_diff('day', since, date '{AS_OF}')::int", where="discount is not null and discount >= 5") + _GROUP_SQL)
+def _(star):
+    return reports.flat(reports.drops(_stocked(star), star.snapshot, AS_OF, window="year", least=5))
+
+
+@_query("rep_low", _CURRENT_SQL + _RECENT_SQL + ", rows as (select s.* from stocked s join extremes using (offer_id) where price <= min_price + 1e-9)"
+        + _enriched_sql("previous_price", "rows", key="offer_id", where="discount is not null") + _GROUP_SQL)
+def _(star):
+    return reports.flat(reports.lows(_stocked(star), star.snapshot, window="year"))
+
+
+@_query("rep_new", _CURRENT_SQL + f", rows as (select * from stocked where first_seen >= date '{AS_OF}' - 6)" + _enriched_sql("null::double", "rows", f"date_diff('day', first_seen, date '{AS_OF}')::int") + _GROUP_SQL)
+def _(star):
+    return reports.flat(reports.new_listings(_stocked(star), AS_OF))
+
+
+@_query("rep_best", _CURRENT_SQL + """, placed as (select *, row_number() over w as place, lead(price) over w as next_price from stocked window w as (partition by product_id order by price, store_name, offer_id)),
+won as (select product_id from placed where place = 1 and price >= next_price * 0.5 and price >= 1000 and product_id in (select product_id from stocked group by 1 having count(distinct slug) >= 2)),
+rows as (select * from placed where product_id in (select product_id from won))""" + _enriched_sql(f"case when place = 1 then next_price else {_PREVIOUS} end", "rows") + _GROUP_SQL)
+def _(star):
+    return reports.flat(reports.best(_stocked(star), min_price=1000))
+
+
+@_query("rep_history", _CURRENT_SQL + """, one as (select offer_id from cur where name ilike '%red%' order by in_stock desc, last_seen desc, offer_id limit 1),
+tail as (select *, row_number() over (partition by offer_id order by captured_on desc) as back from snapshot join one using (offer_id))
+select offer_id, row_number() over (partition by offer_id order by captured_on)::int as point, captured_on, price from tail where back <= 60""")
+def _(star):
+    return offers.price_history(star.snapshot.join(offers.resolve_term(_current(star), "red").select("offer_id"), "offer_id"))
+
+
+@_query("fn_discount", _CURRENT_SQL + f"select offer_id, {_DISCOUNT.format(p='price', r='previous_price')} as discount from cur")
+def _(star):
+    return _current(star).select("offer_id", offers.discount_percent(F.col("price"), F.col("previous_price")).alias("discount"))
+
+
+# Filters
+
+def _flt(name: str, where: str, wanted: OfferFilter, **lists):
+    columns = ", ".join(_FLAT)
+    frames = lambda star: {k: f(star) for k, f in lists.items()}
+    _query(name, _CURRENT_SQL + f"select {columns} from cur where {where}")(lambda star: filter_offers(_current(star), wanted, **frames(star)).select(*_FLAT))
+
+
+_flt("flt_stores", "in_stock and slug in ('asia', 'europe')", OfferFilter(stores=["asia", "europe"]))
+_flt("flt_ranges", "in_stock and price between 1000 and 1500 and volume_ml between 500 and 900", OfferFilter(min_price=1000, max_price=1500, min_volume=500, max_volume=900))
+_flt("flt_countries", "in_stock and lower(country) in ('nation_3', 'nation_11')", OfferFilter(countries=["NATION_3", "Nation_11"]))
+_flt("flt_name", "in_stock and name ilike '%RED%'", OfferFilter(name="red"))
+_flt("flt_name_age", "in_stock and (name ilike '%red 12%' or (name ilike '%red%' and age = 12))", OfferFilter(name="red 12"))
+_flt("flt_types", "in_stock and (type in ('ECONOMY', 'PROMO') or type is null)", OfferFilter(types=["ECONOMY", "PROMO", "unknown"]))
+_flt("flt_unknown_type", "in_stock and type is null", OfferFilter(types=["unknown"]))
+_flt("flt_any_stock", "price >= 1800", OfferFilter(in_stock_only=False, min_price=1800))
+_flt("flt_flavors", "in_stock and product_id in (select product_id from product_flavor where flavor in ('red', 'ring')) and product_id not in (select product_id from product_flavor where flavor = 'bolt')",
+     OfferFilter(flavors=["red", "ring"], exclude_flavors=["bolt"]))
+_flt("flt_blacklists", "in_stock and product_id % 10 <> 0 and (brand is null or brand not in (select brand from product where product_id % 17 = 0 and brand is not null))", OfferFilter(),
+     blacklist_products=lambda s: s.product.where("product_id % 10 = 0"), blacklist_brands=lambda s: s.product.where("product_id % 17 = 0"))
+_flt("flt_favorites", "in_stock and product_id % 5 = 0", OfferFilter(favorites_only=True), favorites=lambda s: s.product.where("product_id % 5 = 0"))
+
+
+# Runs and lookups
+
+@_query("sync_activity", STAR_SQL + """select created_at::date as day, count(*) as runs, count(*) filter (where success) as succeeded, count(*) filter (where not success) as failed,
+  count(*) filter (where success is null) as running, coalesce(sum(added), 0)::bigint as added, coalesce(sum(removed), 0)::bigint as removed, coalesce(sum(updated), 0)::bigint as updated,
+  floor(round(avg(seconds * 1000), 4) + 0.5)::bigint as avg_ms, floor(max(seconds * 1000) + 0.5)::bigint as max_ms
+from run_log where created_at >= timestamp '2024-01-01' and created_at < timestamp '2024-02-01' group by 1""")
+def _(star):
+    return runs.activity(star.run_log, "2024-01-01", "2024-01-31")
+
+
+@_query("sync_last_success", STAR_SQL + "select store_id, max(created_at) as last_success from run_log where success group by store_id")
+def _(star):
+    return runs.last_success(star.run_log)
+
+
+@_query("sync_running", STAR_SQL + "select run_id, store_id, created_at from run_log where success is null")
+def _(star):
+    return runs.running(star.run_log)
+
+
+@_query("sync_recent", STAR_SQL + """select store_id, place::int as place, run_id, created_at, success
+from (select *, row_number() over (partition by store_id order by created_at desc, run_id desc) as place from run_log) where place <= 10""")
+def _(star):
+    return runs.recent(star.run_log)
+
+
+@_query("store_instock_count", STAR_SQL + "select store_id, count(*) as in_stock from offer where in_stock group by store_id")
+def _(star):
+    return star.offer.where("in_stock").groupBy("store_id").agg(F.count("*").alias("in_stock"))
+
+
+@_query("store_list", STAR_SQL + """, s as (select store_id, count(*) as in_stock from offer where in_stock group by store_id),
+r as (select store_id, max(created_at) as last_success from run_log where success group by store_id)
+select slug, store_name, coalesce(in_stock, 0) as in_stock, last_success from store left join s using (store_id) left join r using (store_id)""")
+def _(star):
+    return runs.store_list(star.store, star.offer, star.run_log)
+
+
+@_query("meta_countries", STAR_SQL + """select code, country_name from country where country_id in (select country_id from product where product_id in (select product_id from offer where in_stock))""")
+def _(star):
+    sold = star.product.join(star.offer.where("in_stock"), "product_id", "left_semi")
+    return star.country.join(sold, "country_id", "left_semi").select("code", "country_name")
+
+
+# Ingest
+
+_WRITES_SQL = """with w as (
+  select concat(cast(l_partkey as varchar), '-', cast(l_suppkey as varchar)) as offer_id, cast(l_shipdate as date) as captured_on, l_orderkey, l_linenumber, l_extendedprice, l_quantity
+  from lineitem)
+select offer_id, captured_on, l_extendedprice as price from (
+  select *, row_number() over (partition by offer_id, captured_on order by l_orderkey desc, l_linenumber desc, l_extendedprice desc, l_quantity desc) as rn from w) where rn = 1"""
+
+
+@_query("dedup_daily", _WRITES_SQL)
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("offer_id"), F.col("l_shipdate").cast("date").alias("captured_on"),
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity",
+    )
+    newest = newest_per_day(rows, ["offer_id", "captured_on"], [F.desc(c) for c in ("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")])
+    return newest.select("offer_id", "captured_on", F.col("l_extendedprice").alias("price"))
+
+
+@_query("fill_missing", STAR_SQL + """, given as (select product_id, arg_min(slug, offer_id) as brand, arg_min(offer_id, offer_id) as type from offer join store using (store_id) group by product_id)
+select p.product_id, name, coalesce(p.brand, g.brand) as brand, coalesce(p.type, g.type) as type from product p left join given g using (product_id)""")
+def _(star):
+    given = star.offer.join(star.store, "store_id").select("product_id", "offer_id", F.col("slug").alias("brand"), F.col("offer_id").alias("type"))
+    return ingest.fill_missing(star.product.select("product_id", "name", "brand", "type"), given, ["brand", "type"], "offer_id")
+
+
+@_query("oos_sweep", STAR_SQL + f""", day as (select * from snapshot where captured_on between date '1996-06-01' and date '{AS_OF}')
+select store_id, offer_id as sku, case when store_id = 0 then in_stock when store_id < 3 then in_stock and offer_id in (select offer_id from day)
+  else in_stock and not (product_id % 10 = 0) end as in_stock from offer""")
+def _(star):
+    sku = F.col("offer_id").alias("sku")
+    stored = star.offer.select("store_id", sku, "in_stock")
+    seen = dash.within(star.snapshot, "1996-06-01", AS_OF).select("store_id", sku)
+    gone = star.offer.where("product_id % 10 = 0 and store_id >= 3").select("store_id", sku)
+    verdicts = star.store.where("store_id > 0").select("store_id", (F.col("store_id") < 3).alias("complete"))
+    return ingest.sweep(stored, seen, gone, verdicts)
+
+
+@_query("diff_snapshots", STAR_SQL + f""", a as (select offer_id as sku, max(price) as price, bool_or(promo) as promo from snapshot where captured_on < date '1995-07-01' group by 1),
+b as (select offer_id as sku, max(price) as price, bool_or(promo) as promo from snapshot where captured_on >= date '1995-07-01' group by 1)
+select count(*) filter (where a.sku is not null and b.sku is not null) as shared, count(*) filter (where b.sku is null) as only_left, count(*) filter (where a.sku is null) as only_right,
+  count(*) filter (where a.sku is not null and b.sku is not null and a.price is distinct from b.price) as differ_price,
+  count(*) filter (where a.sku is not null and b.sku is not null and a.promo is distinct from b.promo) as differ_promo from a full join b on a.sku = b.sku""")
+def _(star):
+    half = lambda test: star.snapshot.where(test).groupBy(F.col("offer_id").alias("sku")).agg(F.max("price").alias("price"), F.bool_or("promo").alias("promo"))
+    return ingest.diff_snapshots(half("captured_on < date '1995-07-01'"), half("captured_on >= date '1995-07-01'"), ["price", "promo"])
+
+
+@_query("null_census", STAR_SQL + """select slug, count(*) as n, count(*) filter (where brand is null) as null_brand, count(*) filter (where type is null) as null_type,
+  count(*) filter (where country_id is null) as null_country_id from offer join product using (product_id) join store using (store_id) group by slug""")
+def _(star):
+    return ingest.null_census(star.offer.join(star.product, "product_id").join(star.store, "store_id"), ["brand", "type", "country_id"], "slug")
+
+
+@_query("listing_verdict", STAR_SQL + """, l as (select store_id, captured_on, count(*) as received, case when day(captured_on) % 3 = 0 then null else 4 end as stated,
+  case when day(captured_on) % 7 = 0 then 'blocked' else 'exhausted' end as stop from snapshot group by store_id, captured_on)
+select *, case when stop <> 'exhausted' then 'incomplete' when stated is null then 'exhausted' when received < stated then 'short' else 'counted' end as verdict from l""")
+def _(star):
+    day = F.day("captured_on")
+    rows = star.snapshot.groupBy("store_id", "captured_on").agg(F.count("*").alias("received"))
+    return ingest.listing_verdict(rows.withColumns({"stated": F.when(day % 3 != 0, 4), "stop": F.when(day % 7 == 0, "blocked").otherwise("exhausted")}))
+
+
+@_query("enrich_candidates", STAR_SQL + "select product_id from product where brand is null or type is null or country_id is null or product_id % 50 = 0")
+def _(star):
+    never = F.col("product_id") % 50 == 0
+    rows = star.product.select(
+        "product_id", F.col("brand").alias("abv"), "volume_ml", "type", "country_id", F.when(~never, F.lit(1)).alias("classified_at"), F.lit(None).cast("int").alias("curated_at")
+    )
+    return ingest.needs_enrichment(rows).select("product_id")
+
+
+@_query("vote_spelling", STAR_SQL + """, n as (select type as key, name, count(*) as n from product where type is not null group by 1, 2),
+r as (select *, row_number() over (partition by key order by n desc, length(name) desc, name) as rn from n) select key, name, n as votes from r where rn = 1""")
+def _(star):
+    return ingest.vote_spelling(star.product.where("type is not null").select(F.col("type").alias("key"), "name"))
+
+
+@_query("curation_dupes", STAR_SQL + """select product_id, count(*) as n, string_agg(distinct slug, ', ' order by slug) as stores from offer join store using (store_id) group by product_id having count(*) > 1""")
+def _(star):
+    rows = star.offer.join(star.store, "store_id").groupBy("product_id").agg(F.count("*").alias("n"), F.concat_ws(", ", F.array_sort(F.collect_set("slug"))).alias("stores"))
+    return rows.where("n > 1")
+
+
+# Text functions
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@_query("fn_parse_price", r"""with f as (select doc_id, regexp_replace(nullif(regexp_extract(text, '[0-9][0-9\s\x{00A0}\x{2009}\x{202F}]*(?:[.,][0-9]{1,2})?', 0), ''), '[\s\x{00A0}\x{2009}\x{202F}]', '', 'g') as raw from documents)
+select doc_id, try_cast(case when contains(raw, ',') and not contains(raw, '.') then replace(raw, ',', '.') else replace(raw, ',', '') end as double) as price from f""")
+def _(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.parse_price(F.col("text")).alias("price"))
+
+
+def _any_sql(column: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({column}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+@_query("fn_type", "select doc_id, case " + " ".join(f"when {_any_sql('low', w)} then '{t}'" for t, w in text.vocab.TYPE_KEYWORDS.items())
+        + " end as type from (select doc_id, ' ' || lower(text) || ' ' as low from documents)")
+def _(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.product_type(F.col("text")).alias("type"))
+
+
+@_query("fn_country", "select doc_id, case " + " ".join(f"when {_any_sql('low', w)} then '{t}'" for t, w in text.vocab.COUNTRY_KEYWORDS.items()) + " end as country from (select doc_id, lower(text) as low from documents)")
+def _(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.country(F.col("text")).alias("country"))
+
+
+@_query("fn_tags", "select doc_id, concat_ws(',', " + ", ".join(f"case when {_any_sql('low', text.vocab.FLAVOR_KEYWORDS[t])} then '{t}' end" for t in sorted(text.vocab.FLAVOR_KEYWORDS)) + ") as tags from (select doc_id, lower(text) as low from documents)")
+def _(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.concat_ws(",", text.flavor_tags(F.col("text"))).alias("tags"))
+
+
+@_query("fn_specs")
+def _(star):
+    name = F.concat_ws(" ", F.col("name"), F.col("age").cast("string"), F.lit("y.o."), (F.col("volume_ml") / 1000).cast("string"), F.lit("л 40%"))
+    return star.product.select("product_id", text.volume_ml(name).alias("volume"), text.abv(name).alias("abv"), text.age_years(name).alias("age"))
+
+
+@_query("fn_brand", STAR_SQL + """select product_id, upper(brand[1]) || replace(lower(brand[2:]), '#', '#') as brand from product""")
+def _(star):
+    return star.product.select("product_id", text.brand(F.col("brand")).alias("brand"))
+
+
+@_query("fn_match_key", STAR_SQL + r"""select product_id, array_to_string(list_sort(list_distinct(list_concat(
+    list_filter(regexp_split_to_array(trim(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g')), ' '), lambda w: length(w) >= 2 and w not in ('box', 'set', 'the', 'of', 'and', 'single', 'malt', 'gift')),
+    list_filter([replace(trim(regexp_replace(lower(brand), '[^0-9a-z]+', ' ', 'g')), ' ', '')], lambda w: w is not null)))), '') || '|v' || volume_ml || '|a' || age as match_key from product""")
+def _(star):
+    return star.product.select("product_id", text.match_key(F.col("name"), F.col("brand"), F.col("volume_ml"), F.col("age")).alias("match_key"))
