@@ -89,7 +89,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source, quota) to (source, shard, first): the place in the source's order at which each shard's share begins.
 
     The tree has one array of quotas at each node, one level of nodes at a time; its leaves are shards.
-    Nodes share out evenly: a half gets half of its node's blocks, the odd one falling to the right.
+    Nodes share out evenly: the left half gets half of its node's blocks, rounded down.
     """
     depth = max(0, (shards - 1).bit_length())
     node = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "quota"))).alias("all")).select(
@@ -104,7 +104,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             step_on = lambda got: F.struct((state["size"] - x).alias("size"), (state["take"] - got).alias("take"), F.concat(state["out"], F.array(got)).alias("out"))
             return _let(_draw(state["size"], x, state["take"], u), step_on)
 
-        begin = F.struct(total.alias("size"), (total - (total + 1).cast("long") / 2).cast("long").alias("take"), F.array().cast("array<long>").alias("out"))
+        begin = F.struct(total.alias("size"), F.floor(total / 2).cast("long").alias("take"), F.array().cast("array<long>").alias("out"))
         node = node.withColumn("left", F.aggregate("q", begin, step)["out"])
         halves = F.array(
             F.struct(F.col("shard"), F.col("left").alias("q")),
