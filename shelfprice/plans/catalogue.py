@@ -11,6 +11,7 @@ from ..functions import text
 from ..operators import dashboard as dash
 from ..operators import ingest, offers, reports, runs
 from ..operators.filters import OfferFilter, filter_offers
+from ..sources import html
 from ..sources.star import AS_OF, STAR_SQL, Star, newest_per_day, star_views
 
 FIRST, LAST = "1995-01-01", AS_OF
@@ -479,7 +480,13 @@ def _(star):
     return rows.where("n > 1")
 
 
-# Text functions
+# Pages and text functions
+
+@_query("html_pages")
+def _(spark, sf_dir):
+    pages = html.page_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return pages.select("page_id", "title", "links", F.length("stripped").alias("n_stripped"), F.length("rich").alias("n_rich"), F.md5("rich").alias("rich_md5"), F.size("attributes").alias("n_attributes"))
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
