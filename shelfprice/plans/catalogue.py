@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import names, text
 from ..operators import dashboard as dash
 from ..operators import ingest, offers, reports, runs
 from ..operators.filters import OfferFilter, filter_offers
@@ -518,6 +518,18 @@ def _(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.concat_ws(",", text.flavor_tags(F.col("text"))).alias("tags"))
 
 
+def _titles(star: Star) -> DataFrame:
+    """Titles as stores write them: category, name, age, strength, volume and packaging."""
+    words = (F.lit("Віскі"), F.initcap("name"), F.col("age").cast("string"), F.lit("років 40%"), (F.col("volume_ml") / 1000).cast("string"), F.lit("л, в коробці"))
+    return star.product.select("product_id", F.initcap("name").alias("name"), F.concat_ws(" ", *words).alias("title"))
+
+
+@_query("fn_clean_name", STAR_SQL + "select product_id, upper(name[1]) || lower(split_part(name, ' ', 1)[2:]) || ' ' || upper(split_part(name, ' ', 2)[1]) || lower(split_part(name, ' ', 2)[2:]) as clean from product")
+def _(star):
+    titles = _titles(star)
+    return titles.join(names.cleaned_names(titles, "title"), F.col("title") == F.col("raw")).select("product_id", "clean")
+
+
 @_query("fn_specs")
 def _(star):
     name = F.concat_ws(" ", F.col("name"), F.col("age").cast("string"), F.lit("y.o."), (F.col("volume_ml") / 1000).cast("string"), F.lit("л 40%"))
