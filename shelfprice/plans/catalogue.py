@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..operators import dashboard as dash
-from ..operators import ingest, offers, reports, runs
+from ..operators import curation, ingest, offers, reports, runs
 from ..operators.filters import OfferFilter, filter_offers
 from ..sources import html
 from ..sources.star import AS_OF, STAR_SQL, Star, newest_per_day, star_views
@@ -480,6 +480,33 @@ def _(star):
     return rows.where("n > 1")
 
 
+_CANDIDATE_SQL = """, titled as (select o.*, name || ' ' || slug as name_orig from offer o join product using (product_id) join store using (store_id))
+"""
+
+
+def _titled(star: Star) -> DataFrame:
+    return star.offer.join(star.product.select("product_id", "name"), "product_id").join(star.store, "store_id").withColumn("name_orig", F.concat_ws(" ", "name", "slug"))
+
+
+@_query("flavor_candidates", STAR_SQL + _CANDIDATE_SQL + """select product_id, name_orig from (
+  select *, row_number() over (partition by product_id order by length(name_orig) desc, last_seen desc, offer_id desc) as rn from titled where product_id % 3 = 0) where rn = 1""")
+def _(star):
+    never = F.when(F.col("product_id") % 3 != 0, F.lit(1))
+    return curation.flavor_candidates(star.product.select("product_id", never.alias("classified_at"), F.lit(None).cast("int").alias("curated_at")), _titled(star))
+
+
+@_query("name_candidates", STAR_SQL + _CANDIDATE_SQL + """, r as (select product_id, name_orig from (select *, row_number() over (partition by product_id order by last_seen desc, offer_id desc) as rn from titled) where rn = 1)
+select p.product_id, r.name_orig, r.name_orig is not null as carried from product p left join r using (product_id)""")
+def _(star):
+    return curation.name_candidates(star.product.select("product_id"), _titled(star))
+
+
+@_query("fn_brand_from_name", STAR_SQL + "select product_id, case when name like 'red%' then 'Red' when name like 'blue bolt%' then 'Blue Bolt' end as found_brand from product")
+def _(star):
+    brands = star.product.sparkSession.createDataFrame([("Red",), ("Blue Bolt",), ("blue bolt",), ("Bol",)], "name string")
+    return curation.brand_from_name(star.product.select("product_id", "name"), curation.brand_index(brands)).select("product_id", "found_brand")
+
+
 # Pages and text functions
 
 @_query("html_pages")
