@@ -38,9 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens and ids of each document of the mix, and digests of the ids and of the text decoded from them."""
-    path = tokenizer_path(PIECE_BPE)
-    decoded = pieces.decode_pieces(pieces.encode_pieces(docs, path), path)
-    return decoded.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids", "ids_sha256", "text_sha256")
+    return pieces.round_trip(docs, tokenizer_path(PIECE_BPE)).select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids", "ids_sha256", "text_sha256")
 
 
 STAGES = [

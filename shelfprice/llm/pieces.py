@@ -25,7 +25,8 @@ from .common import pick
 from .textual import mix
 
 BLANK = "▁"
-MEMO_WORDS = 500_000
+#: Words and pairs of pieces that a worker remembers; past that it forgets them all and begins again.
+MEMO_WORDS, MEMO_PAIRS = 200_000, 500_000
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _NONE = np.iinfo(np.int32).min
 _loaded: dict[str, Pieces] = {}
@@ -121,6 +122,8 @@ class Pieces:
         key = ((before.astype(np.int64) + (1 << 31)) << 32) | (token.astype(np.int64) + (1 << 31))
         slot = (mix(key.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
         lost = np.flatnonzero(self.slots[slot] != key)
+        if len(self.agreed) > MEMO_PAIRS:
+            self.agreed.clear()
         for k in np.unique(key[lost]).tolist():
             ok = self.agreed.get(k)
             if ok is None:
@@ -219,6 +222,34 @@ def _with_blanks(parts: list[str]) -> list[str]:
     return out
 
 
+def _encoded(part: pa.RecordBatch, model: Pieces) -> tuple[list[np.ndarray], list[pa.Array]]:
+    """The ids of each text, and the columns id, n_bytes, ids."""
+    texts = [t or "" for t in part.column("text").to_pylist()]
+    ids = [np.frombuffer(x, np.int32) for x in model.encode(texts)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+    return ids, [part.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), lists]
+
+
+def _decoded(ids: list[np.ndarray], model: Pieces) -> list[pa.Array]:
+    """The columns n_tokens, ids_sha256, text, text_sha256."""
+    texts = [model.decode(x) for x in ids]
+    return [
+        pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+        pa.array(texts, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+    ]
+
+
+_ENCODED, _DECODED = ["id", "n_bytes", "ids"], ["n_tokens", "ids_sha256", "text", "text_sha256"]
+_DECODED_DDL = "n_tokens long, ids_sha256 string, text string, text_sha256 string"
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encode_pieces(docs: DataFrame, model_path: str, *, id_col="doc_id", text_col="text") -> DataFrame:
     """id, n_bytes, ids (array<int>) of each whole text (null: empty, no ids).
 
@@ -228,40 +259,34 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col="doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.load(model_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = model.encode(texts)
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "n_bytes", "ids"]
-                )
+        for part in _in_parts(batches):
+            yield pa.RecordBatch.from_arrays(_encoded(part, model)[1], _ENCODED)
 
     rows = pick(docs, id=id_col, text=text_col)
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
-    """encode_pieces' rows with the digest of the ids, the text decoded from them and its digest."""
+    """encode_pieces' rows with their number, the digest of the ids, the text decoded from them and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.load(model_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                lists = part.column("ids")
-                ids = [np.asarray(x.values, np.int32) for x in lists]
-                texts = [model.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"), part.column("n_bytes"), pa.array(map(len, ids), pa.int64()),
-                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array(texts, pa.string()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]), lists,
-                    ],
-                    ["id", "n_bytes", "n_tokens", "ids_sha256", "text", "text_sha256", "ids"],
-                )
+        for part in _in_parts(batches):
+            ids = [np.asarray(x.values, np.int32) for x in part.column("ids")]
+            yield pa.RecordBatch.from_arrays([*part.columns, *_decoded(ids, model)], [*_ENCODED, *_DECODED])
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "n_bytes", "ids").mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, ids_sha256 string, text string, text_sha256 string, ids array<int>")
+    return encoded.select(*_ENCODED).mapInArrow(run, f"id {kind}, n_bytes long, ids array<int>, {_DECODED_DDL}")
+
+
+def round_trip(docs: DataFrame, model_path: str, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """decode_pieces of encode_pieces in one pass, so that each task has one worker and one vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Pieces.load(model_path)
+        for part in _in_parts(batches):
+            ids, columns = _encoded(part, model)
+            yield pa.RecordBatch.from_arrays([*columns, *_decoded(ids, model)], [*_ENCODED, *_DECODED])
+
+    rows = pick(docs, id=id_col, text=text_col)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, ids array<int>, {_DECODED_DDL}")

@@ -79,9 +79,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document encoded to pieces and decoded again: counts, digests and whether the text came back whole."""
-    docs, path = _table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE)
-    decoded = pieces.decode_pieces(pieces.encode_pieces(docs, path), path)
-    return decoded.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids_sha256", "text_sha256")
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE)).select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids_sha256", "text_sha256")
 
 
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,9 @@ def test_pieces(odd, nothing):
     decoded = pieces.decode_pieces(pieces.encode_pieces(odd, PIECE), PIECE).collect()
     assert Counter((r["id"], tuple(r["ids"])) for r in decoded) == Counter((i, tuple(library.encode(t or ""))) for i, t, _ in odd_texts())
     assert Counter((r["id"], r["text"]) for r in decoded) == Counter((i, t or "") for i, t, _ in odd_texts())
-    assert pieces.decode_pieces(pieces.encode_pieces(nothing, PIECE), PIECE).count() == 0
+    once = pieces.round_trip(odd, PIECE).select("id", "ids_sha256", "text_sha256", "n_tokens", "n_bytes").collect()
+    assert counted(once) == Counter((r["id"], r["ids_sha256"], r["text_sha256"], r["n_tokens"], r["n_bytes"]) for r in decoded)
+    assert pieces.round_trip(nothing, PIECE).count() == pieces.decode_pieces(pieces.encode_pieces(nothing, PIECE), PIECE).count() == 0
 
 
 def test_unigram_viterbi_is_the_best_path():
