@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, lean, pick
 from .textual import ALNUM, chunks, spans, word_hashes
 
 #: Phrases of the base scan and their labels.
@@ -91,7 +91,7 @@ def _word_counts(rows: DataFrame, vocabulary: Vocabulary) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["rank", "n"])
 
     words = {i: w for w, i in vocabulary.rank.items()}
-    return {words[r["rank"]]: r["n"] for r in rows.select("text").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()}
+    return {words[r["rank"]]: r["n"] for r in rows.select("text").mapInArrow(lean(run), "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()}
 
 
 def _scan(rows: DataFrame, vocabulary: Vocabulary, phrases, window: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _scan(rows: DataFrame, vocabulary: Vocabulary, phrases, window: int) -> Data
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<array<int>>")
+    return rows.mapInArrow(lean(run), f"id {kind}, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<array<int>>")
 
 
 def scan_licenses(docs: DataFrame, *, id_col="doc_id", text_col="text", phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.8, window: int = 64) -> DataFrame:

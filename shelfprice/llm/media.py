@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import lean, pick
 
 BLOCK = 576
 WIDTH = 24
@@ -136,7 +136,7 @@ def to_media(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
     rows = pick(docs, id=id_col, text=text_col)
-    return rows.mapInArrow(store, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
+    return rows.mapInArrow(lean(store), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame, *, tile: int = 16) -> DataFrame:
@@ -166,4 +166,4 @@ def media_features(media: DataFrame, *, tile: int = 16) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = media.schema["id"].dataType.simpleString()
-    return media.mapInArrow(read, f"id {kind}, n_bytes long, width int, height int, channels int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, dhash string")
+    return media.mapInArrow(lean(read), f"id {kind}, n_bytes long, width int, height int, channels int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, dhash string")

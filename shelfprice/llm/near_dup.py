@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, pick
+from .common import Scratch, components, lean, pick
 from .textual import chunks, mix, shingles
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -88,7 +88,7 @@ def _sketches(rows: DataFrame, size: int, m: int, bands: int) -> DataFrame:
                     ["id", "n_shingles", "key", "bands", "sig", "tag"],
                 )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, key binary, bands array<long>, sig binary, tag long")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, key binary, bands array<long>, sig binary, tag long")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -108,7 +108,7 @@ def _texts(scratch: Scratch, keys: DataFrame, classes: DataFrame, rows: DataFram
 
     wanted = classes.join(keys.distinct(), "key").select("key", F.col("first_id"))
     found = rows.join(wanted, rows["id"].eqNullSafe(wanted["first_id"])).select("key", "text")
-    return scratch.keep(found.mapInArrow(right, "key binary, text string").groupBy("key").agg(F.first("text").alias("text")))
+    return scratch.keep(found.mapInArrow(lean(right), "key binary, text string").groupBy("key").agg(F.first("text").alias("text")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _near_by_signature(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _near_by_signature(pairs: DataFrame, classes: DataFrame, least: int) -> Data
 
     a = classes.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"))
     b = classes.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _small_buckets(members: DataFrame, least: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _small_buckets(members: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
     buckets = members.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("key", "root", "sig"))).alias("bucket")).select("bucket").distinct()
-    return buckets.mapInArrow(run, "a binary, b binary").distinct()
+    return buckets.mapInArrow(lean(run), "a binary, b binary").distinct()
 
 
 def _families(scratch: Scratch, members: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int, block: int) -> DataFrame:

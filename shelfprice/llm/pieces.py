@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import lean, pick
 from .textual import mix
 
 BLANK = "▁"
 #: Words and pairs of pieces that a worker remembers; past that it forgets them all and begins again.
-MEMO_WORDS, MEMO_PAIRS = 200_000, 500_000
+MEMO_WORDS, MEMO_PAIRS = 100_000, 200_000
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _NONE = np.iinfo(np.int32).min
 _loaded: dict[str, Pieces] = {}
@@ -263,7 +263,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col="doc_id", text_col
             yield pa.RecordBatch.from_arrays(_encoded(part, model)[1], _ENCODED)
 
     rows = pick(docs, id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, ids array<int>")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -276,7 +276,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, *_decoded(ids, model)], [*_ENCODED, *_DECODED])
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select(*_ENCODED).mapInArrow(run, f"id {kind}, n_bytes long, ids array<int>, {_DECODED_DDL}")
+    return encoded.select(*_ENCODED).mapInArrow(lean(run), f"id {kind}, n_bytes long, ids array<int>, {_DECODED_DDL}")
 
 
 def round_trip(docs: DataFrame, model_path: str, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -289,4 +289,4 @@ def round_trip(docs: DataFrame, model_path: str, *, id_col="doc_id", text_col="t
             yield pa.RecordBatch.from_arrays([*columns, *_decoded(ids, model)], [*_ENCODED, *_DECODED])
 
     rows = pick(docs, id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, ids array<int>, {_DECODED_DDL}")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, ids array<int>, {_DECODED_DDL}")

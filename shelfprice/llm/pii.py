@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import lean, pick
 
 #: Base kinds, in the order in which spans that begin at one place are listed; then the field's own.
 BASE = ("email", "ip", "card", "phone")
@@ -270,7 +270,7 @@ def fit_pii(docs: DataFrame, *, text_col="text", sample_docs: int = 2000) -> Ski
 
     graph, y = Graph([]), []
     chain, skip, x, at = [], [], [], 0
-    for group in _by_four(sample.mapInArrow(nodes, "data binary, part long").collect()):
+    for group in _by_four(sample.mapInArrow(lean(nodes), "data binary, part long").collect()):
         x.append(np.frombuffer(group[0]).reshape(-1, N_FEATURES))
         chain.append(np.frombuffer(group[1], int).reshape(-1, 2) + at)
         skip.append(np.frombuffer(group[2], int).reshape(-1, 2) + at)
@@ -313,7 +313,7 @@ def mask_pii(docs: DataFrame, model: SkipChain, *, text_col="text") -> DataFrame
                 columns[at] = new
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def find_pii(docs: DataFrame, model: SkipChain, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -342,4 +342,4 @@ def find_pii(docs: DataFrame, model: SkipChain, *, id_col="doc_id", text_col="te
                 )
 
     rows = pick(docs, id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {', '.join(c + ' long' for c in counts)}, base string, base_sha256 string, spans string, masked string")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, {', '.join(c + ' long' for c in counts)}, base string, base_sha256 string, spans string, masked string")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import pick
+from .common import lean, pick
 from .textual import chunks, mix
 
 _WINDOW = 32
@@ -91,7 +91,7 @@ def chunk_texts(docs: DataFrame, *, average: int, least: int, most: int) -> Data
                     ["id", "tag", "digest", "start", "end"],
                 )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tag long, digest long, start int, end int")
+    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, tag long, digest long, start int, end int")
 
 
 def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", average: int = 24, least: int = 8, most: int = 384, min_bytes: int = 112) -> DataFrame:
@@ -155,6 +155,6 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, *, id_col="doc_id", text_col=
 
     kind = rows.schema["id"].dataType.simpleString()
     gone = spans.where(~F.col("is_first")).groupBy(F.col("id").alias("id2"), F.col("tag").alias("tag2")).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    tagged = rows.mapInArrow(tag, f"id {kind}, text string, tag long")
+    tagged = rows.mapInArrow(lean(tag), f"id {kind}, text string, tag long")
     joined = tagged.join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tag") == F.col("tag2")), "left")
-    return joined.select("id", "text", "runs").mapInArrow(cut, f"id {kind}, text string")
+    return joined.select("id", "text", "runs").mapInArrow(lean(cut), f"id {kind}, text string")

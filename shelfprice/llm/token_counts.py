@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, lean, pick
 
 #: Words whose counts a worker remembers; past that it forgets them all and begins again.
 MEMO_WORDS = 1_000_000
@@ -69,7 +69,7 @@ def encode_misses(texts: DataFrame, path: str, version: str) -> DataFrame:
                 n = count(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.repeat(version, len(n)), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 
-    return texts.select("digest", "text").mapInArrow(run, CACHE)
+    return texts.select("digest", "text").mapInArrow(lean(run), CACHE)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, lean, pick
 from .textual import chunks, spans, word_hashes
 
 #: Symbols of words: other, insult, threat verb, target, intent, negation, reporting verb; and a clause's end.
@@ -202,7 +202,7 @@ def _counted(sample: DataFrame, only: set[str] | None) -> DataFrame:
                 n.update(parts if only is None else parts & only)
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["part", "n"])
 
-    return sample.select("text").mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    return sample.select("text").mapInArrow(lean(run), "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
 
 def fit_toxicity(
@@ -265,7 +265,7 @@ def _featured(rows: DataFrame, model: ToxicityModel) -> DataFrame:
                 x = model.features(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.scores(x)), pa.array(list(x), pa.list_(pa.float64()))], ["id", "score", "x"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, x array<double>")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, score double, x array<double>")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -288,4 +288,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col="text", thresh
                 low = model.scores(model.features(part.column(at).to_pylist())) < threshold
                 yield part.filter(pa.array(low, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
