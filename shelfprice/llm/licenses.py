@@ -48,8 +48,11 @@ def hash_words(text: str) -> np.ndarray:
 
 
 def block_bounds(first: int, last: int, line_ends: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
-    """Blocks of a text's words first .. last: its lines, long ones as windows that overlap by half."""
+    """Blocks of a text's words first .. last: its lines, long ones as windows that overlap by half, and such windows over all its lines."""
     edges = [first, *line_ends[(line_ends > first) & (line_ends < last)].tolist(), last]
+    if len(edges) > 2:
+        for at in range(first, max(first + 1, last - window + window // 2), window // 2):
+            yield at, min(at + window, last)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         at = a
         while b - at > window:
@@ -68,6 +71,7 @@ class Vocabulary:
         self.rank = {w: i for i, w in enumerate(words)}
         self.keys = np.array(sorted(words), np.uint64)
         self.ranks = np.array([self.rank[int(k)] for k in self.keys], np.int32)
+        self.longest = max(len(hash_words(t)) for t, _ in templates)
         self.sets = [sorted(self.rank[w] for w in s) for s in sets]
         self.need = [max(1, ceil(threshold * len(s) - 1e-9)) for s in sets]
         self.prefixes = {r for s, n in zip(self.sets, self.need, strict=True) for r in s[: len(s) - n + 1]}
@@ -98,6 +102,7 @@ def _scan(rows: DataFrame, vocabulary: Vocabulary, phrases, window: int) -> Data
     """Each text's base matches and those of its blocks that hold a prefix word: their template words, rare first."""
     kinds = [(hash_words(p), label) for p, label in phrases]
     least = min(vocabulary.need)
+    window = max(window, 2 * vocabulary.longest)
     prefix = np.zeros(len(vocabulary.keys) + 1, bool)
     prefix[sorted(vocabulary.prefixes)] = True
 
@@ -152,8 +157,10 @@ def scan_licenses(docs: DataFrame, *, id_col="doc_id", text_col="text", phrases=
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, templates of each whole text.
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. Blocks are lines,
-    those over window words cut to windows that overlap by half. A block meets a template where it has at
-    least threshold of its distinct words; all such pairs are found. labels: base labels and the labels of
+    those over window words cut to windows that overlap by half, and such windows over the whole text
+    whatever its line ends; a window has at least twice the words of the longest template, so each passage
+    of up to half a window stands whole in one block. A block meets a template where it has at least
+    threshold of its distinct words; all such pairs are found. labels: base labels and the labels of
     the templates met; templates: (label, containment) of the latter; score: 1 where a base label is found,
     else the largest containment, else 0. Null and empty texts have no words and no labels; repeated rows
     and null ids are rows like any other; an empty table gives an empty one; other columns are not read.

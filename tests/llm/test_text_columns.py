@@ -140,6 +140,23 @@ def test_licenses(spark, odd, nothing):
     assert licenses.scan_licenses(odd).count() == len(odd_texts()) and licenses.scan_licenses(nothing).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    grants = {
+        "bsd-grant": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+        "gpl-grant": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License",
+        "mit-grant": "Permission is hereby granted,\r\nfree of charge,\n\nto any person obtaining a copy\n of this software",
+    }
+    rows = [(f"{label}/{n}", f"{prose(n, n)}\n{text}\n{prose(150 - n, n + 1)}", label) for label, text in grants.items() for n in range(1, 140, 3)]
+    rows += [(label, text, label) for label, text in grants.items()]
+    got = {r["id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string, label string")).collect()}
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1 for i, _, label in rows)
+    far = "\n".join(f"{w} {prose(40, k)}" for k, w in enumerate("redistribution and use in source and binary forms with or without modification".split()))
+    assert licenses.scan_licenses(spark.createDataFrame([(1, far)], "doc_id long, text string")).first()["labels"] == ""
+    long = " ".join(f"word{i}" for i in range(90))
+    wrapped = f"{prose(70, 1)}\n{long[:300]}\n{long[301:]}\n{prose(70, 2)}"
+    assert licenses.scan_licenses(spark.createDataFrame([(1, wrapped)], "doc_id long, text string"), templates=[(long, "long")]).first()["labels"] == "long"
+
+
 PII_TEXTS = [
     "mail a.b+c@x-y.co.uk, again A@b.c. or x@y", "ip 10.0.0.1 and 300.1.1.1 or 1.2.3.4.5", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 and 378282246310005", "+1 (415) 555-2671 or +12 3",
     "call +49 30 901820 1.2.3.4", "a@b.c@d.e 5555555555554444@x.y", "@ + . 1", *[f"token AKIAIOSFODNN7EXAMP{a}{b} here" for a in "QRST" for b in "2345"], "same 4111111111111111 then 4111111111111111.", "", "é@ü.com mail é x@y.zz",
