@@ -277,5 +277,44 @@ def test_repeats(spark, odd, nothing):
     assert repeats.cut_repeats(odd, repeats.repeated_spans(odd)).count() == len(odd_texts())
 
 
+def covered(rows, least: int) -> dict:
+    """By brute force: the bytes of each text that windows of another id's texts cover."""
+    owners: dict[bytes, set] = {}
+    for i, t in rows:
+        data = (t or "").encode()
+        for a in range(len(data) - least + 1):
+            owners.setdefault(data[a : a + least], set()).add(i)
+    out = {}
+    for i, t in rows:
+        data = (t or "").encode()
+        hit = [any(o != i for o in owners[data[a : a + least]]) for a in range(len(data) - least + 1)]
+        out[i, t] = {x for a, h in enumerate(hit) if h for x in range(a, a + least)}
+    return out
+
+
+def test_repeats_are_all_found(spark):
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäé", k=k))
+    passages = [" ".join(word(rng.choice([2, 3, 4])) for _ in range(51)) for _ in range(40)]
+    passages += ["ab " * 40 + word(8), "x" * 130, "0123456789" * 12]
+    rows = [(k, f"{word(90 + 3 * k)} {p} {word(70)}") for k, p in enumerate(passages)]
+    rows += [(100 + k, f"{word(60 + 7 * k)} {p} {word(90)}") for k, p in enumerate(passages)]
+    # A near beginning in a lesser id, a copy of another's copy, an exact least length, one byte less.
+    rows += [(-1, passages[0][:100] + word(50)), (300, rows[5][1]), (301, word(30) + rows[6][1][100:212] + word(30)), (302, word(30) + "q" + rows[7][1][60:150]), (None, passages[1]), (None, passages[2] + word(40))]
+    spans = repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    texts = {repeats._tag(t.encode()): t for _, t in rows}
+    got: dict = {r: set() for r in rows}
+    for r in spans:
+        text = texts[r["tag"]].encode()
+        assert r["n_bytes"] == r["end"] - r["start"] >= 112 and text[r["start"] : r["end"]].decode() and r["repeat_bytes"] <= r["n_bytes"]
+        got[r["id"], texts[r["tag"]]] |= set(range(r["start"], r["end"]))
+    expected = covered(rows, 112)
+    for (i, t), bytes_ in expected.items():
+        # A character that the end of a window cuts may be left out.
+        plain = {x for x in bytes_ if t.encode()[x] < 0x80}
+        assert got[i, t] <= bytes_ and plain <= got[i, t], i
+    assert sum(k in {r["id"] for r in spans} for k in range(100, 140)) == 40
+
+
 def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
