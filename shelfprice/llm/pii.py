@@ -3,31 +3,35 @@
 Words with a digit or an at sign are the field's nodes; all other words have the label "none". Neighbouring
 nodes share a transition potential. Nodes that repeat each other (equal but for punctuation, or in their
 digits) share one that favours equal labels, however far apart, so a mention whose surroundings say little
-takes the label of its clearer double. Marginals come from loopy message passing over a batch's documents
-at once. The weights are fitted here, by pseudo-likelihood, on a bounded sample that the patterns label.
+takes the label of its clearer double: each is linked to the first mention and to the last one before it,
+so no two doubles of a document are more than two links apart. Marginals come from loopy message passing
+over a batch's documents at once, each until its messages settle. The weights are fitted here, by
+pseudo-likelihood, on a bounded sample that the patterns label.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import lean, pick
 
 #: Base kinds, in the order in which spans that begin at one place are listed; then the field's own.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
-_EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT_RUN = re.compile(r"[0-9][\x20.0-9-]*")
 _SECRET = re.compile(r"\b(AKIA[0-9A-Z]{16}|[0-9a-f]{32,64}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b")
@@ -46,25 +50,35 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_byte(digits: str) -> bool:
+    """Whether a run of digits, however long, is a number up to 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """(start, end, kind) of the fixed patterns: leftmost, not overlapping within a kind; failing matches are dropped.
 
-    Emails are looked for only in the runs of their characters that hold an at sign, addresses and cards
-    only in runs that begin with a digit: a match cannot leave such a run.
+    The time is in proportion to the text, whatever its runs. An email ends its first part at an at sign, so
+    the part before one and the domain after it are read once each; a match of four numbers can only begin
+    where a run of digits does, and takes runs whole. Numbers are looked for only in runs that begin with a
+    digit: a match cannot leave such a run.
     """
     out: list[Span] = []
     at, done = text.find("@"), 0
     while at >= 0:
         low = at
-        while low > done and text[low - 1] in _EMAIL_LEFT:
+        while low > done and text[low - 1] in _LOCAL:
             low -= 1
-        done = _EMAIL_RUN.match(text, at).end()
-        out += [(m.start(), m.end(), 0) for m in _EMAIL.finditer(text, low, done)]
+        found = _DOMAIN.match(text, at + 1) if low < at else None
+        done = found.end() if found else at + 1
+        if found:
+            out.append((low, done, 0))
         at = text.find("@", done)
     for run in _DIGIT_RUN.finditer(text):
         a, b = run.span()
         if b - a >= 7:
-            out += [(m.start(), m.end(), 1) for m in _IP.finditer(text, a, b) if all(int(x) <= 255 for x in m[0].split("."))]
+            out += [(m.start(), m.end(), 1) for m in _IP.finditer(text, a, b) if all(map(_is_byte, m[0].split(".")))]
             for m in _CARD.finditer(text, a, b):
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 12 <= len(digits) <= 19 and luhn(digits):
@@ -75,6 +89,18 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+class Overlaps:
+    """Which of some spans, by start, is the first to overlap a place: found by halving, not by trying all."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = sorted(spans, key=lambda s: (s[0], s[2]))
+        self.reach = list(accumulate((b for _, b, _ in self.spans), max))
+
+    def first(self, a: int, b: int) -> Span | None:
+        i = bisect_right(self.reach, a)
+        return self.spans[i] if i < len(self.spans) and self.spans[i][0] < b else None
+
+
 def spelled(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
@@ -109,7 +135,7 @@ def word_features(text: str, a: int, b: int, before: int, after: int) -> list[fl
     n = b - a
     return [
         1.0, "@" in w, "@" in w and "." in w.rsplit("@", 1)[-1], w.count("@") > 1, digits / n, digits >= 12, digits >= 9, 3 <= digits <= 4, digits <= 2,
-        w.count(".") == 3, w.count(".") == 3 and digits + 3 == n, w.count(".") == 3 and all(x.isascii() and x.isdigit() and int(x) < 256 for x in w.split(".")), w[0] == "+", "(" in w and ")" in w, "-" in w and plain.isdigit(),
+        w.count(".") == 3, w.count(".") == 3 and digits + 3 == n, w.count(".") == 3 and all(x.isascii() and x.isdigit() and _is_byte(x) for x in w.split(".")), w[0] == "+", "(" in w and ")" in w, "-" in w and plain.isdigit(),
         plain.isascii() and plain.isdigit() and 12 <= len(plain) <= 19, plain.isascii() and plain.isdigit() and 12 <= len(plain) <= 19 and luhn(plain),
         n >= 16 and w.isalnum() and w.isupper(), n >= 32 and all(c in "0123456789abcdef" for c in w), n >= 20 and "@" not in w and digits < n, "=" in left or "key" in left or "token" in left,
         a - before == 1, after - b == 1, left.rstrip().endswith("+") or "+" in left, n > 60,
@@ -127,7 +153,7 @@ class Graph:
         rows, chain, skip = [], [], []
         for d, text in enumerate(texts):
             words = candidates(text)
-            last: dict[tuple, int] = {}
+            ends: dict[tuple, tuple[int, int]] = {}  # of each word or number: its first and its latest mention
             for i, (a, b) in enumerate(words):
                 node = len(self.where)
                 self.where.append((d, a, b))
@@ -141,9 +167,9 @@ class Graph:
                 number = "".join(c for c in w if c in "0123456789")
                 keys += [("d", number)] if len(number) >= 7 and number != w.lower() else []
                 for key in keys:
-                    if key in last:
-                        skip.append((last[key], node))
-                    last[key] = node
+                    first, latest = ends.get(key, (node, node))
+                    skip += [(x, node) for x in dict.fromkeys((first, latest)) if x != node]
+                    ends[key] = first, node
         self.x = np.array(rows, float).reshape(-1, N_FEATURES)
         self.chain = np.array(chain, int).reshape(-1, 2)
         self.skip = np.array(skip, int).reshape(-1, 2)
@@ -191,30 +217,40 @@ class SkipChain:
             self.agree = np.clip(self.agree + rate * moment[2], 0.0, 3.0)
         return self
 
-    def marginals(self, graph: Graph, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Loopy sum-product: each edge carries a message each way; a round sends them all at once."""
+    def marginals(self, graph: Graph, most_rounds: int = 200, damping: float = 0.3, settled: float = 1e-5) -> np.ndarray:
+        """Loopy sum-product: each edge carries a message each way; a round sends them all at once.
+
+        A document's rounds end when none of its messages changes by more than settled, so its result does
+        not depend on the documents beside it; most_rounds ends those that swing for ever.
+        """
         own = graph.x @ self.unary
         edges = np.concatenate([graph.chain, graph.skip])
         if not len(edges):
             return _softmax(own)
-        chained = len(graph.chain)
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        e = len(edges)
-        step, doubles = np.exp(self.transition), np.exp(np.diag(self.agree))
+        e, chained = len(edges), len(graph.chain)
         back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-        log_m = np.zeros((2 * e, self.labels))
-        for _ in range(rounds):
+        kind = np.concatenate([np.repeat([0, 2], [chained, e - chained]), np.repeat([1, 2], [chained, e - chained])])
+        steps = np.exp(np.stack([self.transition, self.transition.T, np.diag(self.agree)]))
+        owner = np.array([d for d, _, _ in graph.where])[source]
+        log_m, going = np.zeros((2 * e, self.labels)), np.arange(2 * e)
+        for _ in range(most_rounds):
             total = own.copy()
-            np.add.at(total, target, log_m)
-            out = total[source] - log_m[back]
+            np.add.at(total, target[going], log_m[going])
+            out = total[source[going]] - log_m[back[going]]
             out = np.exp(out - out.max(axis=1, keepdims=True))
             new = np.empty_like(out)
-            new[:chained] = out[:chained] @ step
-            new[chained:e] = out[chained:e] @ doubles
-            new[e : e + chained] = out[e : e + chained] @ step.T
-            new[e + chained :] = out[e + chained :] @ doubles
+            for k, step in enumerate(steps):
+                mine = kind[going] == k
+                new[mine] = out[mine] @ step
             new = np.log(new / new.sum(axis=1, keepdims=True) + 1e-300)
-            log_m = damping * log_m + (1 - damping) * new
+            new = damping * log_m[going] + (1 - damping) * new
+            change = np.zeros(owner.max() + 1)
+            np.maximum.at(change, owner[going], np.abs(new - log_m[going]).max(axis=1))
+            log_m[going] = new
+            going = going[change[owner[going]] > settled]
+            if not len(going):
+                break
         np.add.at(own, target, log_m)
         return _softmax(own)
 
@@ -226,8 +262,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def taught_labels(graph: Graph, texts: list[str]) -> np.ndarray:
     """Labels of the nodes by the base patterns and those of secrets: what the field learns from."""
-    spans = [base_spans(t) + [(m.start(), m.end(), len(BASE)) for m in _SECRET.finditer(t)] for t in texts]
-    return np.array([next((k + 1 for a, b, k in spans[d] if a < y and b > x), 0) for d, x, y in graph.where], int)
+    base = [Overlaps(base_spans(t)) for t in texts]
+    secrets = [Overlaps([(m.start(), m.end(), len(BASE)) for m in _SECRET.finditer(t)]) for t in texts]
+    hits = (base[d].first(a, b) or secrets[d].first(a, b) for d, a, b in graph.where)
+    return np.array([s[2] + 1 if s else 0 for s in hits], int)
 
 
 def find_spans(texts: list[str], model: SkipChain, sure: float = 0.6) -> list[tuple[list[Span], list[Span]]]:
@@ -238,12 +276,12 @@ def find_spans(texts: list[str], model: SkipChain, sure: float = 0.6) -> list[tu
     if len(graph.where):
         p = model.marginals(graph)
         label = np.where(p.max(axis=1) >= sure, p.argmax(axis=1), 0)
-        follows = set(map(tuple, graph.chain.tolist()))
+        follows, there = set(map(tuple, graph.chain.tolist())), [Overlaps(s) for s in base]
         last: tuple[int, int, int] | None = None
         for node in np.flatnonzero(label):
             d, a, b = graph.where[node]
             kind = int(label[node]) - 1
-            if any(x < b and y > a for x, y, _ in base[d]):
+            if there[d].first(a, b):
                 last = None
                 continue
             if last and (node - 1, node) in follows and last == (d, kind, node - 1):
@@ -254,36 +292,39 @@ def find_spans(texts: list[str], model: SkipChain, sure: float = 0.6) -> list[tu
     return [(b, sorted(e, key=lambda s: (s[0], s[2]))) for b, e in zip(base, every, strict=True)]
 
 
-def fit_pii(docs: DataFrame, *, text_col="text", sample_docs: int = 2000) -> SkipChain:
-    """Fit the field on the at most sample_docs texts of least hash among those with a digit or an at sign."""
-    rows = pick(docs, text=text_col).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    least = rows.select("h").distinct().orderBy("h").limit(sample_docs)
-    sample = rows.join(F.broadcast(least), "h").dropDuplicates(["h"]).select("text")
+def fit_pii(docs: DataFrame, *, text_col="text", sample_docs: int = 2000, sample_words: int = 100_000) -> SkipChain:
+    """Fit the field on the at most sample_docs texts of least hash among those with a digit or an at sign.
+
+    sample_words bounds what the driver fits on: whole texts are taken by hash until they have so many runs
+    of digits or at signs in all; a text with over a tenth of that is not drawn. The sample is sorted, so
+    the weights do not depend on how rows are dealt. Null texts are not drawn; without any text the weights
+    are 0, and then only the base patterns find anything.
+    """
+    clues = F.regexp_count("text", F.lit("[0-9@]+"))
+    rows = pick(docs, text=text_col).withColumn("n", clues).where((F.col("n") > 0) & (F.col("n") <= sample_words // 10)).withColumn("h", F.xxhash64("text"))
+    least = rows.groupBy("h").agg(F.min("n").alias("n")).orderBy("h").limit(sample_docs)
+    upto = F.sum("n").over(W.orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow))
+    least = least.withColumn("upto", upto).where(F.col("upto") <= sample_words).select("h")
+    sample = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min("text").alias("text"))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            graph = Graph(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes() for x in (graph.x, graph.chain, graph.skip, taught_labels(graph, texts))], pa.binary()), pa.array([0, 1, 2, 3])], ["data", "part"]
-            )
-
-    graph, y = Graph([]), []
-    chain, skip, x, at = [], [], [], 0
-    for group in _by_four(sample.mapInArrow(lean(nodes), "data binary, part long").collect()):
-        x.append(np.frombuffer(group[0]).reshape(-1, N_FEATURES))
-        chain.append(np.frombuffer(group[1], int).reshape(-1, 2) + at)
-        skip.append(np.frombuffer(group[2], int).reshape(-1, 2) + at)
-        y.append(np.frombuffer(group[3], int))
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                graph = Graph([text])
+                parts = [graph.x, graph.chain.astype(np.int64), graph.skip.astype(np.int64), taught_labels(graph, [text]).astype(np.int64)]
+                yield pa.RecordBatch.from_pydict({"h": pa.array([h], pa.int64()), "parts": pa.array([[x.tobytes() for x in parts]], pa.list_(pa.binary()))})
+
+    graph, y, at = Graph([]), [np.zeros(0, np.int64)], 0
+    chain, skip, x = [graph.chain], [graph.skip], [graph.x]
+    for row in sorted(sample.mapInArrow(lean(nodes), "h long, parts array<binary>").collect(), key=lambda r: r["h"]):
+        of_x, of_chain, of_skip, of_y = map(bytes, row["parts"])
+        x.append(np.frombuffer(of_x).reshape(-1, N_FEATURES))
+        chain.append(np.frombuffer(of_chain, np.int64).reshape(-1, 2) + at)
+        skip.append(np.frombuffer(of_skip, np.int64).reshape(-1, 2) + at)
+        y.append(np.frombuffer(of_y, np.int64))
         at += len(x[-1])
-    if x:
-        graph.x, graph.chain, graph.skip = (np.concatenate(v) for v in (x, chain, skip))
-    return SkipChain().fit(graph, np.concatenate(y) if y else np.zeros(0, int))
-
-
-def _by_four(rows: list) -> Iterator[list[bytes]]:
-    for i in range(0, len(rows), 4):
-        yield [bytes(r["data"]) for r in rows[i : i + 4]]
+    graph.x, graph.chain, graph.skip = (np.concatenate(v) for v in (x, chain, skip))
+    return SkipChain().fit(graph, np.concatenate(y))
 
 
 def masked(text: str | None, spans: list[Span]) -> str | None:
@@ -299,7 +340,11 @@ def masked(text: str | None, spans: list[Span]) -> str | None:
 
 
 def mask_pii(docs: DataFrame, model: SkipChain, *, text_col="text") -> DataFrame:
-    """The rows of docs, all columns as they are, but personal data in the text masked."""
+    """The rows of docs, all columns as they are, but personal data in the text masked.
+
+    Null and empty texts stay what they are; repeated rows are masked alike; an empty table gives an empty
+    one; other columns are not read, whatever their names.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,13 +362,13 @@ def mask_pii(docs: DataFrame, model: SkipChain, *, text_col="text") -> DataFrame
 
 
 def find_pii(docs: DataFrame, model: SkipChain, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """id, the number of base spans of each kind, base and all spans (kind:start:end) and the text with all masked.
+    """id, the number of base spans of each kind, of secrets and of all spans, base and all spans (kind:start:end) and the text with all masked.
 
     Places are code points, end exclusive. A null or empty text has none, and its masked text is what it
     was. Equal texts give equal rows; null and repeated ids are rows like any other; an empty table gives
     an empty one; other columns are not read.
     """
-    counts = [f"n_{k}" for k in BASE]
+    counts = [*(f"n_{k}" for k in BASE), "n_secret", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,6 +380,7 @@ def find_pii(docs: DataFrame, model: SkipChain, *, id_col="doc_id", text_col="te
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), *[pa.array([sum(s[2] == k for s in b) for b, _ in found], pa.int64()) for k in range(len(BASE))],
+                        pa.array([sum(s[2] == len(BASE) for s in e) for _, e in found], pa.int64()), pa.array([len(e) for _, e in found], pa.int64()),
                         pa.array(base, pa.string()), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()),
                         pa.array([spelled(e) for _, e in found], pa.string()), pa.array([masked(t, e) for t, (_, e) in zip(texts, found, strict=True)], pa.string()),
                     ],

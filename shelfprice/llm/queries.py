@@ -61,7 +61,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of each document: base patterns, and all spans with those of the skip-chain field."""
     docs = _table(spark, sf_dir, "documents")
     found = pii.find_pii(docs, pii.fit_pii(docs))
-    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_spans")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

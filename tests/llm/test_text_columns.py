@@ -1,8 +1,10 @@
 """Media, token counts, pieces, licenses, personal data, toxicity and repeats: brute force on the odd documents."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -186,6 +188,7 @@ def test_pii(spark, odd, nothing):
     for r in got:
         assert set(filter(None, r["base"].split(","))) <= set(filter(None, r["spans"].split(",")))
     assert any("secret" in r["spans"] for r in got)
+    assert all(r["n_spans"] == len(list(filter(None, r["spans"].split(",")))) and r["n_secret"] == r["spans"].count("secret:") for r in got)
     masked = pii.mask_pii(frame.withColumn("n", frame["doc_id"]), model)
     assert masked.columns == ["doc_id", "text", "n"] and not masked.where("text like '%4111111111111111%'").count()
     assert pii.find_pii(odd, model).count() == len(odd_texts()) and pii.find_pii(nothing, model).count() == 0
@@ -200,14 +203,68 @@ def test_messages_are_exact_on_a_chain_and_doubles_agree():
     own, k = graph.x @ model.unary, model.labels
     joint = np.exp(own[0][:, None, None] + own[1][None, :, None] + own[2] + model.transition[:, :, None] + model.transition[None])
     exact = [joint.sum(axis=(1, 2)), joint.sum(axis=(0, 2)), joint.sum(axis=(0, 1))]
-    assert np.allclose(model.marginals(graph, rounds=60), [e / e.sum() for e in exact], atol=1e-6) and k == 6
+    assert np.allclose(model.marginals(graph, settled=1e-10), [e / e.sum() for e in exact], atol=1e-6) and k == 6
     model.agree = np.full(k, 3.0)
     doubles = pii.Graph(["12345678 " + "word " * 50 + "12345678"])
-    assert len(doubles.skip) == 1
+    assert len(doubles.skip) == 1 and len(pii.Graph(["a1b2c3 x " * 9]).skip) == 1 + 2 * 7
     model.unary[0, 2] += 0.5
     assert len(set(model.marginals(doubles).argmax(axis=1).tolist())) == 1
 
 
+def by_enumeration(model: pii.SkipChain, graph: pii.Graph) -> np.ndarray:
+    """The marginals of all labellings, weighed one by one."""
+    own, n, k = graph.x @ model.unary, len(graph.where), model.labels
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        score = sum(own[i, y] for i, y in enumerate(labels)) + sum(model.transition[labels[a], labels[b]] for a, b in graph.chain)
+        score += sum(model.agree[labels[a]] for a, b in graph.skip if labels[a] == labels[b])
+        out[range(n), labels] += np.exp(score)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_messages_over_skip_edges_against_enumeration():
+    rng = np.random.default_rng(3)
+    size = (pii.N_FEATURES, pii.SkipChain.labels)
+    for text, loops in (("1234567 and 12 34 and 1234567, 56", False), ("77 12345678 88 or 12345678 99", True), ("1234567 a 1234567 b 1234567 c 12", True)):
+        graph = pii.Graph([text])
+        assert len(graph.skip)
+        for strength in (0.3, 1.0):
+            model = pii.SkipChain(rng.normal(size=size) * 0.3, rng.normal(size=(pii.SkipChain.labels,) * 2) * strength, np.abs(rng.normal(size=pii.SkipChain.labels)) * strength)
+            got, exact = model.marginals(graph), by_enumeration(model, graph)
+            # Without a loop messages are exact; with one they are close, and the likeliest label is the same.
+            assert np.allclose(got, exact, atol=0.08 if loops else 1e-4)
+            sure = np.sort(exact, axis=1)[:, -1] - np.sort(exact, axis=1)[:, -2] > 0.2
+            assert (got.argmax(axis=1) == exact.argmax(axis=1))[sure].all()
+
+
+def test_documents_do_not_change_each_others_marginals():
+    rng = np.random.default_rng(4)
+    model = pii.SkipChain(rng.normal(size=(pii.N_FEATURES, pii.SkipChain.labels)), rng.normal(size=(pii.SkipChain.labels,) * 2), np.full(pii.SkipChain.labels, 2.0))
+    texts = ["12 34 56 78 1234567 and 1234567", "1 2", "x " + "55 66 1234567 " * 40]
+    together, at = model.marginals(pii.Graph(texts)), 0
+    for t in texts:
+        alone = model.marginals(pii.Graph([t]))
+        assert np.allclose(together[at : at + len(alone)], alone, atol=1e-9)
+        at += len(alone)
+    # Forty mentions of one number are two links apart at most, so they agree.
+    assert len(set(together[-120:].argmax(axis=1)[2::3].tolist())) == 1
+
+
+@pytest.mark.parametrize("text", ["1" * 10**6, "a" * 10**6 + "@b", "1." * 10**5, "1.1.1." + "0" * 10**6 + "1", "1 " * 10**4, "a@" * 10**5, "@" * 10**6, "+1" + "-" * 10**6, "a" * 10**6 + "@b.c", "1-" * 10**5, "1.2.3.4 " * 10**4])
+def test_long_runs_take_no_longer_than_their_length(text):
+    began = time.process_time()
+    pii.find_spans([text], pii.SkipChain())
+    pii.candidates(text)
+    assert time.process_time() - began < 10
+
+
+def test_long_numbers(spark):
+    rows = [(1, "9" * 5000 + ".1.1.1 and 1.1.1." + "0" * 5000 + "7"), (2, "1" * 10**6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r for r in pii.find_pii(frame, pii.fit_pii(frame)).collect()}
+    assert got[1]["n_ip"] == 1 and got[2]["n_ip"] == got[2]["n_card"] == 0
+
+
 def test_toxicity_grammar():
     run = lambda s: toxicity._GRAMMAR.run(s)
     assert run("yi|")[0] == ["y", "iY", "|"] and run("ni|")[0] == ["n", "iN", "|"] and run("rwwi|i|")[0] == ["r", "w", "w", "iR", "|", "i", "|"]
