@@ -36,35 +36,75 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return frugal
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """df with its columns as _0, _1 ..., the new name of a column by its exact old name, and the way back to all of df's columns."""
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return plain, lambda name: f"_{df.columns.index(name)}", lambda out: out.select(*plain.columns).toDF(*df.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a local one."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset a local session takes a local one; a cluster is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="shelfprice-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
 class Scratch:
     """Tables written to the shared folder, so a lost executor costs no more than the step it was on."""
 
+    #: The folders made and not removed yet: remove() takes those that a caller no longer reads.
+    roots: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        Scratch.roots.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet and read it back: its lineage ends here."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
+        path = f"{self.root}/{len(self.paths) + 1}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((kept, path))
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that keep returned and nothing reads any more."""
+        for table in tables:
+            for kept, path in self.paths:
+                if kept is table:
+                    files, where = _file_system(self.spark, path)
+                    files.delete(where, True)
+
+    @classmethod
+    def remove(cls, spark: SparkSession, roots: list[str]) -> None:
+        """Remove whole folders once what was built on them is written elsewhere."""
+        for root in roots:
+            files, where = _file_system(spark, root)
+            files.delete(where, True)
+        cls.roots = [r for r in cls.roots if r not in roots]
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: (a, b), any orderable type. Returns (node, root), root the smallest node reachable, for each
-    node with an edge to another. Minima are aggregated before the shuffle and joined back, so a node
-    with very many neighbours is no single group. Each round ends in a written table.
+    node with an edge to another. Each round's minima are a table of their own, one row a node, so the join
+    back to the edges is of two plain tables, whose large partitions can be split: a node with very many
+    neighbours is no single group. Each round ends in a written table, and the one before it goes.
     """
     now = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -72,14 +112,15 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        # A star's edges lead from its centre: (u, v) with v above u goes to v, with the centre's least neighbour.
+        large = now.select(F.col("v").alias("c"), F.col("u").alias("far")).join(least, F.col("c") == least["u"]).select(F.col("far").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.keep(large)
+        floor = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = scratch.keep(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
-        after = now.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
+        old, now = now, scratch.keep(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
+        scratch.drop(old, least, large, floor)
+        after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             break
         before = after

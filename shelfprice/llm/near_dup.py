@@ -2,8 +2,10 @@
 
 Texts with equal shingle sets are one class and stand in by one row. Classes that share a band are
 compared with the least class of that bucket; what such a comparison leaves apart is compared further:
-within small buckets by signature, within large families in blocks of classes. So no bucket's pairs are
-all emitted, and yet each candidate pair of unlike classes is either joined or compared on full sets.
+within small buckets by signature, within large families in blocks of classes. Of a family only classes
+whose shingles others have often enough to be like any of them are left, and only those of unlike
+components meet. So no bucket's pairs are all emitted, and yet each candidate pair of unlike classes is
+either joined or compared on full sets.
 """
 
 from __future__ import annotations
@@ -18,40 +20,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, lean, pick
+from .common import Scratch, components, lean, numbered, pick
 from .textual import chunks, mix, shingles
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
-def super_minhash(sets: list[np.ndarray], m: int = 128) -> np.ndarray:
+def super_minhash(sets: list[np.ndarray], m: int = 128, items_at_once: int = 1 << 16) -> np.ndarray:
     """Signatures of m values (uint32), one row a set; an empty set keeps the largest value throughout.
 
+    A signature holds minima over a set's items, so a large set is taken in slices: the memory does not
+    grow with it.
+    """
+    out = np.full((len(sets), m), _EMPTY, np.uint32)
+    run, size = [], 0
+    for i, s in enumerate(sets):
+        for at in range(0, len(s), items_at_once):
+            part = s[at : at + items_at_once]
+            if run and size + len(part) > items_at_once:
+                _lower(out, run, m)
+                run, size = [], 0
+            run.append((i, part))
+            size += len(part)
+    _lower(out, run, m)
+    return out
+
+
+def _lower(out: np.ndarray, run: list[tuple[int, np.ndarray]], m: int) -> None:
+    """Bring the items of some sets (row of out, items) into their signatures.
+
     Step j gives each element of a set a value in [j, j + 1) at place p[j] of a random permutation p of
     the m places, so the places an element takes differ. A set is done when all its places are taken:
     later steps only give larger values. The upper 8 bits hold j, the others the fraction.
     """
-    sizes = np.array([len(s) for s in sets])
-    out = np.full((len(sets), m), _EMPTY, np.uint32)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    items = np.concatenate(sets) if len(owner) else np.zeros(0, np.uint64)
+    if not run:
+        return
+    rows = [i for i, _ in run]
+    owner = np.repeat(np.arange(len(run)), [len(x) for _, x in run])
+    items = np.concatenate([x for _, x in run])
+    own = np.full((len(run), m), _EMPTY, np.uint32)
     places = np.tile(np.arange(m, dtype=np.uint8), (len(items), 1))
-    flat = out.reshape(-1)
+    flat = own.reshape(-1)
     for j in range(m):
         if not len(items):
             break
         x = mix(items + np.uint64((j + 1) * int(_GOLDEN) % (1 << 64)))
         k = j + ((x >> np.uint64(40)) % np.uint64(m - j)).astype(np.int64)
-        rows = np.arange(len(items))
-        at = places[rows, k]
-        places[rows, k] = places[:, j]
+        every = np.arange(len(items))
+        at = places[every, k]
+        places[every, k] = places[:, j]
         value = (np.uint32(j) << np.uint32(24)) | (x & np.uint64(0xFFFFFF)).astype(np.uint32)
         np.minimum.at(flat, owner * m + at, value)
-        going = (out == _EMPTY).any(axis=1)[owner]
+        going = (own == _EMPTY).any(axis=1)[owner]
         if not going.all():
             items, owner, places = items[going], owner[going], places[going]
-    return out
+    np.minimum.at(out, rows, own)
 
 
 def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
@@ -96,19 +120,11 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _texts(scratch: Scratch, keys: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(key, text) of the classes named, read from their documents of least id; another text under that id is left out."""
-
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in chunks(batch.column("text").to_pylist()):
-                part = batch.slice(start, len(texts))
-                keys = [set_key(s) for s in shingles(texts, size)]
-                yield part.filter(pa.array([k == x for k, x in zip(keys, part.column("key").to_pylist(), strict=True)], pa.bool_()))
-
-    wanted = classes.join(keys.distinct(), "key").select("key", F.col("first_id"))
-    found = rows.join(wanted, rows["id"].eqNullSafe(wanted["first_id"])).select("key", "text")
-    return scratch.keep(found.mapInArrow(lean(right), "key binary, text string").groupBy("key").agg(F.first("text").alias("text")))
+def _texts(scratch: Scratch, wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, text) of the classes wanted: (key, who), who the id and text hash of the class's first row."""
+    wanted = scratch.keep(wanted.select("key", F.col("who.id").alias("id2"), F.col("who.tag").alias("tag2")))
+    same = rows["id"].eqNullSafe(wanted["id2"]) & (rows["tag"] == wanted["tag2"])
+    return scratch.keep(rows.join(wanted, same).groupBy("key").agg(F.first("text").alias("text")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -116,12 +132,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                left = [s for _, t in chunks(part.column("text_a").to_pylist()) for s in shingles(t, size)]
-                right = [s for _, t in chunks(part.column("text_b").to_pylist()) for s in shingles(t, size)]
-                keep = pa.array([_alike(x, y, percent) for x, y in zip(left, right, strict=True)], pa.bool_())
-                yield part.select(["a", "b"]).filter(keep)
+            at, left, right = 0, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            while at < batch.num_rows:
+                end, size_here = at, 0
+                while end < batch.num_rows and (end == at or size_here < 1 << 22):
+                    size_here += len(left[end]) + len(right[end])
+                    end += 1
+                sets = [[s for _, t in chunks(side[at:end]) for s in shingles(t, size)] for side in (left, right)]
+                keep = pa.array([_alike(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
+                yield batch.slice(at, end - at).select(["a", "b"]).filter(keep)
+                at = end
 
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
@@ -160,26 +180,69 @@ def _small_buckets(members: DataFrame, least: int) -> DataFrame:
     return buckets.mapInArrow(lean(run), "a binary, b binary").distinct()
 
 
-def _families(scratch: Scratch, members: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) within families of large buckets, compared on full sets in pairs of blocks; of each such task a spanning forest.
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(key, text) to (key, n, shingles), the shingles as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, part in chunks(batch.column("text").to_pylist()):
+                sets = [s.view(np.int64) for s in shingles(part, size)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "n", "shingles"]
+                )
+
+    return texts.select("key", "text").mapInArrow(lean(run), "key binary, n long, shingles array<long>")
+
+
+def local_groups(near: np.ndarray) -> np.ndarray:
+    """Of a symmetric matrix of links, the least member of each row's group."""
+    group = np.arange(len(near))
+    reach = near | np.eye(len(near), dtype=bool)
+    while True:
+        least = np.where(reach, group[None, :], len(near)).min(axis=1)
+        least = least[least]
+        if (least == group).all():
+            return group
+        group = least
+
 
-    A family is what large buckets join. Its classes are dealt to blocks of about ``block`` by a hash; a
-    task holds two blocks, whatever the family's size.
+def _families(scratch: Scratch, members: DataFrame, texts: DataFrame, size: int, percent: int, block: int, block_shingles: int = 200_000) -> DataFrame:
+    """Links (a, b) within families of large buckets, compared on full sets in pairs of blocks: enough links to join what is alike.
+
+    members: centre, key, root (the component so far). A family is what large buckets join. A class that has
+    over 100 - percent of its shingles to itself in its family is like none of it and goes first: one count
+    of shingles, combined before the shuffle. Of the rest, those outside of the family's largest component
+    meet all classes of other components. Blocks hold about ``block`` classes or block_shingles shingles, so
+    a task holds two blocks whatever the family's size.
     """
-    stars = members.groupBy("band").agg(F.min("key").alias("a")).join(members.select("band", F.col("key").alias("b")), "band")
-    family = components(scratch, stars.select("a", "b"))
-    sizes = family.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = family.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("root", F.col("node").alias("key"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    texts = _texts(scratch, family.select(F.col("node").alias("key")), classes, rows, size)
-    dealt = dealt.select("root", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "key")
+    stars = members.select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    family = components(scratch, stars).select(F.col("node").alias("key"), F.col("root").alias("family"))
+    roots = members.select("key", "root").unionByName(members.select(F.col("centre").alias("key"), F.col("centre_root").alias("root"))).distinct()
+    sets = scratch.keep(_sets(texts.join(family.select("key"), "key", "left_semi"), size).join(family, "key").join(roots, "key"))
+    counted = sets.select("family", "key", F.explode("shingles").alias("shingle")).groupBy("family", "shingle").agg(F.count("*").alias("times"), F.min("key").alias("key"))
+    alone = counted.where("times = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    live = sets.join(alone, "key", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * percent).drop("alone")
+    live = scratch.keep(live)
+    of_root = live.groupBy("family", "root").agg(F.count("*").alias("classes"), F.sum("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.sum("classes") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    largest = of_root.groupBy("family").agg(F.max_by("root", F.struct("classes", "root")).alias("largest"))
+    sides = of_root.join(largest, "family").withColumn("apart", F.col("root") != F.col("largest"))
+    sides = sides.groupBy("family", "largest", "apart").agg(blocks.alias("blocks"))
+    plan = scratch.keep(
+        sides.groupBy("family", "largest").agg(F.coalesce(F.max(F.when(F.col("apart"), F.col("blocks"))), F.lit(0)).alias("few"), F.coalesce(F.max(F.when(~F.col("apart"), F.col("blocks"))), F.lit(0)).alias("most"))
+    )
+    # Blocks 0 .. few - 1 hold what is outside of the largest component; each meets itself and all blocks after it.
+    dealt = live.join(plan.where("few > 0"), "family").withColumn("h", F.xxhash64("key"))
+    outside = F.col("root") != F.col("largest")
+    dealt = dealt.withColumn("own", F.when(outside, F.pmod("h", "few")).otherwise(F.col("few") + F.pmod("h", "most")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("most")).otherwise(F.col("few")) - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "n", "shingles")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("key").reset_index(drop=True)
-        sets = [s for _, t in chunks(part["text"].tolist()) for s in shingles(t, size)]
-        n, lengths = len(sets), np.array([len(s) for s in sets])
+        lengths, roots = part["n"].to_numpy(), np.unique(part["root"].to_numpy(), return_inverse=True)[1]
+        n = len(part)
         owner = np.repeat(np.arange(n), lengths)
-        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        _, token, times = np.unique(np.concatenate(part["shingles"].to_numpy()), return_inverse=True, return_counts=True)
         owner, token = owner[times[token] > 1], token[times[token] > 1]
         order = np.argsort(token, kind="stable")
         owner, token = owner[order], np.unique(token[order], return_inverse=True)[1]
@@ -189,37 +252,27 @@ def _families(scratch: Scratch, members: DataFrame, classes: DataFrame, rows: Da
             dense = np.zeros((n, 8192), np.float32)
             dense[owner[lo:hi], token[lo:hi] - low] = 1
             both += dense @ dense.T
-        links = 100 * both >= percent * (lengths[:, None] + lengths[None, :] - both)
-        if part["i"].iloc[0] != part["j"].iloc[0]:
-            links &= part["own"].to_numpy()[:, None] != part["own"].to_numpy()[None, :]
-        group, forest = list(range(n)), []
-
-        def top(x: int) -> int:
-            while group[x] != x:
-                group[x] = group[group[x]]
-                x = group[x]
-            return x
-
-        for x, y in zip(*np.nonzero(np.triu(links, 1)), strict=True):
-            if (p := top(x)) != (q := top(y)):
-                group[q] = p
-                forest.append((part["key"].iloc[x], part["key"].iloc[y]))
-        return pd.DataFrame(forest, columns=["a", "b"])
+        links = (100 * both >= percent * (lengths[:, None] + lengths[None, :] - both)) & (roots[:, None] != roots[None, :])
+        group = local_groups(links)
+        joined = np.flatnonzero(group != np.arange(n))
+        keys = part["key"].to_numpy()
+        return pd.DataFrame({"a": keys[group[joined]], "b": keys[joined]})
 
-    return dealt.groupBy("root", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return dealt.groupBy("family", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 5, percent: int = 80, m: int = 128, bands: int = 32, small: int = 48, block: int = 128,
+    docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 5, percent: int = 80, m: int = 128, bands: int = 32, small: int = 48, block: int = 256,
 ) -> DataFrame:
-    """id, n_shingles, component_id, kept and tag (xxhash64 of the text) of each row.
+    """id, n_shingles, component_id, kept, tag (xxhash64 of the text) and stays of each row.
 
     Words are parted by white space, A-Z lower-cased; a text with fewer than size words has them all as
     one shingle. Two texts are linked where 100 * shared >= percent * all shingles of the two;
     component_id is the least id reachable by links, kept whether that is the row's own. A null, empty or
     blank text has no shingles, links with nothing and is kept. Repeated rows are copies and all carry
-    their component; rows without an id take part with a null id and count after all ids. An empty table
-    gives an empty one; other columns are not read.
+    their component; rows without an id take part with a null id and count after all ids. ``stays`` marks
+    one text of each component also where ids are null or repeated: that of the least id, null last, and
+    then of the least tag. An empty table gives an empty one; other columns are not read.
 
     With 32 bands of 4 values a pair at similarity 0.8 shares a band but for a chance of 5e-8. Signatures
     only rule out pairs six standard deviations below the threshold; links are confirmed on full sets.
@@ -228,45 +281,54 @@ def near_duplicates(
     scratch = Scratch(spark, "near")
     share = percent / 100
     least = max(1, ceil(m * (share - 6 * (share * (1 - share) / m) ** 0.5)))
-    rows = pick(docs, id=id_col, text=text_col)
-    sketches = scratch.keep(_sketches(rows.withColumn("tag", F.xxhash64("text")), size, m, bands))
-    classes = scratch.keep(
-        sketches.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    )
+    rows = pick(docs, id=id_col, text=text_col).withColumn("tag", F.xxhash64("text"))
+    sketches = scratch.keep(_sketches(rows, size, m, bands))
+    who = F.struct(F.col("id").isNull().alias("nameless"), "id", "tag")
+    classes = scratch.keep(sketches.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(who).alias("who"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     banded = classes.select("key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    # Tables of one row a band or key are written before they are joined: then a hot band or key can be split.
+    shared = scratch.keep(banded.groupBy("band").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1"))
     members = scratch.keep(banded.join(shared, "band").where("key <> centre"))
 
     # Each class against the least of each of its buckets.
     first = members.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
     first = scratch.keep(_near_by_signature(first, classes, least))
-    texts = _texts(scratch, first.select(F.explode(F.array("a", "b")).alias("key")), classes, rows, size)
+    met = members.select("key").unionByName(members.select(F.col("centre").alias("key"))).distinct()
+    texts = _texts(scratch, classes.select("key", "who").join(met, "key"), rows)
     links = scratch.keep(_verified(first, texts, size, percent))
 
     # Buckets whose other classes are still apart.
-    joined = components(scratch, links)
-    rest = members.join(joined.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"), (F.col("n") - 1).alias("n"))
-    apart = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    rest = scratch.keep(rest.join(apart, "band"))
+    joined = scratch.keep(components(scratch, links))
+    root_of = lambda key, root: joined.select(F.col("node").alias(key), F.col("root").alias(root))
+    rest = members.join(root_of("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    apart = scratch.keep(rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band"))
+    rest = scratch.keep(rest.join(apart, "band").select("band", "centre", "key", "root", (F.col("n") - 1).alias("n")))
     few = rest.where(F.col("n") <= small).join(classes.select("key", "sig"), "key").select("band", "key", "root", "sig")
     second = scratch.keep(_small_buckets(few, least).join(first, ["a", "b"], "left_anti"))
-    texts = _texts(scratch, second.select(F.explode(F.array("a", "b")).alias("key")), classes, rows, size)
     links = links.unionByName(scratch.keep(_verified(second, texts, size, percent)))
-    many = rest.where(F.col("n") > small)
+    many = rest.where(F.col("n") > small).select("centre", "key", "root").distinct()
     if not many.isEmpty():
-        links = links.unionByName(scratch.keep(_families(scratch, many, classes, rows, size, percent, block)))
+        many = many.join(root_of("centre", "centre_root"), "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
+        links = links.unionByName(scratch.keep(_families(scratch, scratch.keep(many), texts, size, percent, block)))
 
-    grouped = components(scratch, links).withColumnRenamed("node", "key").join(classes.select("key", "first_id"), "key")
-    lowest = grouped.groupBy("root").agg(F.min("first_id").alias("component"))
-    grouped = grouped.join(lowest, "root").select("key", "component")
-    least_ids = classes.select("key", "first_id").join(grouped, "key", "left").select("key", F.coalesce("component", "first_id").alias("component"))
-    out = sketches.select("id", "n_shingles", "key", "tag").join(least_ids, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")))
-    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "tag")
+    grouped = components(scratch, links).withColumnRenamed("node", "key").join(classes.select("key", "who"), "key")
+    lowest = grouped.groupBy("root").agg(F.min("who").alias("head"))
+    heads = classes.select("key", "who").join(grouped.select("key", "root").join(lowest, "root").select("key", "head"), "key", "left")
+    heads = scratch.keep(heads.select("key", F.coalesce("head", "who").alias("head")))
+    out = sketches.select("id", "n_shingles", "key", "tag").join(heads, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("head.id")))
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return out.select("id", "n_shingles", "component_id", kept.alias("kept"), "tag", (F.col("key").isNull() | (kept & (F.col("tag") == F.col("head.tag")))).alias("stays"))
 
 
 def keep_one_each(docs: DataFrame, near: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of docs that near_duplicates keeps, once each where rows are equal in id and text; all columns as they are."""
-    kept = near.where("kept").select(F.col("id").alias("__id"), F.col("tag").alias("__kept")).distinct()
-    tagged = docs.withColumn("__tag", F.xxhash64(text_col))
-    same = tagged[id_col].eqNullSafe(kept["__id"]) & (tagged["__tag"] == kept["__kept"])
-    return tagged.join(kept, same, "left_semi").dropDuplicates([id_col, "__tag"]).select(*docs.columns)
+    """The rows of docs that near_duplicates lets stay, once each where rows are equal in id and text; all columns as they are.
+
+    Of rows equal in id and text the one of least other columns (as JSON, so of any type) is taken. Null and
+    empty texts stay, one for each id; an empty table gives an empty one; columns may have any names.
+    """
+    plain, at, back = numbered(docs)
+    kept = near.where("stays").select(F.col("id").alias("id2"), F.col("tag").alias("tag2")).distinct()
+    tagged = plain.withColumn("tag", F.xxhash64(at(text_col))).withColumn("row", F.to_json(F.struct(*[c for c in plain.columns if c != at(text_col)])))
+    same = F.col(at(id_col)).eqNullSafe(F.col("id2")) & (F.col("tag") == F.col("tag2"))
+    here = tagged.join(kept, same, "left_semi").groupBy(at(id_col), "tag").agg(F.min_by(F.struct(*plain.columns), "row").alias("one"))
+    return back(here.select("one.*"))

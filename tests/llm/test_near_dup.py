@@ -68,6 +68,12 @@ def test_signatures_estimate_similarity():
     assert (near_dup.super_minhash([np.unique(sets[3])], 128)[0] == sig[3]).all()
 
 
+def test_a_large_set_is_taken_in_slices():
+    items = np.unique(textual.mix(np.arange(5000, dtype=np.uint64)))
+    sets = [items, items[:7], np.zeros(0, np.uint64), items[100:900]]
+    assert (near_dup.super_minhash(sets, 128) == near_dup.super_minhash(sets, 128, items_at_once=300)).all()
+
+
 def test_keep_one_each(spark):
     rows = [(1, prose(50, 1)), (1, prose(50, 1)), (2, prose(50, 1)), (3, prose(50, 2)), (None, prose(50, 1)), (None, None), (4, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
@@ -75,5 +81,21 @@ def test_keep_one_each(spark):
     assert sorted((r["doc_id"] or 0, r["text"] is None) for r in kept.collect()) == [(0, True), (1, False), (3, False), (4, True)]
 
 
+def test_one_of_a_group_stays_without_ids_or_with_one_for_all(spark):
+    base = prose(60, 5)
+    near = [base.replace(base.split()[k], "changed") for k in (10, 20, 30)]
+    for doc in (None, 7):
+        rows = [(doc, t, k) for k, t in enumerate([*near, base, prose(50, 6), prose(50, 6)])]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, Text int")
+        kept = near_dup.keep_one_each(frame, near_dup.near_duplicates(frame)).collect()
+        assert len(kept) == 2 and {r["Text"] for r in kept if r["text"] == prose(50, 6)} == {4}
+
+
+def test_columns_of_clashing_names(odd):
+    kept = near_dup.keep_one_each(odd, near_dup.near_duplicates(odd))
+    assert kept.columns == odd.columns and kept.dtypes == odd.dtypes
+    assert sorted((r[0] is None, r[0] or 0) for r in kept.collect()) == sorted((i is None, i or 0) for i in [1, 4, None, 5, 6, 7, 8, 9, 11, 12, 13, 14])
+
+
 def test_nothing(nothing):
     assert near_dup.near_duplicates(nothing).count() == 0
