@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,3 +127,16 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         before = after
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def local_groups(near: np.ndarray) -> np.ndarray:
+    """Of a symmetric matrix of links, the least member of each row's group."""
+    group = np.arange(len(near))
+    reach = near | np.eye(len(near), dtype=bool)
+    while len(near):
+        least = np.where(reach, group[None, :], len(near)).min(axis=1)
+        least = least[least]
+        if (least == group).all():
+            break
+        group = least
+    return group

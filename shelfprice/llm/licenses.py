@@ -22,19 +22,19 @@ from .textual import ALNUM, chunks, spans, word_hashes
 
 #: Phrases of the base scan and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Notices that license texts are known by, and the label of each.
+#: Notices that license texts are known by, the label of each, and words without which a block is another notice's.
 TEMPLATES = (
-    ("released under the mit license", "mit-notice"),
+    ("released under the mit license", "mit-notice", ("mit",)),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit-grant"),
-    ("licensed under the apache license version 2 0", "apache-notice"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-notice"),
+    ("licensed under the apache license version 2 0", "apache-notice", ("apache",)),
+    ("this work is licensed under the gnu general public license version 3", "gpl-notice", ("general",)),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl-grant"),
-    ("licensed under the gnu lesser general public license version 3", "lgpl-notice"),
+    ("licensed under the gnu lesser general public license version 3", "lgpl-notice", ("lesser",)),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-grant"),
-    ("licensed under the mozilla public license version 2 0", "mpl-notice"),
+    ("licensed under the mozilla public license version 2 0", "mpl-notice", ("mozilla",)),
     ("licensed under cc by 4 0", "cc-by"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("licensed under cc by sa 4 0", "cc-by-sa", ("sa",)),
+    ("licensed under cc by nc 4 0", "cc-by-nc", ("nc",)),
     ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("dedicated to the public domain under cc0 1 0", "public-domain"),
     ("all rights reserved", "all-rights-reserved"),
@@ -66,12 +66,13 @@ class Vocabulary:
     """The templates' words as numbers, by place in the corpus order (rare first)."""
 
     def __init__(self, templates, threshold: float, counts: dict[int, int] | None = None):
-        sets = [frozenset(hash_words(t).tolist()) for t, _ in templates]
+        sets = [frozenset(hash_words(t[0]).tolist()) for t in templates]
         words = sorted(set().union(*sets), key=lambda w: ((counts or {}).get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(words)}
         self.keys = np.array(sorted(words), np.uint64)
         self.ranks = np.array([self.rank[int(k)] for k in self.keys], np.int32)
-        self.longest = max(len(hash_words(t)) for t, _ in templates)
+        self.longest = max(len(hash_words(t[0])) for t in templates)
+        self.musts = [sorted({self.rank[int(w)] for word in (t[2] if len(t) > 2 else ()) for w in hash_words(word)}) for t in templates]
         self.sets = [sorted(self.rank[w] for w in s) for s in sets]
         self.need = [max(1, ceil(threshold * len(s) - 1e-9)) for s in sets]
         self.prefixes = {r for s, n in zip(self.sets, self.need, strict=True) for r in s[: len(s) - n + 1]}
@@ -159,8 +160,9 @@ def scan_licenses(docs: DataFrame, *, id_col="doc_id", text_col="text", phrases=
     Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. Blocks are lines,
     those over window words cut to windows that overlap by half, and such windows over the whole text
     whatever its line ends; a window has at least twice the words of the longest template, so each passage
-    of up to half a window stands whole in one block. A block meets a template where it has at least
-    threshold of its distinct words; all such pairs are found. labels: base labels and the labels of
+    of up to half a window stands whole in one block. A block meets a template (text, label and, if given,
+    words that the block must have) where it has at least threshold of its distinct words and all that it
+    must have; all such pairs are found. labels: base labels and the labels of
     the templates met; templates: (label, containment) of the latter; score: 1 where a base label is found,
     else the largest containment, else 0. Null and empty texts have no words and no labels; repeated rows
     and null ids are rows like any other; an empty table gives an empty one; other columns are not read.
@@ -173,13 +175,14 @@ def scan_licenses(docs: DataFrame, *, id_col="doc_id", text_col="text", phrases=
     blocks = scanned.select("row", F.posexplode("blocks").alias("block", "tokens"))
     prefix = [(r, t, i, len(s), n) for t, (s, n) in enumerate(zip(vocabulary.sets, vocabulary.need, strict=True)) for i, r in enumerate(s[: len(s) - n + 1])]
     prefix = spark.createDataFrame(prefix, "token int, template int, i int, size int, need int")
-    whole = spark.createDataFrame([(t, s, label) for t, (s, (_, label)) in enumerate(zip(vocabulary.sets, templates, strict=True))], "template int, words array<int>, label string")
+    whole = [(i, s, must, t[1]) for i, (s, must, t) in enumerate(zip(vocabulary.sets, vocabulary.musts, templates, strict=True))]
+    whole = spark.createDataFrame(whole, "template int, words array<int>, must array<int>, label string")
     words = blocks.select("row", "block", F.size("tokens").alias("n"), F.posexplode("tokens").alias("j", "token"))
     shared = words.join(F.broadcast(prefix), "token").where("n >= need").groupBy("row", "block", "template").agg(
         F.min("i").alias("i"), F.min("j").alias("j"), F.first("n").alias("n"), F.first("size").alias("size"), F.first("need").alias("need")
     )
     likely = shared.where(1 + F.least(F.col("size") - F.col("i") - 1, F.col("n") - F.col("j") - 1) >= F.col("need"))
-    met = likely.join(blocks, ["row", "block"]).join(F.broadcast(whole), "template").withColumn("both", F.size(F.array_intersect("tokens", "words"))).where("both >= need")
+    met = likely.join(blocks, ["row", "block"]).join(F.broadcast(whole), "template").withColumn("both", F.size(F.array_intersect("tokens", "words"))).where((F.col("both") >= F.col("need")) & (F.size(F.array_except("must", "tokens")) == 0))
     found = met.groupBy("row", "label").agg(F.max(F.col("both") / F.col("size")).alias("containment"))
     found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("label", "containment"))).alias("templates"))
     none = F.array().cast("array<string>")

@@ -45,21 +45,26 @@ def _netpbm_head(data: bytes) -> tuple[list[int], int]:
     """Width, height and largest value, comments left out; where the samples begin."""
     at, values = 2, []
     while len(values) < 3:
-        while data[at : at + 1] in b" \t\r\n\v\f":
+        while at < len(data) and data[at] in b" \t\r\n\v\f":
             at += 1
         if data[at : at + 1] == b"#":
             at = data.index(b"\n", at) + 1
             continue
         end = at
-        while data[end : end + 1].isdigit():
+        while end < len(data) and end - at < 10 and data[end] in b"0123456789":
             end += 1
+        if end == at:
+            raise ValueError("a Netpbm head that is cut off or has no number where one belongs")
         values.append(int(data[at:end]))
         at = end
     return values, at + 1
 
 
 def decode(data: bytes) -> np.ndarray:
-    """An image file as height x width x channels of uint8: P5 or P6 of 8 bits, or an uncompressed 24-bit BMP."""
+    """An image file as height x width x channels of uint8: P5 or P6 of 8 bits, or an uncompressed 24-bit BMP.
+
+    What is none of these, or is cut off, is a ValueError.
+    """
     if data[:2] in (b"P5", b"P6"):
         (width, height, top), at = _netpbm_head(data)
         channels = 1 if data[:2] == b"P5" else 3
@@ -67,6 +72,8 @@ def decode(data: bytes) -> np.ndarray:
             raise ValueError("only 8-bit samples")
         return np.frombuffer(data, np.uint8, width * height * channels, at).reshape(height, width, channels)
     if data[:2] == b"BM":
+        if len(data) < 54:
+            raise ValueError("a BMP head that is cut off")
         at, size = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<IiiHHI", data, 14)
         width, height, bits, packed = size[1], size[2], size[4], size[5]
         if bits != 24 or packed:

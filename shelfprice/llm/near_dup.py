@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, lean, numbered, pick
+from .common import Scratch, components, lean, local_groups, numbered, pick
 from .textual import chunks, mix, shingles
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -194,18 +194,6 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(lean(run), "key binary, n long, shingles array<long>")
 
 
-def local_groups(near: np.ndarray) -> np.ndarray:
-    """Of a symmetric matrix of links, the least member of each row's group."""
-    group = np.arange(len(near))
-    reach = near | np.eye(len(near), dtype=bool)
-    while True:
-        least = np.where(reach, group[None, :], len(near)).min(axis=1)
-        least = least[least]
-        if (least == group).all():
-            return group
-        group = least
-
-
 def _families(scratch: Scratch, members: DataFrame, texts: DataFrame, size: int, percent: int, block: int, block_shingles: int = 200_000) -> DataFrame:
     """Links (a, b) within families of large buckets, compared on full sets in pairs of blocks: enough links to join what is alike.
 

@@ -6,14 +6,14 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, pick
+from .common import Scratch, exists, lean, pick
 
 #: Words whose counts a worker remembers; past that it forgets them all and begins again.
 MEMO_WORDS = 1_000_000
-CACHE = "digest binary, version string, n_tokens long"
+CACHE = "digest binary, n_tokens long, version string"
 _loaded: dict[str, tuple] = {}
 
 
@@ -67,24 +67,20 @@ def encode_misses(texts: DataFrame, path: str, version: str) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n = count(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.repeat(version, len(n)), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(n, pa.int64()), pa.repeat(version, len(n))], ["digest", "n_tokens", "version"])
 
     return texts.select("digest", "text").mapInArrow(lean(run), CACHE)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, *, id_col="doc_id", text_col="text") -> DataFrame:
     """id, n_bytes (UTF-8), n_tokens of each text, by way of the cache table at cache_path, which grows.
 
     Texts are keyed by the digest of their normalised content. Digests that the cache lacks for this
-    tokenizer version are encoded once each and appended; then all rows are joined to the cache. A null
-    text counts as empty (0 tokens); null and repeated ids are rows like any other; other columns are not
-    read; an empty table adds nothing. A rerun after a failure may append a digest twice, with equal counts.
+    tokenizer version are encoded once each and appended; then all rows are joined to the cache. Which
+    digests are missing is found without the texts: of a cache that has most of them, only the others' texts
+    are shuffled. The cache is a table by version, so other versions' counts are not read. A null text
+    counts as empty (0 tokens); null and repeated ids are rows like any other; other columns are not read;
+    an empty table adds nothing. A rerun after a failure may append a digest twice, with equal counts.
     """
     spark, version = docs.sparkSession, tokenizer_version(tokenizer_path)
     scratch = Scratch(spark, "tokens")
@@ -92,10 +88,13 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, *, id_co
         "id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), normalised(F.col("text")).alias("text")
     )
     keyed = rows.withColumn("digest", F.unhex(F.md5("text")))
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    if _exists(spark, cache_path):
-        known = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version)
-        misses = misses.join(known, "digest", "left_anti")
-    encode_misses(misses, tokenizer_path, version).write.mode("append").parquet(cache_path)
-    cache = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    stored = lambda: spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version)
+    wanted = keyed
+    if exists(spark, cache_path):
+        missing = scratch.keep(keyed.select("digest").distinct().join(stored().select("digest").distinct(), "digest", "left_anti"))
+        wanted = keyed.join(missing, "digest", "left_semi")
+    misses = wanted.groupBy("digest").agg(F.first("text").alias("text"))
+    encode_misses(misses, tokenizer_path, version).write.mode("append").partitionBy("version").parquet(cache_path)
+    # A table of one row a digest, written before the join: then a digest that many rows have can be split.
+    cache = scratch.keep(stored().groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")))
     return scratch.keep(keyed.select("id", "n_bytes", "digest")).join(cache, "digest").select("id", "n_bytes", "n_tokens")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, pick
+from .common import Scratch, components, local_groups, pick
 
 _SLACK = 1e-9
 
@@ -87,7 +87,7 @@ def _cells(classes: DataFrame, pivots: list[bytes], radius: float) -> DataFrame:
 
 
 def _compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Of two blocks of a cell: for each class how many vectors it meets, and a spanning forest of the links."""
+    """Of two blocks of a cell: for each class how many vectors it meets, and edges that join what the links join."""
     x = np.frombuffer(b"".join(part["unit"])).reshape(len(part), -1)
     own, home, copies = part["own"].to_numpy(), part["home"].to_numpy(), part["copies"].to_numpy()
     near = x @ x.T >= cosine
@@ -96,24 +96,12 @@ def _compare(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     if part["i"].iloc[0] != part["j"].iloc[0]:
         near &= own[:, None] != own[None, :]
     met = near @ copies
-    group, forest = np.arange(len(part)), []
-
-    def top(a: int) -> int:
-        while group[a] != a:
-            group[a] = group[group[a]]
-            a = group[a]
-        return a
-
-    for a in np.flatnonzero(met):
-        for b in np.flatnonzero(near[a, :a]):
-            if (p := top(a)) != (q := top(b)):
-                group[p] = q
-                forest.append((a, b))
-    keys = part["key"].to_numpy()
-    some = np.flatnonzero(met)
+    keys, some = part["key"].to_numpy(), np.flatnonzero(met)
+    head = some[local_groups(near[np.ix_(some, some)])]
+    joined = np.flatnonzero(head != some)
     counts = pd.DataFrame({"a": keys[some], "b": None, "met": met[some]})
-    links = pd.DataFrame({"a": [keys[a] for a, _ in forest], "b": [keys[b] for _, b in forest], "met": 0})
-    return pd.concat([counts, links]) if len(some) else counts
+    links = pd.DataFrame({"a": keys[head[joined]], "b": keys[some[joined]], "met": 0})
+    return pd.concat([counts, links]) if len(joined) else counts
 
 
 def near_vectors(
@@ -152,7 +140,8 @@ def near_vectors(
     facts = classes.select("key", "first_id", "copies").join(met, "key", "left").join(grouped, "key", "left").select(
         "key", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("links"), F.coalesce("component", "first_id").alias("component")
     )
-    out = rows.select("id", "key").join(facts, "key", "left").select(
+    # A table of one row a class, written before the join: then a vector that many rows have can be split.
+    out = rows.select("id", "key").join(scratch.keep(facts), "key", "left").select(
         "id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id")
     )
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

@@ -61,6 +61,12 @@ def test_netpbm_comments_and_bmp_from_above():
     assert media.decode(bytes(upright))[0, 0].tolist() == media.decode(media.encode(bytes(range(144)), "bmp"))[1, 0].tolist()
 
 
+@pytest.mark.parametrize("data", [b"P5", b"P5\n", b"P5 1", b"P6 2 2 ", b"P5 # no end", b"P5 x 1 255 a", b"P5 3 3 255\nab", b"BM", b"BM" + b"\0" * 30, b"", b"GIF89a"])
+def test_files_that_are_cut_off(data):
+    with pytest.raises(ValueError):
+        media.decode(data)
+
+
 def test_token_counts(spark, odd, nothing, tmp_path):
     from tokenizers import Tokenizer
 
@@ -72,6 +78,10 @@ def test_token_counts(spark, odd, nothing, tmp_path):
         assert counted(token_counts.count_tokens(odd, cache, WORD).collect()) == expected
         stored = spark.read.parquet(cache)
         assert stored.count() == stored.select("digest").distinct().count() == len({" ".join(re.split("[ \t\n\r]+", t or "")).strip() for _, t, _ in odd_texts()})
+    more = spark.createDataFrame([(1, "quite new words"), (2, "one two"), (2, "one two")], "doc_id long, text string")
+    before = spark.read.parquet(cache).count()
+    assert counted(token_counts.count_tokens(more, cache, WORD).collect()) == Counter((i, len(t), count(t)) for i, t in [(1, "quite new words"), (2, "one two"), (2, "one two")])
+    assert spark.read.parquet(cache).count() == before + 1
     special = ["a<|endoftext|>b", "<|startoftext|>", "<|STARTOFTEXT|> x", "é ́x İ ſ", "don't  we'LL  x'"]
     frame = spark.createDataFrame(list(enumerate(special)), "doc_id long, text string")
     assert counted(token_counts.count_tokens(frame, cache, WORD).select("id", "n_tokens").collect()) == Counter((i, count(t)) for i, t in enumerate(special))
@@ -130,13 +140,16 @@ def test_licenses(spark, odd, nothing):
         for line in lines:
             v = split(line)
             blocks = [v] if len(v) <= 64 else [v[a : a + 64] for a in range(0, len(v), 32)]
-            for t, label in licenses.TEMPLATES:
-                if any(len(set(b) & set(t.split())) >= 0.8 * len(set(t.split())) - 1e-9 for b in blocks):
+            for t, label, *must in licenses.TEMPLATES:
+                if any(len(set(b) & set(t.split())) >= 0.8 * len(set(t.split())) - 1e-9 and set(*must) <= set(b) for b in blocks):
                     own.add(label)
         places = [i for i, _ in at]
         return doc, len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | own))
 
     assert Counter((r["id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) for r in got) == Counter(row(*x) for x in rows)
+    notices = ["licensed under the GNU General Public License, version 3", "Licensed under CC BY-NC 4.0", "released under the apache license", "licensed under the gnu lesser general public license version 3"]
+    labels = [r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")).orderBy("id").collect()]
+    assert "lgpl" not in labels[0] and "cc-by-sa" not in labels[1] and "mit" not in labels[2] and "lgpl-notice" in labels[3]
     assert {"mit-notice", "mit-grant", "cc-by-nc", "mpl-notice"} <= {label for r in got for label in r["labels"].split(",")}
     assert all(0 <= r["score"] <= 1 for r in got)
     assert licenses.scan_licenses(odd).count() == len(odd_texts()) and licenses.scan_licenses(nothing).count() == 0
