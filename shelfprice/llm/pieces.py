@@ -9,6 +9,9 @@ gives if and only if each two neighbours in it are what merging gives for the tw
 of a word has one such segmentation. So a step from one piece to the next counts only where the two agree
 in that way, and the maximum runs over the steps left. Whether two pieces agree is found once per pair, by
 merging their characters, and remembered. A unigram model needs no such test: all steps are left.
+
+Long words are cut where no piece holds the two characters side by side: no piece can reach over such a
+place, so what lies between two of them is encoded on its own, and texts without blanks advance together too.
 """
 
 from __future__ import annotations
@@ -27,11 +30,43 @@ from .textual import mix
 BLANK = "▁"
 #: Words and pairs of pieces that a worker remembers; past that it forgets them all and begins again.
 MEMO_WORDS, MEMO_PAIRS = 100_000, 200_000
+#: Words of more characters are cut before they are encoded.
+LONG_WORD = 32
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _NONE = np.iinfo(np.int32).min
 _loaded: dict[str, Pieces] = {}
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields (number, value) of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        field, wire = divmod(number(), 8)
+        if wire == 0:
+            yield field, number()
+        else:
+            size = {1: 8, 5: 4}.get(wire) or number()
+            yield field, data[at : at + size]
+            at += size
+
+
+def model_specs(path: str) -> tuple[int, dict[int, int | bytes]]:
+    """A model file's type (1 unigram, 2 BPE) and its normaliser's fields: 2 rules, 3 blank put first, 4 extra blanks removed, 5 blanks escaped."""
+    with open(path, "rb") as f:
+        top = dict(_fields(f.read()))  # of repeated fields the last, which is not asked for here
+    return dict(_fields(top.get(2, b""))).get(3, 1), dict(_fields(top.get(3, b"")))
+
+
 class Pieces:
     """A vocabulary (pieces, scores) with its keys sorted for probing.
 
@@ -54,6 +89,7 @@ class Pieces:
             order = np.argsort(key)
             self.keys[n] = key[order], np.array([self.ids[p] for p in same], np.int32)[order]
             self.sieve[key >> np.uint64(44)] = True
+        self.pairs = np.unique(np.array([ord(a) << 32 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)] or [0], np.uint64))
         self.agreed: dict[int, bool] = {}
         self.slots = np.full(1 << 20, -1, np.int64)
         self.slot_ok = np.zeros(1 << 20, bool)
@@ -64,19 +100,19 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        """The vocabulary of a model file, read once per worker."""
+        """The vocabulary of a model file, read once per worker; a model that changes texts before it encodes them is an error."""
         if path not in _loaded:
             import sentencepiece
 
+            kind, rules = model_specs(path)
+            if kind not in (1, 2) or rules.get(2) or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1):
+                raise ValueError("only unigram and BPE models are known, with a blank put first and texts taken as they are")
             m = sentencepiece.SentencePieceProcessor(model_file=path)
             size = m.vocab_size()
             normal = [not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)) for i in range(size)]
             byte = next((i for i in range(size) if m.is_byte(i)), None)
-            # In a BPE model the scores fall by one from piece to piece: minus the rank of the merge.
             scores = [m.get_score(i) for i in range(size)]
-            ranks = {s for s, n in zip(scores, normal, strict=True) if n}
-            merges = all(s == int(s) for s in ranks)
-            _loaded[path] = cls([m.id_to_piece(i) for i in range(size)], scores, normal, merges=merges, unknown=m.unk_id(), bytes_at=byte)
+            _loaded[path] = cls([m.id_to_piece(i) for i in range(size)], scores, normal, merges=kind == 2, unknown=m.unk_id(), bytes_at=byte)
         return _loaded[path]
 
     @staticmethod
@@ -181,6 +217,14 @@ class Pieces:
         spell = lambda t: [self.unknown] if self.bytes_at is None else [self.bytes_at + b for b in chr(-t - 1).encode("utf-8", "surrogatepass")]
         return np.array(list(chain.from_iterable([t] if t >= 0 else spell(t) for t in tokens)), np.int32).tobytes()
 
+    def cut(self, word: str) -> list[str]:
+        """The word in parts that no piece reaches over."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        key = codes[:-1] << np.uint64(32) | codes[1:]
+        free = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] != key
+        at = [0, *(np.flatnonzero(free) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def learn(self, words: set[str]) -> None:
         """Encode words not met before, those of one length together, at most 4096 at once."""
         new = words - self.memo.keys()
@@ -195,7 +239,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian int32 ids of each text; a blank is put before the first word; an empty text has none."""
         words = [(BLANK + t.replace(" ", BLANK)).split(BLANK)[1:] if t else [] for t in texts]
-        words = [_with_blanks(ws) for ws in words]
+        words = [[x for w in _with_blanks(ws) for x in (self.cut(w) if len(w) > LONG_WORD else (w,))] for ws in words]
         self.learn({w for ws in words for w in ws})
         memo = self.memo
         return [b"".join([memo[w] for w in ws]) for ws in words]
@@ -267,7 +311,11 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col="doc_id", text_col
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
-    """encode_pieces' rows with their number, the digest of the ids, the text decoded from them and its digest."""
+    """encode_pieces' rows with their number, the digest of the ids, the text decoded from them and its digest.
+
+    No ids give an empty text; null and repeated ids of documents are rows like any other; an empty table
+    gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.load(model_path)

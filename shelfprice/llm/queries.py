@@ -78,7 +78,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document encoded to pieces and decoded again: counts, digests and whether the text came back whole."""
+    """Each document encoded to pieces and decoded again: counts and digests of the ids and of the text that came back."""
     return pieces.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE)).select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "ids_sha256", "text_sha256")
 
 

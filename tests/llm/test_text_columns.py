@@ -100,6 +100,27 @@ def test_pieces(odd, nothing):
     assert pieces.round_trip(nothing, PIECE).count() == pieces.decode_pieces(pieces.encode_pieces(nothing, PIECE), PIECE).count() == 0
 
 
+def test_texts_without_blanks_are_cut_where_no_piece_reaches():
+    import sentencepiece
+
+    library, model = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.Pieces.load(PIECE)
+    rng = random.Random(7)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20_000)), "".join(rng.choices("abcdeABC012+/=", k=3000)), "".join(rng.choices("日本語テキスト東京大学のはを", k=5000)), "é" * 500 + "x" * 500, " " * 300 + "y", "https://a.b/" + "q=1&" * 200]
+    began = time.process_time()
+    got = [np.frombuffer(x, np.int32).tolist() for x in model.encode(texts)]
+    assert time.process_time() - began < 15
+    assert got == [library.encode(t) for t in texts]
+    assert all("".join(model.cut(t)) == t for t in texts)
+
+
+def test_models_that_change_texts_are_refused(tmp_path):
+    assert pieces.model_specs(PIECE)[0] == 2
+    (tmp_path / "m.model").write_bytes(b"\x12\x02\x18\x02\x1a\x02\x20\x01")  # BPE that removes extra blanks
+    assert pieces.model_specs(str(tmp_path / "m.model")) == (2, {4: 1})
+    with pytest.raises(ValueError):
+        pieces.Pieces.load(str(tmp_path / "m.model"))
+
+
 def test_unigram_viterbi_is_the_best_path():
     rng = random.Random(5)
     vocabulary = sorted({"▁"} | {"".join(rng.choices("ab▁"[:2], k=n)) for n in (1, 2, 3, 4) for _ in range(6)} | {"▁a", "▁ab"})
