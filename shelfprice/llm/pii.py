@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import lean, pick
+from .common import lean, numbered, pick
 
 #: Base kinds, in the order in which spans that begin at one place are listed; then the field's own.
 BASE = ("email", "ip", "card", "phone")
@@ -358,7 +358,8 @@ def mask_pii(docs: DataFrame, model: SkipChain, *, text_col="text") -> DataFrame
                 columns[at] = new
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    plain, _, back = numbered(docs)
+    return back(plain.mapInArrow(lean(run), plain.schema))
 
 
 def find_pii(docs: DataFrame, model: SkipChain, *, id_col="doc_id", text_col="text") -> DataFrame:

@@ -31,9 +31,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each document in the mix of all sources."""
+    """doc_id, size, source_size, target, taken of each document in the mix of all sources, and which shards drew its blocks, and where."""
     mix = mixing.mix_sources(_table(spark, sf_dir, "documents"))
-    return mixing.taken_words(mix).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixing.taken_words(mix).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "n_shards", "placement")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_mix_sources": r"""
-with rows as (
+with recursive rows as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 sizes as (select source, sum(size)::bigint as source_size from rows group by source),
 weighed as (
@@ -120,12 +120,113 @@ targets as (
 blocks as (
   select doc_id, source, size, block, least(256, size - block * 256) as n_words, md5('7/' || doc_id || '/' || block) as key
   from rows, lateral (select unnest(range(0, greatest(1, (size + 255) // 256))) as block)),
+ordered as (
+  select b.*, t.source_size, t.target, t.passes, sum(n_words) over own as upto, sum((n_words > 0)::bigint) over own as rank,
+    sum((n_words > 0)::bigint) over (partition by b.source) as n_blocks
+  from blocks b join targets t on b.source is not distinct from t.source
+  window own as (partition by b.source order by key, doc_id, block rows unbounded preceding)),
 placed as (
-  select b.*, t.source_size, t.target, t.passes,
-    sum(n_words) over (partition by b.source order by key, doc_id, block rows unbounded preceding) as upto
-  from blocks b join targets t on b.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  sum(case when n_words > 0 then n_words * (passes + case when passes < 3 and upto - n_words / 2.0 <= target - passes * source_size then 1 else 0 end) else 0 end)::bigint as taken
-from placed group by doc_id, size, source_size, target
+  select *, case when n_words > 0 then passes + case when passes < 3 and upto - n_words / 2.0 <= target - passes * source_size then 1 else 0 end else 0 end as asked from ordered),
+quotas as (select source, sum(asked)::bigint as quota from placed group by source),
+lists as (select list(source order by source nulls last) as names, list(quota order by source nulls last) as q from quotas),
+tree as (select ceil(log2(greatest(64, ceil(sum(size) / 4194304.0))))::int as depth from rows),
+walk(level, shard, q, i, size, take, lefts) as (
+  select 0, 0::bigint, q, 1, list_sum(q)::bigint, list_sum(q)::bigint // 2, []::bigint[] from lists
+  union all
+  select case when i <= len(q) then level else level + 1 end, shard + case when i <= len(q) then 0 else side * (1::bigint << (depth - level - 1)) end,
+    case when i <= len(q) then q else child end, case when i <= len(q) then i + 1 else 1 end,
+    case when i <= len(q) then size - q[i] else list_sum(child)::bigint end, case when i <= len(q) then take - got else list_sum(child)::bigint // 2 end,
+    case when i <= len(q) then list_append(lefts, got) else []::bigint[] end
+  from (
+    select *, case when side = 0 then lefts else [a - lefts[j] for a, j in q] end as child,
+      low + case when high > low then len([j for j in range(1, len(weights)) if list_sum(weights[1:j]) < u * list_sum(weights)]) else 0 end as got
+    from (
+      select *, [exp(lgamma(low + 1) + lgamma(k - low + 1) + lgamma(n - low + 1) + lgamma(s - k - n + low + 1)
+        - lgamma(x + 1) - lgamma(k - x + 1) - lgamma(n - x + 1) - lgamma(s - k - n + x + 1)) for x in range(low, high + 1)] as weights
+      from (
+        select *, greatest(0, n + k - s, floor(mean)::bigint - spread) as low, least(n, k, floor(mean)::bigint + spread) as high
+        from (
+          select *, case when s > 0 then n::double * k / s else 0 end as mean,
+            ceil(12 * sqrt(case when s > 0 then n::double * k / s else 0 end * greatest((s - k)::double / greatest(s, 1), 0)))::bigint + 12 as spread
+          from (
+            select w.*, depth, size as s, coalesce(q[i], 0) as k, take as n,
+              (('0x' || substr(md5('7/' || level || '/' || shard || '/' || (i - 1)), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u,
+              unnest(case when i <= len(q) then [0] else [0, 1] end) as side
+            from walk w, tree where level < depth)))))),
+leaves as (select shard, unnest(names) as source, unnest(walk.q) as n from walk, tree, lists where level = depth and i = 1),
+firsts as (select *, coalesce(sum(n) over (partition by source order by shard rows between unbounded preceding and 1 preceding), 0) as first from leaves),
+turns as (select *, (round - 1) * n_blocks + rank - 1 as place from placed, lateral (select unnest(range(1, passes::bigint + 2)) as round) where n_words > 0),
+drawn as (
+  select t.doc_id, t.block, t.n_words, t.round, f.shard
+  from turns t join firsts f on t.source is not distinct from f.source and t.place >= f.first and t.place < f.first + f.n),
+slotted as (
+  select *, row_number() over (partition by shard order by md5('7/slot/' || doc_id || '/' || block || '/' || round), doc_id, block, round) as slot from drawn),
+given as (
+  select doc_id, sum(n_words)::bigint as taken, count(distinct shard)::int as n_shards, md5(string_agg(round || ':' || block || ':' || shard || ':' || slot, ',' order by round, block)) as placement
+  from slotted group by doc_id)
+select r.doc_id, r.size, t.source_size, t.target, coalesce(taken, 0)::bigint as taken, coalesce(n_shards, 0)::int as n_shards, coalesce(placement, md5('')) as placement
+from rows r join targets t on r.source is not distinct from t.source left join given g on g.doc_id = r.doc_id
+""",
+    "op4_licenses": r"""
+with texts as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+lines as (
+  select doc_id, line, regexp_extract_all(content, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from texts)),
+spots as (
+  select doc_id, w, coalesce(sum(len(w)) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0)::bigint as a from lines),
+whole as (select doc_id, flatten(list(w order by a)) as w, count(*) filter (len(w) > 0) as n_lines from spots group by doc_id),
+phrases(p, label) as (values (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
+places as (
+  select doc_id, label, unnest([i - 1 for i in range(1, len(w) + 1) if w[i:i + len(p) - 1] = p]) as place from whole, phrases),
+base as (
+  select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list(distinct label) as labels from places group by doc_id),
+blocks as (
+  select doc_id, w[pos + 1:least(pos + 64, len(w))] as b from (
+    select doc_id, w, unnest([x for x in range(0, greatest(1, len(w) - 32), 32)]) as pos from spots where len(w) > 0)
+  union all
+  select doc_id, w[pos + 1:least(pos + 64, len(w))] from (
+    select doc_id, w, unnest(range(0, greatest(1, len(w) - 32), 32)) as pos from whole where n_lines > 1)),
+templates(t, label, must) as (values
+TEMPLATES),
+words as (select string_split(t, ' ') as t, list_distinct(string_split(t, ' ')) as tokens, label, must from templates),
+near as (select doc_id, list_distinct(b) as b from blocks),
+met as (
+  select doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)::double) as share from near, words
+  where len(list_intersect(b, tokens)) >= 0.8 * len(tokens) - 1e-9 and list_has_all(b, must) group by doc_id, label),
+own as (select doc_id, list(label) as labels, max(share) as share from met group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') as labels,
+  case when n_base > 0 then 1.0 else coalesce(share, 0.0) end::double as score
+from whole w left join base using (doc_id) left join own using (doc_id)
+""".replace("TEMPLATES", ",\n".join(f"  ('{t}', '{label}', {list(*must)}::varchar[])" for t, label, *must in licenses.TEMPLATES)),
+    "op7_near_duplicates": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) >= 4 then [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+classes as (select min(doc_id) as head, list(doc_id) as ids, any_value(s) as s from (select doc_id, list_sort(s) as s from sets) where len(s) > 0 group by md5(array_to_string(s, '|'))),
+shingles as (select head, len(s) as n, unnest(s) as shingle from classes),
+pairs as (
+  select a.head as a, b.head as b from shingles a join shingles b on a.shingle = b.shingle and a.head < b.head
+  group by a.head, b.head, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reach(node, other) as (select head, head from classes union select r.node, l.b from reach r join links l on r.other = l.a),
+component as (select node, min(other) as low from reach group by node),
+members as (select unnest(ids) as doc_id, low from classes join component on head = node)
+select doc_id, len(s)::bigint as n_shingles, coalesce(low, doc_id) as component_id, coalesce(low, doc_id) = doc_id as kept from sets left join members using (doc_id)
+""",
+    "op10_near_vectors": r"""
+with recursive vectors as (
+  select vec_id, label, case when label is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+    and len([x for x in embedding if x <> 0]) > 0 then embedding::double[] end as v from embeddings),
+pairs as (
+  select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+links as (select a, b from pairs union all select b, a from pairs),
+reach(node, other) as (select vec_id, vec_id from vectors union select r.node, l.b from reach r join links l on r.other = l.a),
+component as (select node, min(other) as low from reach group by node),
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, low as component_id, low = vec_id as kept from vectors join component on vec_id = node left join counts on vec_id = a
 """,
 }

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, pick
+from .common import Scratch, lean, numbered, pick
 from .textual import chunks, spans, word_hashes
 
 #: Symbols of words: other, insult, threat verb, target, intent, negation, reporting verb; and a clause's end.
@@ -278,7 +278,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col="doc_id", te
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col="text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores below threshold."""
+    """The rows of docs, all columns as they are, whose text scores below threshold.
+
+    A null or empty text scores as one without matches; repeated rows stay or go alike; an empty table gives
+    an empty one; other columns are not read, whatever their names.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,4 +292,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col="text", thresh
                 low = model.scores(model.features(part.column(at).to_pylist())) < threshold
                 yield part.filter(pa.array(low, pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    plain, _, back = numbered(docs)
+    return back(plain.mapInArrow(lean(run), plain.schema))

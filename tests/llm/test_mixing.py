@@ -4,7 +4,7 @@ import pytest
 
 from shelfprice.llm import mixing
 
-from .conftest import odd_texts
+from .conftest import odd_texts, prose
 
 
 def water_fill(sizes: dict, weights=(5, 2, 1)) -> dict:
@@ -64,12 +64,39 @@ def test_odd_documents(odd):
     assert sorted(((*key(r), r["taken"]) for r in rows)) == sorted(((*key(r), r["taken"]) for r in again))
 
 
-def test_whole_documents(spark):
-    docs = spark.createDataFrame(odd_texts(), "doc_id long, text string, source string")
-    mixed = mixing.mixed_documents(docs, mixing.mix_sources(docs, block_words=None, shards=4))
-    assert mixed.columns == ["doc_id", "text", "source"]
-    texts = {t for _, t, _ in odd_texts()}
-    assert all(r["text"] in texts for r in mixed.collect())
+def test_shards_draw_exact_disjoint_quotas(spark):
+    docs = spark.createDataFrame([(i, prose(20 + 7 * i % 90, 50 + i), "abc"[min(i % 4, 2)]) for i in range(120)], "doc_id long, text string, source string")
+    results = {}
+    for shards in (4, 32):
+        mix = mixing.mix_sources(docs, block_words=16, shards=shards, shard_words=1 << 8)
+        rows = [r for r in mix.collect() if r["shard"] is not None]
+        assert len({(r["id"], r["tag"], r["copy"], r["block"], r["round"]) for r in rows}) == len(rows)
+        sizes = Counter(r["shard"] for r in rows)
+        assert set(sizes) == set(range(shards)) and max(sizes.values()) - min(sizes.values()) <= 1
+        for shard, n in sizes.items():
+            assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(1, n + 1))
+        # The quotas drawn, split by the tree, are what the shards hold.
+        quota = Counter(r["source"] for r in rows)
+        leaves = mixing.split_quotas(spark.createDataFrame(list(quota.items()), "source string, quota long"), shards, 7).collect()
+        assert Counter((r["source"], r["shard"]) for r in rows) == {(r["source"], r["shard"]): r["n"] for r in leaves if r["n"]}
+        # A block of a later round was drawn in all rounds before it.
+        drawn = {(r["id"], r["block"], r["round"]) for r in rows}
+        assert all((i, b, k) in drawn for i, b, n in drawn for k in range(1, n))
+        results[shards] = {r["id"]: (r["taken"], r["n_shards"], r["placement"]) for r in mixing.taken_words(mix).collect()}
+        for i, (taken, n_shards, _) in results[shards].items():
+            mine = [r for r in rows if r["id"] == i]
+            assert taken == sum(r["n_words"] for r in mine) and n_shards == len({r["shard"] for r in mine})
+    few, many = results[4], results[32]
+    assert all(few[i][0] == many[i][0] for i in few) and any(few[i][2] != many[i][2] for i in few)
+
+
+def test_whole_documents(spark, odd):
+    for docs in (spark.createDataFrame(odd_texts(), "doc_id long, text string, source string"), odd):
+        mixed = mixing.mixed_documents(docs, mixing.mix_sources(docs, block_words=None, shards=4))
+        assert mixed.columns == docs.columns and mixed.dtypes == docs.dtypes
+        texts = {t for _, t, _ in odd_texts()}
+        at = docs.columns.index("text")
+        assert all(r[at] in texts for r in mixed.collect())
 
 
 def test_nothing(nothing):
