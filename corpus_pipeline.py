@@ -1,7 +1,9 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; all but the last
-return the columns of documents. Empty tables pass through; null texts are kept as clean and empty.
+return the columns of documents. Empty tables pass through; null and empty texts are kept as clean up to
+the mix, which takes words and so has no place for them; repeated rows count as often as they come until
+near-duplicates go; very long texts are read whole; other columns may have any names that Parquet can hold.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfprice.llm import mixing, near_dup, pieces, pii, toxicity
-from shelfprice.llm.common import Scratch
+from shelfprice.llm.common import Scratch, numbered
 from shelfprice.llm.queries import PIECE_BPE, tokenizer_path
 
 
@@ -27,8 +29,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes its kind in brackets; n_chars follows the text."""
-    masked = pii.mask_pii(docs, pii.fit_pii(docs))
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    plain, at, back = numbered(pii.mask_pii(docs, pii.fit_pii(docs)))
+    size = at("n_chars")
+    return back(plain.withColumn(size, F.length(at("text")).cast(plain.schema[size].dataType)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. What a stage has written for itself, and its input, go once its result is written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        before, old = list(Scratch.roots), docs
+        docs = scratch.keep(stage(spark, old, sf_dir))
+        Scratch.remove(spark, [r for r in Scratch.roots if r not in before])
+        scratch.drop(old)
     return docs
