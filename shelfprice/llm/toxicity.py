@@ -105,22 +105,21 @@ def grammar() -> Transducer:
 
 
 _GRAMMAR = grammar()
-FEATURES = ("targeted", "asserted", "reported", "negated", "threats", "planned", "best", "clauses", "variety", "density")
+FEATURES = ("targeted", "asserted", "reported", "negated", "threats", "planned", "best", "clauses", "weight", "density")
 
 
-def _features(clauses: list[str], entries: int, words: int) -> list[float]:
-    """What a text's matched clauses amount to."""
-    count, best = Counter(), 0.0
+def _features(clauses: list[str], words: int) -> list[float]:
+    """What a text's matched clauses amount to: marks counted, and the clauses' arc sums, their largest and their sum a word."""
+    count, best, heavy = Counter(), 0.0, 0.0
     for clause in clauses:
         out, weight = _GRAMMAR.run(clause)
-        best = max(best, weight)
+        best, heavy = max(best, weight), heavy + max(0.0, weight)
         for x in out:
             if x[0] in (INSULT, THREAT):
                 marks = x[1:]
                 kind = "reported" if "R" in marks else "negated" if "N" in marks else "planned" if x[0] == THREAT and "F" in marks else "threats" if x[0] == THREAT else "targeted" if "Y" in marks else "asserted"
                 count[kind] += 1
-    insults = count["targeted"] + count["asserted"] + count["planned"]
-    return [*(np.log1p(count[k]) for k in FEATURES[:6]), best, np.log1p(len(clauses)), np.log1p(entries), min(1.0, 20 * insults / max(words, 1))]
+    return [*(np.log1p(count[k]) for k in FEATURES[:6]), best, np.log1p(len(clauses)), np.log1p(heavy), min(1.0, 12 * heavy / max(words, 1))]
 
 
 @dataclass
@@ -152,7 +151,6 @@ class ToxicityModel:
         for _, part in chunks([None if t is None else t.lower() for t in texts]):
             buf, starts, ends, first = spans(part, _LETTERS)
             symbol = np.full(len(starts), ord(OTHER), np.uint8)
-            entry = np.zeros(len(starts), np.uint64)
             for length, keys, kinds in tables:
                 if not len(keys) or not len(starts):
                     continue
@@ -160,7 +158,7 @@ class ToxicityModel:
                 h = word_hashes(buf, starts[some], starts[some] + length if length else ends[some])
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 ok = (keys[at] == h) & (symbol[some] == ord(OTHER))
-                symbol[some[ok]], entry[some[ok]] = kinds[at[ok]], h[ok]
+                symbol[some[ok]] = kinds[at[ok]]
             clause = np.cumsum(_ENDS[buf])[starts] if len(starts) else np.zeros(0, np.int64)
             hits = np.flatnonzero((symbol == ord(INSULT)) | (symbol == ord(THREAT)))
             owner = np.searchsorted(first, hits, side="right") - 1
@@ -174,7 +172,7 @@ class ToxicityModel:
                 a = lo + np.searchsorted(clause[lo:hi], found)
                 b = lo + np.searchsorted(clause[lo:hi], found, side="right")
                 clauses = [symbol[x:y].tobytes().decode() + END for x, y in zip(a, b, strict=True)]
-                rows.append(_features(clauses, len(np.unique(entry[mine])), int(hi - lo)))
+                rows.append(_features(clauses, int(hi - lo)))
         return np.array(rows).reshape(-1, len(FEATURES))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -206,13 +204,15 @@ def _counted(sample: DataFrame, only: set[str] | None) -> DataFrame:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", sample_rows: int = 20_000, support: int = 3, share: float = 0.005, odds: float = 30.0, most_entries: int = 150,
+    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", sample_rows: int = 20_000, support: int = 3, share: float = 0.01, odds: float = 30.0,
 ) -> ToxicityModel:
     """Learn lexicon and weights from at most sample_rows labelled rows, those of least hash that are not held out.
 
-    Lexicon: words and word beginnings (4 to 6 letters) that occur in at least support toxic texts, and at
-    least that share of them, and whose share of toxic texts is at least odds times that of other texts; at most most_entries of them.
-    Where a class has no row, the model keeps its fixed lexicon and weights.
+    Lexicon: all words and word beginnings (4 to 6 letters) that occur in at least support toxic texts, and at
+    least that share of them, and whose share of toxic texts is at least odds times that of other texts. As each
+    is in that share of the sample's toxic texts, their number is bounded by the length of texts and not by the
+    corpus. Where a class has no row, the model keeps its fixed lexicon and weights. Rows with a null id or
+    label teach nothing; repeated labels of one id count as its largest.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -224,14 +224,14 @@ def fit_toxicity(
     bad, good = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
     if not bad or not good:
         return ToxicityModel()
-    toxic = {r["part"]: r["n"] for r in _counted(sample.where("label = 1"), None).where(F.col("n") >= max(support, share * bad)).orderBy(F.desc("n"), "part").limit(100 * most_entries).collect()}
+    toxic = {r["part"]: r["n"] for r in _counted(sample.where("label = 1"), None).where(F.col("n") >= max(support, share * bad)).collect()}
     clean = {r["part"]: r["n"] for r in _counted(sample.where("label <> 1"), set(toxic)).collect()}
     rate = {p: ((n + 0.5) / (bad + 1)) / ((clean.get(p, 0) + 0.5) / (good + 1)) for p, n in toxic.items()}
-    chosen: list[str] = []
+    chosen: dict[str, None] = {}
     # The widest entries first: a word or longer beginning that one of them covers adds nothing.
     for p in sorted((p for p in rate if rate[p] >= odds), key=lambda p: (-toxic[p], len(p) if p.endswith("*") else 0, p)):
-        if len(chosen) < most_entries and not any(c.endswith("*") and p.startswith(c[:-1]) for c in chosen):
-            chosen.append(p)
+        if not any(p[:k] + "*" in chosen for k in range(1, len(p.removesuffix("*")) + 1)):
+            chosen[p] = None
     model = ToxicityModel([p for p in chosen if not p.endswith("*")], [p[:-1] for p in chosen if p.endswith("*")])
     known = {w for w in LEXICON[INSULT]}
     model.words = [w for w in model.words if w not in known]

@@ -306,6 +306,46 @@ def test_toxicity_grammar():
     assert run("yi|")[1] > run("i|")[1] > run("ri|")[1] > run("rni|")[1]
 
 
+def plain_features(text: str, model: toxicity.ToxicityModel) -> list[float]:
+    """The features word by word: symbols from the lexicon, clauses cut at their ends, the four marks set one after the other."""
+    symbol = {w: s for s, ws in toxicity.LEXICON.items() for w in ws} | dict.fromkeys(model.words, "i")
+    clauses, words = [[]], 0
+    for piece in re.findall(r"[a-z\x80-\U0010ffff]+|[.!?;:\n]", text.lower()):
+        if piece in ".!?;:\n":
+            clauses.append([])
+            continue
+        words += 1
+        kind = symbol.get(piece) or ("i" if any(len(piece.encode()) > len(x.encode()) and piece.startswith(x) for x in model.stems) else "w")
+        clauses[-1].append(kind)
+    count, best, heavy, hit = Counter(), 0.0, 0.0, 0
+    for clause in clauses:
+        if not set(clause) & {"i", "t"}:
+            continue
+        hit += 1
+        weight, reach = 0.0, dict.fromkeys("RNFY", 0)
+        for kind in clause:
+            if kind in "it":
+                on = {m for m in reach if reach[m]}
+                weight += (-0.6 if "R" in on else 0) + (-0.8 if "N" in on else 1) + (0.5 if "F" in on else 0) + (0.7 if "Y" in on else 0)
+                name = "reported" if "R" in on else "negated" if "N" in on else "planned" if kind == "t" and "F" in on else "threats" if kind == "t" else "targeted" if "Y" in on else "asserted"
+                count[name] += 1
+            for mark, opens, far in (("R", "r", 12), ("N", "n", 3), ("F", "f", 4), ("Y", "y", 5)):
+                reach[mark] = far if kind == opens else max(0, reach[mark] - 1)
+        best, heavy = max(best, weight), heavy + max(0.0, weight)
+    if not hit:
+        return [0.0] * len(toxicity.FEATURES)
+    return [*(np.log1p(count[k]) for k in toxicity.FEATURES[:6]), best, np.log1p(hit), np.log1p(heavy), min(1.0, 12 * heavy / words)]
+
+
+def test_toxicity_features_by_brute_force():
+    rng = random.Random(12)
+    model = toxicity.ToxicityModel(["zorblax"], ["grumm", "été"])
+    words = [w for ws in toxicity.LEXICON.values() for w in ws[:4]] + "zorblax zorblaxing grumm grummel étés été house, tree. river! Ünd x1y don't IDIOT".split()
+    texts = [" ".join(rng.choices(words + ["filler"] * 30, k=rng.randint(0, 60))) for _ in range(300)] + ["", "idiot", ". . .", "you\nidiot", "x" * 5000 + " you idiot " + "y " * 5000]
+    got = model.features(texts)
+    assert np.allclose(got, [plain_features(t, model) for t in texts], atol=1e-9)
+
+
 def test_toxicity(spark, odd, nothing):
     rng = random.Random(4)
     rows, labels = [], []
