@@ -188,7 +188,8 @@ def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_byt
     ids = [F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max(F.col("id").isNull()).alias("nameless")]
     shared = (F.col("first_id") < F.col("last_id")) | (F.col("nameless") & F.col("first_id").isNotNull())
     # Only sums of fixed size go through the first shuffle; an anchor that a third of all rows have is added up before it.
-    seen = pieces.groupBy("anchor").agg(*ids, (F.min("around") != F.max("around")).alias("varied")).where(shared).select("anchor", "first_id", "varied")
+    # They are written before the join, which then is of two plain tables: an anchor that many rows have can be split.
+    seen = scratch.keep(pieces.groupBy("anchor").agg(*ids, (F.min("around") != F.max("around")).alias("varied")).where(shared).select("anchor", "first_id", "varied"))
     again = scratch.keep(pieces.join(seen, "anchor").distinct())
     varied = again.where("varied").drop("first_id")
     marks = varied.groupBy("anchor", "around").agg(*ids, F.min(F.struct("id", "tag", "start", "n")).alias("at"))
@@ -235,7 +236,8 @@ def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_byt
 def cut_repeats(docs: DataFrame, spans: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """id, text of each row with the runs of repeated_spans that are not first cut out.
 
-    Texts without such runs come back as they are, null ones too.
+    Texts without such runs come back as they are, null ones too; repeated rows are cut alike; an empty
+    table gives an empty one; other columns are not read.
     """
     rows = pick(docs, id=id_col, text=text_col)
 
