@@ -8,36 +8,60 @@ from pyspark.sql import functions as F
 from ..functions import text, vocab
 
 #: Trailing words of a name that may be a tag rather than part of it.
-TAG_WORDS = (
-    "islay speyside highland highlands lowland lowlands campbeltown island islands welsh irish scotch scottish japanese canadian indian american english british swedish taiwanese german "
-    "french australian finnish whisky whiskey bourbon blended malt grain single straight rye pure"
-).split()
-MOST_BRAND_WORDS = 6
+TAG_WORDS = [
+    "islay", "speyside", "highland", "highlands", "lowland", "lowlands", "campbeltown", "island", "islands", "welsh", "irish", "scotch", "scottish", "japanese", "canadian", "indian",
+    "american", "english", "british", "swedish", "taiwanese", "german", "french", "australian", "finnish", "whisky", "whiskey", "bourbon", "blended", "malt", "grain", "single", "straight",
+    "rye", "pure",
+]
+
+
+def _folded(column: str) -> Column:
+    """Lower case without apostrophes, all but letters and digits as one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(column), "['`’]", ""), "[^0-9a-zа-яіїєґ]+", " "))
 
 
 def brand_index(brands: DataFrame, column: str = "name") -> DataFrame:
     """key (folded, blanks kept) and brand: the first name, by its letters, of each key."""
-    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(column), "['`’]", ""), "[^0-9a-zа-яіїєґ]+", " "))
-    return brands.select(key.alias("key"), F.col(column).alias("brand")).where("key <> ''").groupBy("key").agg(F.min("brand").alias("brand"))
+    return brands.select(_folded(column).alias("key"), F.col(column).alias("brand")).where("key <> ''").groupBy("key").agg(F.min("brand").alias("brand"))
+
+
+def most_words(index: DataFrame) -> int:
+    """How many words the index's longest key has: one number."""
+    return index.agg(F.max(F.size(F.split("key", " "))).alias("n")).first()["n"] or 0
+
+
+def _longest_key(texts: DataFrame, index: DataFrame, value: str) -> DataFrame:
+    """(__text) to __text and the value of the longest key that stands as whole words in it."""
+    words = F.split(_folded("__text"), " ")
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(words), F.lit(most_words(index))))), of_length))
+    keys = texts.where("__text is not null").distinct().select("__text", F.explode(F.array_distinct(runs)).alias("key"))
+    return keys.join(index, "key").groupBy("__text").agg(F.max_by(value, F.struct(F.length("key"), F.col("key"))).alias(value), F.max(F.length("key")).alias("__size"))
 
 
 def brand_from_name(items: DataFrame, index: DataFrame, column: str = "name") -> DataFrame:
     """Items with found_brand: the longest brand that stands as whole words in the name.
 
-    Each run of up to six words of a name is looked up by its hash, an equi-join, so items and brands are
-    never multiplied. Names are joined once each; a longer brand than six words is not found.
+    Each run of a name's words, up to as many as the longest brand has, is looked up by its hash, an
+    equi-join, so items and brands are never multiplied. Names are joined once each.
     """
-    named = items.select(F.col(column).alias("__name")).where("__name is not null").distinct()
-    keys = named.select("__name", F.explode(F.array_distinct(_runs("__name"))).alias("key"))
-    hits = keys.join(index, "key").groupBy("__name").agg(F.max_by("brand", F.struct(F.length("key"), F.col("key"))).alias("found_brand"))
-    return items.join(hits, F.col(column) == F.col("__name"), "left").drop("__name")
+    hits = _longest_key(items.select(F.col(column).alias("__text")), index, "brand").select("__text", F.col("brand").alias("found_brand"))
+    return items.join(hits, F.col(column) == F.col("__text"), "left").drop("__text")
 
 
-def _runs(column: str) -> Column:
-    hay = F.trim(F.regexp_replace(F.regexp_replace(F.lower(column), "['`’]", ""), "[^0-9a-zа-яіїєґ]+", " "))
-    words = F.split(hay, " ")
-    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(MOST_BRAND_WORDS))), of_length))
+def brand_facts(items: DataFrame, info: DataFrame) -> DataFrame:
+    """Items (name, brand) with brand_country and brand_type: of the longest known brand in the name or the brand field.
+
+    info: brand, country and type (null where a brand has several), the table of known brands. Brands are
+    looked up as in brand_from_name; the name goes before the brand field where keys are equally long.
+    """
+    index = info.select(_folded("brand").alias("key"), F.struct("country", "type").alias("fact")).where("key <> ''").groupBy("key").agg(F.min("fact").alias("fact"))
+    hits = _longest_key(items.select(F.col("name").alias("__text")).unionByName(items.select(F.col("brand").alias("__text"))), index, "fact")
+    of = lambda column, alias: hits.select(F.col("__text").alias(f"__{alias}"), F.struct("__size", "fact").alias(alias))
+    both = items.join(of("name", "by_name"), F.col("name") == F.col("__by_name"), "left").join(of("brand", "by_brand"), F.col("brand") == F.col("__by_brand"), "left")
+    longer = F.coalesce(F.col("by_brand.__size"), F.lit(0)) > F.coalesce(F.col("by_name.__size"), F.lit(0))
+    fact = F.when(longer, F.col("by_brand.fact")).otherwise(F.col("by_name.fact"))
+    return both.select(*[F.col(c) for c in items.columns], fact["country"].alias("brand_country"), fact["type"].alias("brand_type"))
 
 
 def model_answers(answers: DataFrame, body: str = "body") -> DataFrame:
@@ -131,9 +155,29 @@ def edit_product(products: DataFrame, product_id: str, changes: dict) -> DataFra
 
 
 def get_or_create(stored: DataFrame, names: DataFrame) -> DataFrame:
-    """A lookup table (id, name) with names that it lacks; an id is a digest of its name."""
-    fresh = names.select(F.trim("name").alias("name")).where("name <> ''").distinct().join(stored, "name", "left_anti")
-    return stored.unionByName(fresh.select(F.md5("name").alias("id"), "name"))
+    """A lookup table (id, name) with names that it lacks, whatever their case and outer blanks; an id is a digest of that key.
+
+    Of several spellings of a new name the least is taken.
+    """
+    key = F.lower(F.trim("name"))
+    fresh = names.select(F.trim("name").alias("name")).where("name <> ''").groupBy(key.alias("key")).agg(F.min("name").alias("name"))
+    fresh = fresh.join(stored.select(key.alias("key")), "key", "left_anti")
+    return stored.unionByName(fresh.select(F.md5("key").alias("id"), "name"))
+
+
+def reconcile(stored: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """What turns a stored set of links into the wanted one: the key and action, add or remove; links on both sides are left out."""
+    old, new = stored.select(*key).distinct(), wanted.select(*key).distinct()
+    return new.join(old, key, "left_anti").withColumn("action", F.lit("add")).unionByName(old.join(new, key, "left_anti").withColumn("action", F.lit("remove")))
+
+
+def merge_products(links: DataFrame, merges: DataFrame) -> DataFrame:
+    """Rows with a product_id, each product that is merged (from_id, into_id) replaced by what it went into; equal rows then count once.
+
+    A chain of merges is followed by asking again: one call is one step.
+    """
+    moved = links.join(merges.select(F.col("from_id").alias("product_id"), "into_id"), "product_id", "left")
+    return moved.withColumn("product_id", F.coalesce("into_id", "product_id")).select(*links.columns).distinct()
 
 
 def spelling_votes(names: DataFrame, column: str = "name") -> DataFrame:

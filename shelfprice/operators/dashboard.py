@@ -53,11 +53,15 @@ def daily(rows: DataFrame, *by: str) -> DataFrame:
     return _named(keyed.groupBy("captured_on", *by).agg(*_metrics()))
 
 
+def edge_days(rows: DataFrame) -> DataFrame:
+    """The first and the last day that have data: 0, 1 or 2 rows."""
+    edges = rows.agg(F.min("captured_on").alias("low"), F.max("captured_on").alias("high"))
+    return edges.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("captured_on")).where("captured_on is not null")
+
+
 def boundary(rows: DataFrame) -> DataFrame:
     """daily() of only the first and the last day that have data: 0, 1 or 2 rows."""
-    edges = rows.agg(F.min("captured_on").alias("low"), F.max("captured_on").alias("high"))
-    days = edges.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("captured_on"))
-    return daily(rows.join(F.broadcast(days), "captured_on"))
+    return daily(rows.join(F.broadcast(edge_days(rows)), "captured_on"))
 
 
 def bounds(snapshot: DataFrame) -> DataFrame:
@@ -149,7 +153,8 @@ def granularity(first: str, last: str, pinned: str | None = None) -> str:
 def summary(rows: DataFrame, offers: DataFrame) -> DataFrame:
     """One row a metric: latest day's and first day's value, their difference, and that in percent of the first (null at 0)."""
     edges = boundary(rows)
-    tracked = offers.crossJoin(edges.select("captured_on")).where(F.col("first_seen") <= F.col("captured_on")).groupBy("captured_on").agg(F.count("*").alias("tracked"))
+    # Two rows at most are broadcast, so each offer is looked at once.
+    tracked = offers.crossJoin(F.broadcast(edge_days(rows))).where(F.col("first_seen") <= F.col("captured_on")).groupBy("captured_on").agg(F.count("*").alias("tracked"))
     facts = edges.join(tracked, "captured_on", "left").withColumn("tracked", F.coalesce("tracked", F.lit(0)))
     facts = facts.withColumn("out_of_stock", F.greatest(F.lit(0), F.col("tracked") - F.col("in_stock")))
     facts = facts.withColumn("promo_share", F.round(F.try_divide(F.col("promo").cast("double"), F.col("in_stock")), 6))

@@ -4,16 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from ..sources.star import last_write_wins
+
+#: Fixed value: a run that leaves less than this share of a store's listings in stock is worth an alert.
 BASELINE_SHARE = 0.5
 
 
 def upsert_snapshots(stored: DataFrame, incoming: DataFrame, order: str = "written_at") -> DataFrame:
-    """One row for each (offer_id, captured_on): the one written last; incoming wins ties."""
-    both = stored.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    w = W.partitionBy("offer_id", "captured_on").orderBy(F.desc(order), F.desc("__new"))
-    return both.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__new")
+    """One row for each (offer_id, captured_on): the one written last; incoming wins ties. An aggregate, so rows combine before the shuffle."""
+    both = stored.withColumn("__at", F.struct(order, F.lit(0))).unionByName(incoming.withColumn("__at", F.struct(order, F.lit(1))))
+    return last_write_wins(both, ["offer_id", "captured_on"], "__at").select(*stored.columns)
+
+
+def stock_alerts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """store_id, was, left of the stores that a sweep leaves with less than BASELINE_SHARE of their listings in stock."""
+    count = lambda df, name: df.where("in_stock").groupBy("store_id").agg(F.count("*").alias(name))
+    both = count(before, "was").join(count(after, "left"), "store_id", "left").withColumn("left", F.coalesce("left", F.lit(0)))
+    return both.where(F.col("left") < F.col("was") * BASELINE_SHARE)
+
+
+def run_outcomes(results: DataFrame) -> DataFrame:
+    """Counters and outcome of each run: store_id, added, removed, updated, total, success, error.
+
+    results: store_id, added, removed, stored, found, stated, stop, complete. An incomplete listing is a
+    failed run whose counters stay; its error says what stopped it and how much was collected.
+    """
+    stated = F.coalesce(F.col("stated").cast("string"), F.lit("an unknown number of"))
+    error = F.format_string("listing not complete (%s): %d of %s items; stock was not swept", "stop", "found", stated)
+    return results.select(
+        "store_id", "added", "removed", (F.col("stored") - F.col("added")).alias("updated"), F.col("found").alias("total"), F.col("complete").alias("success"), F.when(~F.col("complete"), error).alias("error")
+    )
 
 
 def upsert_offers(stored: DataFrame, seen: DataFrame, day: Column) -> DataFrame:

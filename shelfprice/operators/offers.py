@@ -18,12 +18,14 @@ def discount_percent(price: Column, reference: Column) -> Column:
 def latest_prices(snapshot: DataFrame) -> DataFrame:
     """offer_id, price, previous_price, promo, captured_on: the newest snapshot of each offer and the price before it.
 
-    An aggregate of the two newest by (day, price): nothing but two rows an offer is shuffled from each task.
+    The limit on the row number is applied in each task before the shuffle, so each sends two rows an offer
+    at most; the aggregate then finds them together.
     """
     newest = W.partitionBy("offer_id").orderBy(F.desc("captured_on"))
+    two = snapshot.select("offer_id", "captured_on", "price", "promo").withColumn("rn", F.row_number().over(newest)).where("rn <= 2")
     return (
-        snapshot.withColumn("rn", F.row_number().over(newest)).withColumn("previous_price", F.lead("price").over(newest))
-        .where("rn = 1").select("offer_id", "price", "previous_price", "promo", "captured_on")
+        two.groupBy("offer_id").agg(F.max(F.when(F.col("rn") == 1, F.struct("captured_on", "price", "promo"))).alias("n"), F.max(F.when(F.col("rn") == 2, F.col("price"))).alias("previous_price"))
+        .select("offer_id", "n.price", "previous_price", "n.promo", "n.captured_on")
     )
 
 
@@ -64,12 +66,13 @@ def price_extremes(snapshot: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def price_since(snapshot: DataFrame) -> DataFrame:
-    """offer_id, since: the first day after the last one on which the price was higher than it is now, else the first day of all."""
-    now = snapshot.groupBy("offer_id").agg(F.max_by("price", "captured_on").alias("now"))
-    both = snapshot.select("offer_id", "captured_on", "price").join(now, "offer_id")
-    higher = both.groupBy("offer_id").agg(F.max(F.when(F.col("price") > F.col("now"), F.col("captured_on"))).alias("higher_on"))
-    after = both.join(higher, "offer_id").where(F.col("higher_on").isNull() | (F.col("captured_on") > F.col("higher_on")))
-    return after.groupBy("offer_id").agg(F.min("captured_on").alias("since"))
+    """offer_id, since: the first day after the last one on which the price was higher than it is now, else the first day of all.
+
+    From the newest day back, these are the days up to which no price was above the newest: one shuffle by offer.
+    """
+    back = W.partitionBy("offer_id").orderBy(F.desc("captured_on")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = snapshot.select("offer_id", "captured_on", F.max("price").over(back).alias("top"), F.first("price").over(back).alias("now"))
+    return rows.where("top <= now").groupBy("offer_id").agg(F.min("captured_on").alias("since"))
 
 
 def price_history(snapshot: DataFrame, limit: int = 60) -> DataFrame:

@@ -66,21 +66,24 @@ def _cutoff(offers: DataFrame, window: str) -> DataFrame:
     return offers.agg(F.date_sub(F.max("captured_on"), WINDOW_DAYS[window]).alias("cutoff"))
 
 
-def _extremes(offers: DataFrame, snapshot: DataFrame, window: str) -> DataFrame:
-    recent = snapshot.crossJoin(F.broadcast(_cutoff(offers, window)))
+def _extremes(offers: DataFrame, snapshot: DataFrame, window: str, days: DataFrame | None) -> DataFrame:
+    recent = snapshot.crossJoin(F.broadcast(_cutoff(offers if days is None else days, window)))
     return price_extremes(recent, F.col("cutoff"))
 
 
-def drops(offers: DataFrame, snapshot: DataFrame, as_of: str, *, window: str = "week", discount_window: str | None = None, least: int | None = None) -> DataFrame:
-    """Offers below their highest price of the window, with the days since the price took hold, grouped by product."""
-    rows = offers.join(_extremes(offers, snapshot, window), "offer_id", "left").join(price_since(snapshot), "offer_id", "left")
+def drops(offers: DataFrame, snapshot: DataFrame, as_of: str, *, window: str = "week", discount_window: str | None = None, least: int | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Offers below their highest price of the window, with the days since the price took hold, grouped by product.
+
+    days: captured_on of these offers, where it is stored, so that the newest day needs no second look at them.
+    """
+    rows = offers.join(_extremes(offers, snapshot, window, days), "offer_id", "left").join(price_since(snapshot), "offer_id", "left")
     rows = _enriched(rows, F.when(F.col("max_price") > F.col("price"), F.col("max_price")), F.date_diff(F.lit(as_of).cast("date"), F.col("since")))
     return group_offers(min_discount(day_window(rows.where("discount is not null"), discount_window), least))
 
 
-def lows(offers: DataFrame, snapshot: DataFrame, *, window: str = "week", least: int | None = None) -> DataFrame:
-    """Offers at their lowest price of the window that dropped against their previous price; each is a group of its own."""
-    rows = offers.join(_extremes(offers, snapshot, window), "offer_id").where(F.col("price") <= F.col("min_price") + 1e-9)
+def lows(offers: DataFrame, snapshot: DataFrame, *, window: str = "week", least: int | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Offers at their lowest price of the window that dropped against their previous price; each is a group of its own. days: as for drops."""
+    rows = offers.join(_extremes(offers, snapshot, window, days), "offer_id").where(F.col("price") <= F.col("min_price") + 1e-9)
     rows = _enriched(rows, F.col("previous_price")).where("discount is not null")
     return group_offers(min_discount(rows, least), "offer_id")
 

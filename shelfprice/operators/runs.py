@@ -34,6 +34,21 @@ def recent(runs: DataFrame, limit: int = 10) -> DataFrame:
     return runs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("store_id", "place", "run_id", "created_at", "success")
 
 
+def set_active(store: DataFrame, slug: str, active: bool) -> DataFrame:
+    """The stores with one switched on or off; others stay."""
+    return store.withColumn("active", F.when(F.col("slug") == slug, F.lit(active)).otherwise(F.col("active")))
+
+
+def meta(store: DataFrame, country: DataFrame, product: DataFrame, offer: DataFrame, product_flavor: DataFrame) -> DataFrame:
+    """What filters can offer, one row a value: kind (store, type, flavor, country sold, any country), key and label."""
+    sold = product.join(offer, "product_id", "left_semi")
+    kind = lambda df, name, key, label: df.select(F.lit(name).alias("kind"), F.col(key).cast("string").alias("key"), F.col(label).alias("label")).where("key is not null").distinct()
+    return (
+        kind(store, "store", "slug", "store_name").unionByName(kind(product, "type", "type", "type")).unionByName(kind(product_flavor, "flavor", "flavor", "flavor"))
+        .unionByName(kind(country.join(sold, "country_id", "left_semi"), "country", "code", "country_name")).unionByName(kind(country, "any_country", "code", "country_name"))
+    )
+
+
 def store_list(store: DataFrame, offer: DataFrame, runs: DataFrame) -> DataFrame:
     """Each store with its listings in stock and its last successful run."""
     stock = offer.where("in_stock").groupBy("store_id").agg(F.count("*").alias("in_stock"))

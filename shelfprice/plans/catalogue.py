@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..operators import dashboard as dash
-from ..operators import curation, ingest, offers, reports, runs
+from ..operators import curation, ingest, offers, preferences, reports, runs
 from ..operators.filters import OfferFilter, filter_offers
 from ..sources import html
-from ..sources.star import AS_OF, STAR_SQL, Star, newest_per_day, star_views
+from ..sources.star import AS_OF, STAR_SQL, Star, last_write_wins, star_views
 
 FIRST, LAST = "1995-01-01", AS_OF
 DAY = "1996-05-15"
@@ -58,6 +58,11 @@ def _stocked(star: Star) -> DataFrame:
     return _current(star).where("in_stock")
 
 
+def _seen(star: Star) -> DataFrame:
+    """The newest days of the offers in stock, as stored with them."""
+    return star.offer.where("in_stock").select(F.col("last_seen").alias("captured_on"))
+
+
 def _listings(star: Star) -> DataFrame:
     return dash.within(dash.listings(star), FIRST, LAST)
 
@@ -296,13 +301,13 @@ extremes as (select offer_id, min(price) as min_price, max(price) as max_price f
 @_query("rep_drops", _CURRENT_SQL + _SINCE_SQL + _RECENT_SQL + ", rows as (select s.*, max_price, since from stocked s left join extremes using (offer_id) left join since using (offer_id))"
         + _enriched_sql("case when max_price > price then max_price end", "rows", f"date_diff('day', since, date '{AS_OF}')::int", where="discount is not null and discount >= 5") + _GROUP_SQL)
 def _(star):
-    return reports.flat(reports.drops(_stocked(star), star.snapshot, AS_OF, window="year", least=5))
+    return reports.flat(reports.drops(_stocked(star), star.snapshot, AS_OF, window="year", least=5, days=_seen(star)))
 
 
 @_query("rep_low", _CURRENT_SQL + _RECENT_SQL + ", rows as (select s.* from stocked s join extremes using (offer_id) where price <= min_price + 1e-9)"
         + _enriched_sql("previous_price", "rows", key="offer_id", where="discount is not null") + _GROUP_SQL)
 def _(star):
-    return reports.flat(reports.lows(_stocked(star), star.snapshot, window="year"))
+    return reports.flat(reports.lows(_stocked(star), star.snapshot, window="year", days=_seen(star)))
 
 
 @_query("rep_new", _CURRENT_SQL + f", rows as (select * from stocked where first_seen >= date '{AS_OF}' - 6)" + _enriched_sql("null::double", "rows", f"date_diff('day', first_seen, date '{AS_OF}')::int") + _GROUP_SQL)
@@ -411,8 +416,9 @@ def _(spark, sf_dir):
         F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("offer_id"), F.col("l_shipdate").cast("date").alias("captured_on"),
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity",
     )
-    newest = newest_per_day(rows, ["offer_id", "captured_on"], [F.desc(c) for c in ("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")])
-    return newest.select("offer_id", "captured_on", F.col("l_extendedprice").alias("price"))
+    written = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    newest = last_write_wins(rows.select("offer_id", "captured_on", F.col("l_extendedprice").alias("price"), written.alias("written")), ["offer_id", "captured_on"], "written")
+    return newest.drop("written")
 
 
 @_query("fill_missing", STAR_SQL + """, given as (select product_id, arg_min(slug, offer_id) as brand, arg_min(offer_id, offer_id) as type from offer join store using (store_id) group by product_id)
@@ -501,10 +507,165 @@ def _(star):
     return curation.name_candidates(star.product.select("product_id"), _titled(star))
 
 
-@_query("fn_brand_from_name", STAR_SQL + "select product_id, case when name like 'red%' then 'Red' when name like 'blue bolt%' then 'Blue Bolt' end as found_brand from product")
+_BRANDS_SQL = """, brands as (select name from product where product_id % 3 = 0 union select split_part(name, ' ', 1) from product where product_id % 7 = 0),
+idx as (select lower(name) as key, min(name) as brand from brands group by 1),
+found as (select product_id, idx.brand, row_number() over (partition by product_id order by length(key) desc, key desc) as rn
+  from product p join idx on contains(' ' || lower(p.name) || ' ', ' ' || key || ' '))
+"""
+
+
+def _brands(star: Star) -> DataFrame:
+    """Whole names of some products and first words of others, as a table of brands."""
+    return star.product.where("product_id % 3 = 0").select("name").union(star.product.where("product_id % 7 = 0").select(F.split("name", " ")[0])).distinct()
+
+
+@_query("fn_brand_from_name", STAR_SQL + _BRANDS_SQL + "select product_id, f.brand as found_brand from product left join (select product_id, brand from found where rn = 1) f using (product_id)")
+def _(star):
+    return curation.brand_from_name(star.product.select("product_id", "name"), curation.brand_index(_brands(star))).select("product_id", "found_brand")
+
+
+@_query("brand_facts", STAR_SQL + _BRANDS_SQL + """select product_id, 'C' || length(f.brand) as country, case when f.brand like '% %' then 'single malt' end as type
+from product left join (select product_id, brand from found where rn = 1) f using (product_id)""")
+def _(star):
+    info = _brands(star).select(F.col("name").alias("brand"), F.concat(F.lit("C"), F.length("name").cast("string")).alias("country"), F.when(F.contains("name", F.lit(" ")), "single malt").alias("type"))
+    items = curation.brand_facts(star.product.select("product_id", "name", F.lit(None).cast("string").alias("brand")), info)
+    return items.select("product_id", F.col("brand_country").alias("country"), F.col("brand_type").alias("type"))
+
+
+# Writes
+
+@_query("upsert_snapshots", STAR_SQL + "select offer_id, captured_on, case when captured_on >= date '1995-07-01' then price + 1 else price end as price from snapshot")
+def _(star):
+    rows = star.snapshot.select("offer_id", "captured_on", "price")
+    late = rows.where("captured_on >= date '1995-07-01'")
+    stored = rows.where("captured_on < date '1996-01-01'").withColumn("written_at", F.lit(1))
+    incoming = late.withColumn("price", F.col("price") + 1).withColumn("written_at", F.lit(1)).unionByName(late.withColumn("written_at", F.lit(0)))
+    return ingest.upsert_snapshots(stored, incoming).select("offer_id", "captured_on", "price")
+
+
+def _stored_offers(star: Star) -> DataFrame:
+    return star.offer.where("product_id % 2 = 0").select("store_id", F.col("offer_id").alias("sku"), "product_id", F.lit("u").alias("url"), F.lit("n").alias("name_orig"), "in_stock", "first_seen", "last_seen")
+
+
+@_query("upsert_offers", STAR_SQL + f"""select store_id, offer_id as sku, case when product_id % 2 = 0 then product_id else product_id + 1 end as product_id, case when product_id % 3 = 0 then 'v' else 'u' end as url,
+  product_id % 3 = 0 or in_stock as in_stock, case when product_id % 2 = 0 then first_seen else date '{AS_OF}' end as first_seen, case when product_id % 3 = 0 then date '{AS_OF}' else last_seen end as last_seen
+from offer where product_id % 2 = 0 or product_id % 3 = 0""")
+def _(star):
+    seen = star.offer.where("product_id % 3 = 0").select("store_id", F.col("offer_id").alias("sku"), (F.col("product_id") + 1).alias("product_id"), F.lit("v").alias("url"), F.lit("m").alias("name_orig"), F.lit(True).alias("in_stock"))
+    return ingest.upsert_offers(_stored_offers(star), seen, F.lit(AS_OF).cast("date")).select("store_id", "sku", "product_id", "url", "in_stock", "first_seen", "last_seen")
+
+
+@_query("touch_offers", STAR_SQL + f"""select offer_id as sku, product_id % 3 = 0 or in_stock as in_stock, case when product_id % 3 = 0 then date '{AS_OF}' else last_seen end as last_seen from offer where product_id % 2 = 0""")
+def _(star):
+    seen = star.offer.where("product_id % 3 = 0").select("store_id", F.col("offer_id").alias("sku"))
+    return ingest.touch_offers(_stored_offers(star), seen, F.lit(AS_OF).cast("date")).select("sku", "in_stock", "last_seen")
+
+
+@_query("find_or_create", STAR_SQL + """select name as match_key, case when min(product_id) % 2 = 0 then min(product_id)::varchar else md5(name) end as product_id, min(product_id) % 2 <> 0 as is_new from product group by name""")
+def _(star):
+    known = star.product.groupBy(F.col("name").alias("match_key")).agg(F.min("product_id").alias("product_id")).where("product_id % 2 = 0").select("match_key", F.col("product_id").cast("string").alias("product_id"))
+    return ingest.find_or_create(known, star.product.select(F.col("name").alias("match_key")))
+
+
+@_query("keyword_flavors", STAR_SQL + "select product_id, flavor, case when product_id % 2 = 0 then 'manual' else 'scrape' end as source from product_flavor where product_id % 2 = 0 or product_id % 5 <> 0")
+def _(star):
+    stored = star.product_flavor.where("product_id % 2 = 0").withColumn("source", F.lit("manual"))
+    return ingest.add_keyword_flavors(stored, star.product_flavor, star.product.where("product_id % 5 = 0"))
+
+
+_LINKS_SQL = """, links as (select product_id, flavor, case product_id % 3 when 0 then 'llm' when 1 then 'scrape' else 'manual' end as source from product_flavor),
+named as (select product_id, arg_min(flavor, flavor) as flavor from product_flavor where product_id % 2 = 0 and product_id % 5 <> 0 group by product_id)
+"""
+
+
+@_query("model_flavors", STAR_SQL + _LINKS_SQL + """select l.product_id, l.flavor, case when n.flavor is not null and source <> 'manual' then 'llm' else source end as source from links l left join named n on n.product_id = l.product_id and n.flavor = l.flavor
+where n.flavor is not null or source <> 'llm' or l.product_id % 2 <> 0 or l.product_id % 5 = 0""")
+def _(star):
+    key = F.col("product_id") % 3
+    stored = star.product_flavor.withColumn("source", F.when(key == 0, "llm").when(key == 1, "scrape").otherwise("manual"))
+    answers = star.product_flavor.where("product_id % 2 = 0").groupBy("product_id").agg(F.min("flavor").alias("flavor"))
+    return ingest.replace_llm_flavors(stored, answers, star.product.where("product_id % 5 = 0"))
+
+
+@_query("reconcile_links", STAR_SQL + "select product_id, flavor, case when product_id % 3 = 0 then 'add' else 'remove' end as action from product_flavor where (product_id % 2 = 0) <> (product_id % 3 = 0)")
+def _(star):
+    return curation.reconcile(star.product_flavor.where("product_id % 2 = 0"), star.product_flavor.where("product_id % 3 = 0"), ["product_id", "flavor"])
+
+
+@_query("merge_products", STAR_SQL + "select distinct case when product_id % 10 = 3 then product_id - 1 else product_id end as product_id, flavor from product_flavor")
+def _(star):
+    merges = star.product.where("product_id % 10 = 3").select(F.col("product_id").alias("from_id"), (F.col("product_id") - 1).alias("into_id"))
+    return curation.merge_products(star.product_flavor, merges)
+
+
+@_query("get_or_create", STAR_SQL + """, t as (select distinct type from product where type is not null)
+select type as name from t where type like 'S%' union all select upper(type) from t where type not like 'S%'""")
+def _(star):
+    types = star.product.where("type is not null").select(F.col("type").alias("name")).distinct()
+    stored = types.where("name like 'S%'").select(F.md5("name").alias("id"), "name")
+    wanted = types.select(F.concat(F.lit(" "), F.lower("name"), F.lit(" ")).alias("name")).union(types.select(F.upper("name")))
+    return curation.get_or_create(stored, wanted).select("name")
+
+
+@_query("stock_alerts", STAR_SQL + """, left_ as (select * from offer where in_stock and (store_id > 1 or product_id % 3 = 0))
+select store_id, was, coalesce(l.n, 0) as left from (select store_id, count(*) as was from offer where in_stock group by 1) left join (select store_id, count(*) as n from left_ group by 1) l using (store_id) where coalesce(l.n, 0) < was * 0.5""")
+def _(star):
+    after = star.offer.withColumn("in_stock", F.col("in_stock") & ((F.col("store_id") > 1) | (F.col("product_id") % 3 == 0)))
+    return ingest.stock_alerts(star.offer, after)
+
+
+@_query("run_outcomes", STAR_SQL + """select run_id, added, removed, updated - added as updated, updated as total, success, case when not success then 'listing not complete (blocked): ' || updated || ' of '
+  || coalesce(case when run_id % 2 = 0 then added::varchar end, 'an unknown number of') || ' items; stock was not swept' end as error from run_log where success is not null""")
+def _(star):
+    done = star.run_log.where("success is not null").select(
+        "run_id", F.col("run_id").alias("store_id"), "added", "removed", F.col("updated").alias("stored"), F.col("updated").alias("found"), F.when(F.col("run_id") % 2 == 0, F.col("added")).alias("stated"),
+        F.lit("blocked").alias("stop"), F.col("success").alias("complete"),
+    )
+    return ingest.run_outcomes(done).withColumnRenamed("store_id", "run_id")
+
+
+@_query("collapse_tags", STAR_SQL + """, n as (select name from product union select name || ' Malt' from product where product_id % 2 = 0 union select name || ' Malt Islay' from product where product_id % 3 = 0)
+select name, case when name like '% Malt' then name[:-6] when name like '% Malt Islay' and name[:-7] in (select name from n) then name[:-12] else name end as collapsed from n""")
+def _(star):
+    names_ = star.product.select("product_id", "name")
+    more = names_.where("product_id % 2 = 0").select(F.concat("name", F.lit(" Malt"))).union(names_.where("product_id % 3 = 0").select(F.concat("name", F.lit(" Malt Islay"))))
+    return curation.collapse_tags(names_.select("name").union(more))
+
+
+@_query("spelling_votes", STAR_SQL + """, s as (select replace(name, ' ', '') as key, case store_id % 3 when 0 then name when 1 then upper(name) else 'the ' || name end as name from offer join product using (product_id)),
+c as (select key, name, count(*) as votes from s group by 1, 2), r as (select *, row_number() over (partition by key order by votes desc, length(name) desc, name) as rn from c) select key, name, votes from r where rn = 1""")
+def _(star):
+    rows = star.offer.join(star.product.select("product_id", "name"), "product_id")
+    spelled = F.when(F.col("store_id") % 3 == 0, F.col("name")).when(F.col("store_id") % 3 == 1, F.upper("name")).otherwise(F.concat(F.lit("the "), F.col("name")))
+    return ingest.vote_spelling(curation.spelling_votes(rows.select(spelled.alias("name"))))
+
+
+@_query("answer_tally", STAR_SQL + """select count(*) filter (where store_id = 0) as high, count(*) filter (where store_id = 1) as low, count(*) filter (where store_id = 2) as unknown,
+  count(*) filter (where store_id > 2) as unanswered, count(*) filter (where product_id % 3 = 0) as tagged from offer""")
+def _(star):
+    confidence = F.when(F.col("store_id") == 0, "high").when(F.col("store_id") == 1, "low").when(F.col("store_id") == 2, "odd")
+    tags = F.when(F.col("product_id") % 3 == 0, F.array(F.lit("oak"))).otherwise(F.array().cast("array<string>"))
+    return curation.outcome_tally(star.offer.select(confidence.alias("confidence"), tags.alias("tags")))
+
+
+@_query("preference_bundle", STAR_SQL + """, liked as (select store_id::varchar as user_id, offer_id, last_seen from offer where product_id % 50 = 0)
+select user_id, string_agg(offer_id, ',' order by last_seen desc, offer_id desc) as favorites, count(*) as n, 0::bigint as blacklisted from liked group by user_id""")
+def _(star):
+    liked = star.offer.where("product_id % 50 = 0").select(F.col("store_id").cast("string").alias("user_id"), F.col("offer_id").alias("target_id"), F.col("last_seen").cast("timestamp").alias("created_at"))
+    rows = preferences.bundle(liked, liked, liked.limit(0), liked.limit(0))
+    return rows.select("user_id", F.concat_ws(",", "favorites").alias("favorites"), F.size("favorites").cast("long").alias("n"), F.size(F.array_union("blacklist_products", "blacklist_brands")).cast("long").alias("blacklisted"))
+
+
+@_query("meta_values", STAR_SQL + """select 'store' as kind, slug as key, store_name as label from store union select 'type', type, type from product where type is not null union select 'flavor', flavor, flavor from product_flavor
+union select 'country', code, country_name from country where country_id in (select country_id from product where product_id in (select product_id from offer)) union select 'any_country', code, country_name from country""")
+def _(star):
+    return runs.meta(star.store, star.country, star.product, star.offer, star.product_flavor)
+
+
+@_query("rep_sorted_page", _CURRENT_SQL + """, g as (select *, row_number() over (partition by product_id order by price, store_name, offer_id) as rn from stocked)
+select offer_id as group_id, country, age from g where rn = 1 order by lower(country) desc nulls last, group_id limit 100""")
 def _(star):
-    brands = star.product.sparkSession.createDataFrame([("Red",), ("Blue Bolt",), ("blue bolt",), ("Bol",)], "name string")
-    return curation.brand_from_name(star.product.select("product_id", "name"), curation.brand_index(brands)).select("product_id", "found_brand")
+    return reports.page(reports.catalog(_stocked(star)), "catalog", number=1, size=100, sort="country", descending=True).select("group_id", "country", "age")
 
 
 # Pages and text functions
@@ -557,7 +718,7 @@ def _(star):
     return titles.join(names.cleaned_names(titles, "title"), F.col("title") == F.col("raw")).select("product_id", "clean")
 
 
-@_query("fn_specs")
+@_query("fn_specs", STAR_SQL + "select product_id, volume_ml::int as volume, 40.0::double as abv, case when age between 1 and 60 then age end::int as age from product")
 def _(star):
     name = F.concat_ws(" ", F.col("name"), F.col("age").cast("string"), F.lit("y.o."), (F.col("volume_ml") / 1000).cast("string"), F.lit("л 40%"))
     return star.product.select("product_id", text.volume_ml(name).alias("volume"), text.abv(name).alias("abv"), text.age_years(name).alias("age"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text
 from ..functions.vocab import FLAVOR_KEYWORDS
+from ..operators.curation import brand_facts, brand_from_name, brand_index
 
 ITEM = (
     "ean string, sku string, title string, price double, discount struct<status: boolean, old_price: double, value: double>, volume double, "
@@ -111,14 +112,38 @@ def read_tag_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("product_id", "name", F.array_sort(F.array_intersect(tags, F.array(*map(F.lit, FLAVOR_KEYWORDS)))).alias("tags"))
 
 
-def normalise(items: DataFrame, attributes: str = "attributes") -> DataFrame:
+def embedded(body: str | Column, schema: str) -> Column:
+    """The JSON that a card's attribute holds, as a struct of the schema; null where it is absent or malformed."""
+    return F.from_json(F.nullif(F.col(body) if isinstance(body, str) else body, F.lit("")), schema)
+
+
+def split_list(value: Column) -> Column:
+    """A parameter's values parted by commas: trimmed, empty ones dropped; null for nothing."""
+    parts = F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts)
+
+
+def normalise(items: DataFrame, attributes: str = "attributes", brands: DataFrame | None = None, brand_info: DataFrame | None = None) -> DataFrame:
     """Fields that an item lacks, read from its name and attributes; what the site gave stays.
 
-    Age and type are read from the name alone; volume, strength and country also from the attributes.
+    Age and type are read from the name alone; volume, strength and country also from the attributes. A
+    brand that is not stated is the longest of ``brands`` (name) in the name; what then has no country or
+    type takes those of ``brand_info`` (brand, country, type).
     """
+    columns = list(dict.fromkeys([*items.columns, "brand", "volume_ml", "abv", "age", "type", "country", "flavors"]))
+    items = items.withColumn("brand", text.brand(F.col("brand")))
+    if brands is not None:
+        items = brand_from_name(items, brand_index(brands)).withColumn("brand", F.coalesce("brand", "found_brand"))
+    items = _derived(items, attributes)
+    if brand_info is not None:
+        items = brand_facts(items, brand_info).withColumns({"country": F.coalesce("country", "brand_country"), "type": F.coalesce("type", "brand_type")})
+    return items.select(*columns)
+
+
+def _derived(items: DataFrame, attributes: str) -> DataFrame:
     hay = F.concat_ws(" ", F.col("name"), F.array_join(F.map_values(attributes), " "))
     return items.withColumns({
-        "brand": text.brand(F.col("brand")), "volume_ml": F.coalesce("volume_ml", text.volume_ml(hay)), "abv": F.coalesce("abv", text.abv(hay)), "age": F.coalesce("age", text.age_years(F.col("name"))),
+        "volume_ml": F.coalesce("volume_ml", text.volume_ml(hay)), "abv": F.coalesce("abv", text.abv(hay)), "age": F.coalesce("age", text.age_years(F.col("name"))),
         "type": F.coalesce("type", text.product_type(F.col("name"))), "country": F.coalesce(text.canonical_country(F.col("country")), text.country(hay)),
         "flavors": F.array_sort(F.array_union(F.coalesce("flavors", F.array().cast("array<string>")), text.flavor_tags(hay))),
     })

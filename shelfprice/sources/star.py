@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 STORE = "store_id string, slug string, name string, base_url string, color string, active boolean"
 PRODUCT = (
@@ -86,12 +85,6 @@ def last_write_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return newest.select(*key, *[F.col(f"__last.{c}").alias(c) for c in rest])
 
 
-def newest_per_day(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The same by a window, for orders that are no single comparable value."""
-    w = W.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-
-
 #: The same views in SQL, for other engines: a block of common table expressions to put before a query.
 STAR_SQL = """with store as (
   select r_regionkey as store_id, lower(replace(r_name,' ','-')) as slug, r_name as store_name from region),
