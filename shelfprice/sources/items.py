@@ -119,7 +119,7 @@ def embedded(body: str | Column, schema: str) -> Column:
 
 def split_list(value: Column) -> Column:
     """A parameter's values parted by commas: trimmed, empty ones dropped; null for nothing."""
-    parts = F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts)
 
 

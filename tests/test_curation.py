@@ -6,6 +6,9 @@ from shelfprice.operators import curation
 def test_brands_from_names(spark):
     index = curation.brand_index(spark.createDataFrame([("Glen",), ("Glen Test",), ("GLEN-TEST",), ("O'Neil",), ("",)], "name string"))
     items = spark.createDataFrame([("The Glen Test 12",), ("Glenn",), ("oneil's glen",), (None,), ("ONEIL",)], "name string")
+    long = curation.brand_index(spark.createDataFrame([("one two three four five six seven eight",), ("two",)], "name string"))
+    found = curation.brand_from_name(spark.createDataFrame([("The One-Two Three four five six, seven eight!",), ("two",)], "name string"), long).collect()
+    assert {r["found_brand"] for r in found} == {"one two three four five six seven eight", "two"}
     assert {r["name"]: r["found_brand"] for r in curation.brand_from_name(items, index).collect()} == {"The Glen Test 12": "GLEN-TEST", "Glenn": None, "oneil's glen": "Glen", None: None, "ONEIL": "O'Neil"}
 
 
@@ -34,6 +37,8 @@ def test_edits_and_lookups(spark):
     assert sorted(tuple(r) for r in repeated.collect()) == [("name", "a"), ("name", "x")]
     lookup = spark.createDataFrame([("i", "oak")], "id string, name string")
     once = curation.get_or_create(lookup, spark.createDataFrame([("oak",), (" new ",), ("",), ("new",)], "name string"))
+    cased = curation.get_or_create(lookup, spark.createDataFrame([("OAK ",), ("New",), ("new",)], "name string"))
+    assert sorted(r["name"] for r in cased.collect()) == ["New", "oak"]
     assert once.count() == 2 and curation.get_or_create(once, once.select("name")).count() == 2
     heads = curation.heads(spark.createDataFrame([("k", "2", "b"), ("k", "1", "a"), (None, "3", "c")], "match_key string, sku string, name string"))
     assert [tuple(r) for r in heads.collect()] == [("k", "1", "a")]

@@ -59,6 +59,16 @@ def test_normalise_and_tags(spark, tmp_path):
                                 "name string, brand string, volume_ml int, abv double, age int, type string, country string, flavors array<string>, attributes map<string,string>")
     got = items.normalise(row).first()
     assert (got["brand"], got["volume_ml"], got["abv"], got["age"], got["type"], got["country"], got["flavors"]) == ("Glen Test", 700, 43.0, 12, "single malt", "Шотландія", ["smoky"])
+    bare = spark.createDataFrame([("Quill Fern 12 років", None, None, None, None, None, None, None, {"a": "b"}), ("Віскі quill 0.5 л", "", None, None, None, "rye", None, None, {})],
+                                 "name string, brand string, volume_ml int, abv double, age int, type string, country string, flavors array<string>, attributes map<string,string>")
+    known = spark.createDataFrame([("Quill",), ("Quill Fern",), ("a b c d e f g h",)], "name string")
+    facts = spark.createDataFrame([("quill", "A", "grain"), ("quill fern", "B", None)], "brand string, country string, type string")
+    full = {r["name"]: (r["brand"], r["country"], r["type"]) for r in items.normalise(bare, brands=known, brand_info=facts).collect()}
+    assert full == {"Quill Fern 12 років": ("Quill Fern", "B", None), "Віскі quill 0.5 л": ("Quill", "A", "rye")}
+    card = spark.createDataFrame([('{"sku": "7", "price": 12.5}',), ("not json",), ("",), (None,)], "info string").select(items.embedded("info", "sku string, price double").alias("i"), items.split_list(F.col("info")).alias("l"))
+    assert [r["i"] and r["i"]["sku"] for r in card.collect()] == ["7", None, None, None]
+    lists = spark.createDataFrame([(" a, b ,,c",), (" , ",), (None,)], "v string").select(items.split_list(F.col("v")).alias("l"))
+    assert [r["l"] for r in lists.collect()] == [["a", "b", "c"], None, None]
     path = tmp_path / "tags.csv"
     path.write_text("product_id,name,tags\n1,A,oak|Smoky|nonsense|oak\n2,B,\n3,C,oak,extra\n")
     assert [tuple(r) for r in items.read_tag_list(spark, str(path)).orderBy("product_id").collect()] == [("1", "A", ["oak", "smoky"]), ("2", "B", [])]
