@@ -194,12 +194,36 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(lean(run), "key binary, n long, shingles array<long>")
 
 
+def _shingle_counts(sets: DataFrame, items_at_once: int = 1 << 20) -> DataFrame:
+    """family, shingle, times, key of the shingles of some sets, added up in the worker: key is one class that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, at = np.cumsum(batch.column("n").to_numpy()), 0
+            while at < batch.num_rows:
+                done = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + items_at_once, side="right")))
+                part = batch.slice(at, done - at)
+                family, lists = part.column("family").dictionary_encode(), part.column("shingles")
+                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                shingle, code = lists.flatten().to_numpy(), family.indices.to_numpy()[owner]
+                order = np.lexsort((shingle, code))
+                owner, shingle, code = owner[order], shingle[order], code[order]
+                first = np.flatnonzero(np.diff(shingle, prepend=shingle[:1] - 1) | np.diff(code, prepend=-1))
+                yield pa.RecordBatch.from_arrays(
+                    [family.dictionary.take(pa.array(code[first])), pa.array(shingle[first]), pa.array(np.diff(first, append=len(shingle))), part.column("key").take(pa.array(owner[first]))],
+                    ["family", "shingle", "times", "key"],
+                )
+                at = done
+
+    return sets.select("family", "key", "n", "shingles").mapInArrow(lean(run), "family binary, shingle long, times long, key binary")
+
+
 def _families(scratch: Scratch, members: DataFrame, texts: DataFrame, size: int, percent: int, block: int, block_shingles: int = 200_000) -> DataFrame:
     """Links (a, b) within families of large buckets, compared on full sets in pairs of blocks: enough links to join what is alike.
 
     members: centre, key, root (the component so far). A family is what large buckets join. A class that has
     over 100 - percent of its shingles to itself in its family is like none of it and goes first: one count
-    of shingles, combined before the shuffle. Of the rest, those outside of the family's largest component
+    of shingles, combined in the workers before the shuffle. Of the rest, those outside of the family's largest component
     meet all classes of other components. Blocks hold about ``block`` classes or block_shingles shingles, so
     a task holds two blocks whatever the family's size.
     """
@@ -207,7 +231,7 @@ def _families(scratch: Scratch, members: DataFrame, texts: DataFrame, size: int,
     family = components(scratch, stars).select(F.col("node").alias("key"), F.col("root").alias("family"))
     roots = members.select("key", "root").unionByName(members.select(F.col("centre").alias("key"), F.col("centre_root").alias("root"))).distinct()
     sets = scratch.keep(_sets(texts.join(family.select("key"), "key", "left_semi"), size).join(family, "key").join(roots, "key"))
-    counted = sets.select("family", "key", F.explode("shingles").alias("shingle")).groupBy("family", "shingle").agg(F.count("*").alias("times"), F.min("key").alias("key"))
+    counted = _shingle_counts(sets).groupBy("family", "shingle").agg(F.sum("times").alias("times"), F.min("key").alias("key"))
     alone = counted.where("times = 1").groupBy("key").agg(F.count("*").alias("alone"))
     live = sets.join(alone, "key", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * percent).drop("alone")
     live = scratch.keep(live)
