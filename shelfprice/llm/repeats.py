@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_byt
     # Only sums of fixed size go through the first shuffle; an anchor that a third of all rows have is added up before it.
     # They are written before the join, which then is of two plain tables: an anchor that many rows have can be split.
     seen = scratch.keep(pieces.groupBy("anchor").agg(*ids, (F.min("around") != F.max("around")).alias("varied")).where(shared).select("anchor", "first_id", "varied"))
-    again = scratch.keep(pieces.join(seen, "anchor").distinct())
+    again = scratch.keep(pieces.join(seen, "anchor"))
     varied = again.where("varied").drop("first_id")
     marks = varied.groupBy("anchor", "around").agg(*ids, F.min(F.struct("id", "tag", "start", "n")).alias("at"))
     marks = marks.groupBy(F.col("at.id").alias("id2"), F.col("at.tag").alias("tag2")).agg(
@@ -215,7 +215,8 @@ def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_byt
     found = again.where("not varied").select("id", "tag", (F.col("start") + F.col("lead")).alias("start"), (F.col("start") + F.col("n") - 1 + size - F.col("tail")).alias("end"), "first_id").unionByName(
         one_by_one.select("id", "tag", (F.col("start") + F.col("from") + F.col("lead")).alias("start"), (F.col("start") + F.col("to") + size - F.col("tail")).alias("end"), "first_id")
     )
-    found = found.withColumn("is_first", F.col("id").eqNullSafe(F.col("first_id")))
+    # Repeated rows count once; dealt by document, as the windows below need it.
+    found = found.repartition("id", "tag").distinct().withColumn("is_first", F.col("id").eqNullSafe(F.col("first_id")))
     within = W.partitionBy("id", "tag").orderBy("start", "end", "first_id")
     before = within.rowsBetween(W.unboundedPreceding, -1)
     other = F.when(~F.col("is_first"), F.col("end"))
