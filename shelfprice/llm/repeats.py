@@ -141,8 +141,8 @@ def _tagged(rows: DataFrame) -> DataFrame:
 
 
 def _surroundings(marked: DataFrame, size: int) -> DataFrame:
-    """(text, marks) to each mark's anchor, around, first_id, last_id, nameless, the bytes of its windows and the cut characters of each (before + 4 * after)."""
-    carried = ["anchor", "around", "first_id", "last_id", "nameless"]
+    """(text, marks) to each mark's anchor, around, crowded, first_id, last_id, nameless, the bytes of its windows and the cut characters of each (before + 4 * after)."""
+    carried = ["anchor", "around", "crowded", "first_id", "last_id", "nameless"]
     kind = marked.schema["marks"].dataType.elementType["first_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +162,10 @@ def _surroundings(marked: DataFrame, size: int) -> DataFrame:
                 whole = [data[x : x + k - 1 + size] for x, k in zip(begins.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[marks.column(c) for c in carried], pa.array(whole, pa.binary()), cuts], [*carried, "bytes", "cuts"])
 
-    return marked.mapInArrow(lean(run), f"anchor long, around long, first_id {kind}, last_id {kind}, nameless boolean, bytes binary, cuts array<tinyint>")
+    return marked.mapInArrow(lean(run), f"anchor long, around long, crowded boolean, first_id {kind}, last_id {kind}, nameless boolean, bytes binary, cuts array<tinyint>")
 
 
-def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_bytes: int = 112) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_bytes: int = 112, crowd: int = 1024) -> DataFrame:
     """Passages that other documents have too: id, tag, start, end, n_bytes, n_chunks, first_id, repeat_bytes, is_first.
 
     One row for each longest run of bytes that windows of min_bytes cover which stand under another id
@@ -179,7 +179,8 @@ def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_byt
 
     min_bytes is 32 at least. Windows and texts are told by hashes of 64 bits. Where an anchor always has
     the same bytes around it, its windows repeat as one; windows are compared one by one only for anchors
-    whose surroundings differ, once for all equal surroundings.
+    whose surroundings differ, once for all equal surroundings: in one task an anchor, but window by window
+    over all tasks for anchors with more than crowd surroundings. What is found does not depend on crowd.
     """
     if min_bytes < _WINDOW:
         raise ValueError(f"min_bytes is under {_WINDOW}")
@@ -192,25 +193,38 @@ def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_byt
     seen = scratch.keep(pieces.groupBy("anchor").agg(*ids, (F.min("around") != F.max("around")).alias("varied")).where(shared).select("anchor", "first_id", "varied"))
     again = scratch.keep(pieces.join(seen, "anchor"))
     varied = again.where("varied").drop("first_id")
-    marks = varied.groupBy("anchor", "around").agg(*ids, F.min(F.struct("id", "tag", "start", "n")).alias("at"))
+    marks = scratch.keep(varied.groupBy("anchor", "around").agg(*ids, F.min(F.struct("id", "tag", "start", "n")).alias("at")))
+    crowds = scratch.keep(marks.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor", F.lit(True).alias("crowded")))
+    marks = marks.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     marks = marks.groupBy(F.col("at.id").alias("id2"), F.col("at.tag").alias("tag2")).agg(
-        F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor", "around", "first_id", "last_id", "nameless")).alias("marks")
+        F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor", "around", "crowded", "first_id", "last_id", "nameless")).alias("marks")
     )
     tagged = _tagged(rows)
     marked = tagged.join(marks, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tag") == F.col("tag2"))).select("text", "marks")
+    around = scratch.keep(_surroundings(marked, min_bytes))
+
+    def spread(surroundings: DataFrame) -> DataFrame:
+        each = surroundings.select("anchor", "around", "first_id", "last_id", "nameless", "bytes", F.posexplode("cuts").alias("place", "cut"))
+        return each.withColumn("window", F.xxhash64(F.substr("bytes", F.col("place") + 1, F.lit(min_bytes)))).drop("bytes")
+
+    def stretches(windows: DataFrame) -> DataFrame:
+        ordered = W.partitionBy("anchor", "around", "first_id").orderBy("place")
+        return windows.withColumn("stretch", F.col("place") - F.dense_rank().over(ordered)).groupBy("anchor", "around", "first_id", "stretch").agg(
+            F.min("place").alias("from"), F.max("place").alias("to"), F.min_by(F.col("cut").bitwiseAND(3), "place").cast("int").alias("lead"), F.max_by(F.shiftright("cut", 2), "place").cast("int").alias("tail")
+        )
+
+    low, high, none = F.min("first_id"), F.max("last_id"), F.max("nameless")
     # Dealt by anchor before windows are spread out: equal windows have equal anchors, so only surroundings are shuffled.
-    dealt = _surroundings(marked, min_bytes).repartition("anchor")
-    spread = dealt.select("anchor", "around", "first_id", "last_id", "nameless", "bytes", F.posexplode("cuts").alias("place", "cut"))
-    spread = spread.withColumn("window", F.xxhash64(F.substr("bytes", F.col("place") + 1, F.lit(min_bytes)))).drop("bytes")
     same = W.partitionBy("anchor", "window")
-    windows = spread.select(
-        "anchor", "around", "place", "cut", F.min("first_id").over(same).alias("first_id"), F.max("last_id").over(same).alias("last_id"), F.max("nameless").over(same).alias("nameless")
-    ).where(shared)
-    ordered = W.partitionBy("anchor", "around", "first_id").orderBy("place")
-    stretches = windows.withColumn("stretch", F.col("place") - F.dense_rank().over(ordered)).groupBy("anchor", "around", "first_id", "stretch").agg(
-        F.min("place").alias("from"), F.max("place").alias("to"), F.min_by(F.col("cut").bitwiseAND(3), "place").cast("int").alias("lead"), F.max_by(F.shiftright("cut", 2), "place").cast("int").alias("tail")
+    few = spread(around.where("not crowded").repartition("anchor")).select(
+        "anchor", "around", "place", "cut", low.over(same).alias("first_id"), high.over(same).alias("last_id"), none.over(same).alias("nameless")
     )
-    one_by_one = varied.drop("lead", "tail").join(stretches, ["anchor", "around"])
+    # Of crowded anchors the windows are added up before the shuffle and joined back as plain tables, which can be split.
+    many = spread(around.where("crowded"))
+    common = scratch.keep(many.groupBy("anchor", "window").agg(low.alias("first_id"), high.alias("last_id"), none.alias("nameless")).where(shared).select("anchor", "window", "first_id"))
+    many = many.select("anchor", "around", "place", "cut", "window").join(common, ["anchor", "window"])
+    stretched = stretches(few.where(shared)).unionByName(stretches(many))
+    one_by_one = varied.drop("lead", "tail").join(stretched, ["anchor", "around"])
     size = F.lit(min_bytes)
     found = again.where("not varied").select("id", "tag", (F.col("start") + F.col("lead")).alias("start"), (F.col("start") + F.col("n") - 1 + size - F.col("tail")).alias("end"), "first_id").unionByName(
         one_by_one.select("id", "tag", (F.col("start") + F.col("from") + F.col("lead")).alias("start"), (F.col("start") + F.col("to") + size - F.col("tail")).alias("end"), "first_id")

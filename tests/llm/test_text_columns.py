@@ -445,6 +445,9 @@ def test_repeats_are_all_found(spark):
         plain = {x for x in bytes_ if t.encode()[x] < 0x80}
         assert got[i, t] <= bytes_ and plain <= got[i, t], i
     assert sum(k in {r["id"] for r in spans} for k in range(100, 140)) == 40
+    # The way of crowded anchors finds the same rows.
+    crowded = repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), crowd=0).collect()
+    assert sorted(map(repr, crowded)) == sorted(map(repr, spans))
 
 
 def test_shared_folder(spark):
