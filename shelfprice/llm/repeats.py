@@ -213,17 +213,17 @@ def repeated_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_byt
             F.min("place").alias("from"), F.max("place").alias("to"), F.min_by(F.col("cut").bitwiseAND(3), "place").cast("int").alias("lead"), F.max_by(F.shiftright("cut", 2), "place").cast("int").alias("tail")
         )
 
-    low, high, none = F.min("first_id"), F.max("last_id"), F.max("nameless")
+    def repeated(windows: DataFrame) -> DataFrame:
+        same = W.partitionBy("anchor", "window")
+        return windows.select(
+            "anchor", "around", "place", "cut", F.min("first_id").over(same).alias("first_id"), F.max("last_id").over(same).alias("last_id"), F.max("nameless").over(same).alias("nameless")
+        ).where(shared)
+
     # Dealt by anchor before windows are spread out: equal windows have equal anchors, so only surroundings are shuffled.
-    same = W.partitionBy("anchor", "window")
-    few = spread(around.where("not crowded").repartition("anchor")).select(
-        "anchor", "around", "place", "cut", low.over(same).alias("first_id"), high.over(same).alias("last_id"), none.over(same).alias("nameless")
-    )
-    # Of crowded anchors the windows are added up before the shuffle and joined back as plain tables, which can be split.
-    many = spread(around.where("crowded"))
-    common = scratch.keep(many.groupBy("anchor", "window").agg(low.alias("first_id"), high.alias("last_id"), none.alias("nameless")).where(shared).select("anchor", "window", "first_id"))
-    many = many.select("anchor", "around", "place", "cut", "window").join(common, ["anchor", "window"])
-    stretched = stretches(few.where(shared)).unionByName(stretches(many))
+    few = repeated(spread(around.where("not crowded").repartition("anchor")))
+    # The windows of a crowded anchor are spread out first and dealt one by one: each is a group of its own, no longer all of an anchor's.
+    many = repeated(spread(around.where("crowded")))
+    stretched = stretches(few).unionByName(stretches(many))
     one_by_one = varied.drop("lead", "tail").join(stretched, ["anchor", "around"])
     size = F.lit(min_bytes)
     found = again.where("not varied").select("id", "tag", (F.col("start") + F.col("lead")).alias("start"), (F.col("start") + F.col("n") - 1 + size - F.col("tail")).alias("end"), "first_id").unionByName(
