@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, near_dup, pieces, pii, repeats, token_counts, toxicity, vectors
+from . import licenses, media, mixing, near_dup, pieces, pii, repeats, resampling, token_counts, toxicity, vector_codes, vectors
 from .common import Scratch
 
 #: Where the public tokenizers' files are: the same on the driver and on the executors.
@@ -88,6 +88,19 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of each document in a draw of a quarter of them towards the texts of benchmark."""
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), buckets=10_000, least_words=20, percent=25, seed=7)
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of each embedding by 8 codebooks of 16 entries, trained in 6 rounds."""
+    codes, book = vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+    digest = vector_codes.codebooks_digest(book)
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -99,9 +112,59 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
     "op10_near_vectors": op10_near_vectors,
+    "op12_resample": op12_resample,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other, as frames of their own."""
+    sql = f"""with kept as (
+  select vec_id, label, [floor(4096 * x::double)::bigint for x in embedding] as v from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+parts as (select vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] as x from kept, lateral (select unnest(range(0, {parts})) as p)),
+b0 as (select p, row_number() over (partition by p order by vec_id) - 1 as e, x as c from parts qualify e < {entries})"""
+    far = lambda r: f"""n{r} as (
+  select vec_id, any_value(label) as label, p, any_value(x) as x, arg_min(e, (d, e)) as e, min(d) as d from (
+    select vec_id, label, p, x, e, list_sum([(a - c[i]) * (a - c[i]) for a, i in x])::bigint as d from parts join b{r} using (p)) group by vec_id, p)"""
+    for r in range(rounds):
+        sql += f""",
+{far(r)},
+u{r} as (select p, e, i, floor(sum(a) / count(*))::bigint as m from (select p, e, unnest(x) as a, generate_subscripts(x, 1) as i from n{r}) group by p, e, i),
+m{r} as (select p, e, list(m order by i) as m from u{r} group by p, e),
+b{r + 1} as (select p, e, coalesce(m, c) as c from b{r} left join m{r} using (p, e))"""
+    return sql + f""",
+{far(rounds)},
+book as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from b{rounds}),
+coded as (select vec_id, any_value(label) as label, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from n{rounds} group by vec_id)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded, book"""
+
+
 ORACLES = {
+    "op12_resample": r"""
+with crc_table as (
+  select list(list_reduce(list_concat([i], range(0, 8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t from range(0, 256) as r(i)),
+texts as (select doc_id, true as mine, text from documents union all select item_id, false, text from benchmark),
+worded as (
+  select doc_id, mine, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+features as (
+  select doc_id, mine, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as f from worded),
+named as (
+  select f, xor(list_reduce(list_concat([4294967295::bigint], [('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::bigint for i in range(1, len(hex(encode(f))) // 2 + 1)]),
+    lambda c, b: xor(c // 256, t[(xor(c % 256, b) + 1)::int])), 4294967295::bigint) % 10000 as bucket from (select distinct f from features), crc_table),
+hashed as (select doc_id, mine, bucket from features join named using (f)),
+counts as (select bucket, count(*) filter (where mine) as s, count(*) filter (where not mine) as t from hashed group by bucket),
+sums as (select coalesce(sum(s), 0)::double as s_all, coalesce(sum(t), 0)::double as t_all from counts),
+gains as (select bucket, floor(1000 * ln((t + 1)::double * (s_all + 10000) / ((s + 1)::double * (t_all + 10000))))::bigint as gain from counts, sums),
+weighed as (select doc_id, count(*) as n_features, floor(sum(gain) / count(*)::double)::bigint as weight from hashed join gains using (bucket) where mine group by doc_id),
+scored as (
+  select doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from worded left join weighed using (doc_id) where mine),
+ranks as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when place <= 25 * n // 100 then place end::bigint as rank from scored left join ranks using (doc_id)
+""",
+    "op13_vector_codes": _codes_sql(),
     "op2_mix_sources": r"""
 with recursive rows as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
