@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, near_dup, pieces, pii, repeats, resampling, token_counts, toxicity, vector_codes, vectors
+from . import licenses, media, mixing, near_dup, pieces, pii, repeats, resampling, suffixes, token_counts, toxicity, vector_codes, vectors
 from .common import Scratch
 
 #: Where the public tokenizers' files are: the same on the driver and on the executors.
@@ -88,6 +88,14 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes without the 50-byte strings that documents of smaller ids have: sizes, number of removed runs, digest of the rest."""
+    cut = suffixes.remove_repeats(_table(spark, sf_dir, "documents"), size=50)
+    return cut.select(
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of each document in a draw of a quarter of them towards the texts of benchmark."""
     drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), buckets=10_000, least_words=20, percent=25, seed=7)
@@ -112,6 +120,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
     "op10_near_vectors": op10_near_vectors,
+    "op11_suffixes": op11_suffixes,
     "op12_resample": op12_resample,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -141,6 +150,21 @@ select vec_id, code, error, sum(error) over (partition by label)::bigint as labe
 
 
 ORACLES = {
+    "op11_suffixes": r"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+blocks as (select doc_id, b, substr(h, 2 * b + 1, 2 * 1049) as h from texts, lateral (select unnest(range(0, greatest(1, len(h) // 2), 1000)) as b)),
+windows as (select doc_id, b + p as p, md5_number(substr(h, 2 * p + 1, 100)) as w from blocks, lateral (select unnest(range(0, greatest(0, len(h) // 2 - 49))) as p)),
+firsts as (select w, min(doc_id) as first from windows group by w),
+hits as (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from windows join firsts using (w) where doc_id > first),
+runs as (select doc_id, p, sum(case when p - before <= 50 then 0 else 1 end) over (partition by doc_id order by p) as run from hits),
+spans as (select doc_id, min(p) as a, max(p) + 50 as b from runs group by doc_id, run),
+gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
+cut as (
+  select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || any_value(substr(h, 2 * last + 1)) as kept
+  from (select *, max(b) over (partition by doc_id) as last from gaps) join texts using (doc_id) group by doc_id)
+select doc_id, len(h)::bigint // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from texts left join cut using (doc_id)
+""",
     "op12_resample": r"""
 with crc_table as (
   select list(list_reduce(list_concat([i], range(0, 8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t from range(0, 256) as r(i)),
