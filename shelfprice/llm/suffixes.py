@@ -26,32 +26,34 @@ from .textual import mix, word_hashes
 
 _BASE = 16
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_PAIR = np.uint64(0xD6E8FEB86659FD93)
+#: A factor for each doubling, so that the places of a string weigh differently.
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _PLACE = (1 << 24) - 1
+_LIMIT = 1 << 20
 
 
-def _double(name: np.ndarray, offset: int) -> np.ndarray:
-    """Names of pairs: of each position's name and of the one at the offset."""
-    x = name[:-offset] * _PAIR + name[offset:]
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
+def _paired(low: np.ndarray, high: np.ndarray, round_: int) -> np.ndarray:
+    """Names of pairs of names."""
+    x = low * _FACTORS[round_]
+    x += high
     return x
 
 
 def names(buf: np.ndarray, length: int) -> dict[int, np.ndarray]:
-    """Names of all positions at lengths 1, 2, 4 ... up to length, by the length."""
-    out = {1: _BYTES[buf]}
-    size = 1
-    while 2 * size <= length and len(out[size]) > size:
-        out[2 * size] = _double(out[size], size)
+    """Names of all positions at lengths 16, 32, 64 ... up to length, by the length, each from pairs of those at half of it."""
+    now, size, out = _BYTES[buf], 1, {}
+    for round_ in range(64):
+        if 2 * size > length or len(now) <= size:
+            return out
+        now = _paired(now[:-size], now[size:], round_)
         size *= 2
-        if size < _BASE:
-            del out[size // 2]
+        if size >= _BASE:
+            now = mix(now)
+            out[size] = now
     return out
 
 
-def segments(texts: list, size: int, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def segments(texts: list, size: int, limit: int = _LIMIT) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """Texts (None: empty) as runs of about limit bytes: (text of each piece, its offset, pieces). A long text gives several pieces, each window of size bytes being in one of them."""
     run, rows, offsets, total = [], [], [], 0
     for i, t in enumerate(texts):
@@ -69,10 +71,10 @@ def segments(texts: list, size: int, limit: int = 1 << 20) -> Iterator[tuple[np.
         yield np.array(rows), np.array(offsets), run
 
 
-def samples(pieces: list[bytes], size: int) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of size bytes by the position they sample: (bytes, names, begins of pieces, piece, first window, number of windows, sampled position)."""
+def samples(pieces: list[bytes], size: int, length: int = _BASE) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of size bytes by the position they sample: (bytes, names up to length, begins of pieces, piece, first window, number of windows, sampled position)."""
     buf = np.frombuffer(b"".join(pieces), np.uint8)
-    name = names(buf, size)
+    name = names(buf, length)
     sizes = np.array([len(p) for p in pieces], np.int64)
     at = np.cumsum(sizes) - sizes
     count = np.maximum(0, sizes - size + 1)
@@ -103,7 +105,7 @@ def _sampled(rows: DataFrame, size: int) -> DataFrame:
                 take = pa.array(whose[new])
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tag").take(take), pa.array(found[new].view(np.int64))], ["id", "tag", "name"])
 
-    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, tag long, name long")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, tag int, name long")
 
 
 def _levels(size: int) -> list[int]:
@@ -116,93 +118,95 @@ def _levels(size: int) -> list[int]:
 
 
 def _spots(marked: DataFrame, size: int) -> DataFrame:
-    """(id, tag, text, names) to the sampled positions whose name is among names: id, tag, first window, number of windows, name, name of all bytes around, names to the right and to the left at each level."""
+    """(id, tag, text, names) to the sampled positions whose name is among names: id, tag, first window, number of windows, name, name of all bytes around, and names to the right and to the left at each level (0: not within a window)."""
     levels = _levels(size)
+    sides = [f"{side}{length}" for length in levels for side in ("right", "left")]
+    longest = max([_BASE, *levels])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("names")
             for row, offset, pieces in segments(batch.column("text").to_pylist(), size):
-                buf, name, at, owner, begins, n, spot = samples(pieces, size)
+                buf, name, at, owner, begins, n, spot = samples(pieces, size, longest)
                 # A name and its row in one number: what is taken by chance is only more than is needed.
                 own = mix(row[owner].astype(np.uint64)) ^ name[_BASE][spot]
-                base = int(row.min())
-                mine = lists.slice(base, int(row.max()) - base + 1)
+                base = int(row[0])
+                mine = lists.slice(base, int(row[-1]) - base + 1)
                 whose = np.repeat(np.arange(base, base + len(mine)), mine.value_lengths().to_numpy(zero_copy_only=False))
                 live = np.isin(own, mix(whose.astype(np.uint64)) ^ mine.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
                 owner, begins, n, spot = owner[live], begins[live], n[live], spot[live]
                 ends = begins + n - 1 + size
-                right, left = [], []
+                wide = []
                 for length in levels:
-                    table = name[length]
-                    last = len(table) - 1
-                    fits, before = spot + length <= ends, spot + _BASE - length >= begins
-                    right.append(np.where(fits, table[np.minimum(spot, last)].view(np.int64), 0)[:, None])
-                    left.append(np.where(before, table[np.clip(spot + _BASE - length, 0, last)].view(np.int64), 0)[:, None])
+                    table = name.get(length, np.zeros(1, np.uint64)).view(np.int64)
+                    for fits, place in ((spot + length <= ends, spot), (spot + _BASE - length >= begins, spot + _BASE - length)):
+                        wide.append(pa.array(np.where(fits, table[np.clip(place, 0, len(table) - 1)], 0)))
                 take = pa.array(row[owner])
-                wide = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x, axis=1).ravel() if x else np.zeros(0, np.int64)), len(levels)).cast(pa.list_(pa.int64())) if x else pa.array([[]] * len(take), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").take(take), batch.column("tag").take(take), pa.array((begins - at[owner] + offset[owner]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                        pa.array(name[_BASE][spot].view(np.int64)), pa.array(word_hashes(buf, begins, ends).view(np.int64)), wide(right), wide(left),
+                        pa.array(name[_BASE][spot].view(np.int64)), pa.array(word_hashes(buf, begins, ends).view(np.int64)), *wide,
                     ],
-                    ["id", "tag", "start", "n", "name", "around", "right", "left"],
+                    ["id", "tag", "start", "n", "name", "around", *sides],
                 )
 
-    return marked.mapInArrow(lean(run), f"id {marked.schema['id'].dataType.simpleString()}, tag long, start int, n int, name long, around long, right array<long>, left array<long>")
+    schema = f"id {marked.schema['id'].dataType.simpleString()}, tag int, start int, n int, name long, around long"
+    return marked.mapInArrow(lean(run), ", ".join([schema, *[f"{side} long" for side in sides]]))
 
 
-def _pairs(marked: DataFrame, size: int) -> DataFrame:
-    """(id, text, marks) to one row a window of each mark: name, around, first (the id), place, and the pair of names that make up its size bytes."""
+def _windows(marked: DataFrame, size: int) -> DataFrame:
+    """(id, tag, text, marks) to one row a window of each mark that is not whole: id, tag, place, and the name of its size bytes, a pair of names that cover it."""
     half = _BASE
     while 2 * half <= size:
         half *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, marks) in enumerate(zip(batch.column("text"), batch.column("marks"), strict=True)):
-                data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                spots = pa.RecordBatch.from_struct_array(marks.values)
-                start, n = spots.column("start").to_numpy().astype(np.int64), spots.column("n").to_numpy().astype(np.int64)
-                for low in range(0, len(start), 4096):  # so that a long text's marks are no one array
-                    begins, many = start[low : low + 4096], n[low : low + 4096]
-                    sizes = many - 1 + size
-                    firsts = np.cumsum(sizes) - sizes
-                    cut = np.arange(sizes.sum()) + np.repeat(begins - firsts, sizes)
-                    name = names(data[cut], half)[half]
-                    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    where = np.repeat(firsts, many) + place
-                    mark = pa.array(np.repeat(np.arange(low, low + len(begins)), many))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            spots.column("name").take(mark), spots.column("around").take(mark), batch.column("id").take(pa.array(np.full(len(mark), i))), pa.array(place.astype(np.int32)),
-                            pa.array(name[where].view(np.int64)), pa.array(name[where + size - half].view(np.int64)),
-                        ],
-                        ["name", "around", "first", "place", "low", "high"],
-                    )
-
-    return marked.mapInArrow(lean(run), f"name long, around long, first {marked.schema['id'].dataType.simpleString()}, place int, low long, high long")
+            lists = batch.column("marks")
+            marks = pa.RecordBatch.from_struct_array(lists.flatten())
+            open_ = ~marks.column("whole").to_numpy(zero_copy_only=False).astype(bool)
+            whose = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[open_]
+            start, n = (marks.column(c).to_numpy().astype(np.int64)[open_] for c in ("start", "n"))
+            piece_of = (whose << 32) | (start // _LIMIT)  # a mark's windows are within one piece
+            order = np.argsort(piece_of, kind="stable")
+            whose, start, n, piece_of = whose[order], start[order], n[order], piece_of[order]
+            for row, offset, pieces in segments(batch.column("text").to_pylist(), size):
+                key = (row << 32) | (offset // _LIMIT)
+                low, high = np.searchsorted(piece_of, key[0]), np.searchsorted(piece_of, key[-1], side="right")
+                mine = np.searchsorted(key, piece_of[low:high])
+                sizes = np.array([len(p) for p in pieces], np.int64)
+                at = np.cumsum(sizes) - sizes
+                many, begins = n[low:high], start[low:high] - offset[mine] + at[mine]
+                name = names(np.frombuffer(b"".join(pieces), np.uint8), half)[half]
+                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                where = np.repeat(begins, many) + step
+                both = mix(_paired(name[where], name[where + size - half], 63)).view(np.int64)
+                take = pa.array(np.repeat(whose[low:high], many))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(take), batch.column("tag").take(take), pa.array((np.repeat(start[low:high], many) + step).astype(np.int32)), pa.array(both)], ["id", "tag", "place", "window"]
+                )
+
+    return marked.mapInArrow(lean(run), f"id {marked.schema['id'].dataType.simpleString()}, tag int, place int, window long")
 
 
 def _cut(rows: DataFrame, size: int) -> DataFrame:
-    """(id, text, gone) to id, n_bytes, spans and kept."""
+    """(id, text, marks, places) to id, n_bytes, spans and kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, spans, kept = [], [], []
-            for text, gone in zip(batch.column("text"), batch.column("gone"), strict=True):
-                data = b"" if not text.is_valid else text.as_py().encode("utf-8", "surrogatepass")
+            for text, marks, places in zip(batch.column("text"), batch.column("marks"), batch.column("places"), strict=True):
+                data = text.as_py() if text.is_valid else b""
                 n_bytes.append(len(data))
                 runs = []
-                if gone.is_valid:
+                if marks.is_valid or places.is_valid:
                     edge = np.zeros(len(data) + 1, np.int32)
-                    for g in gone.as_py():
-                        if g["places"] is None:
-                            edge[g["start"]] += 1
-                            edge[g["start"] + g["n"] - 1 + size] -= 1
-                        for place in g["places"] or ():
-                            edge[g["start"] + place] += 1
-                            edge[g["start"] + place + size] -= 1
+                    whole = [(m["start"], m["n"]) for m in marks.as_py() if m["whole"]] if marks.is_valid else []
+                    begins = np.array([a for a, _ in whole] + (places.as_py() if places.is_valid else []), np.int64)
+                    many = np.ones(len(begins), np.int64)
+                    many[: len(whole)] = [n for _, n in whole]
+                    np.add.at(edge, begins, 1)
+                    np.add.at(edge, begins + many - 1 + size, -1)
                     turn = np.flatnonzero(np.diff(np.cumsum(edge) > 0, prepend=False))
                     runs = list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
                 spans.append([{"start": a, "end": b} for a, b in runs])
@@ -223,7 +227,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
     Null and empty texts, and those under size bytes, lose nothing; rows without an id lose nothing and
     take nothing away; repeated rows and other texts under one id are one document, each judged against
     smaller ids; an empty table gives an empty one; very long texts are read whole, in pieces of a
-    megabyte; other columns are not read. size is 17 at least. Strings are told by pairs of 64-bit names.
+    megabyte; other columns are not read. size is 17 at least. Strings are told by 64-bit names.
     """
     if size <= _BASE:
         raise ValueError(f"size must be over {_BASE}")
@@ -236,37 +240,39 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
         spark.sparkContext._jvm.System.gc()
         return kept
 
-    rows = pick(docs, id=id_col, text=text_col).withColumn("tag", F.xxhash64("text"))
+    rows = pick(docs, id=id_col, text=text_col).select("id", F.hash("text").alias("tag"), F.col("text").cast("binary").alias("text"))
     long = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= size))
-    sampled = _sampled(long, size)
+    by_text = [F.col("id").alias("id2"), F.col("tag").alias("tag2")]
+    here = (F.col("id") == F.col("id2")) & (F.col("tag") == F.col("tag2"))
     # Round of 16 bytes. One row a name, written before the join: then a name that very many documents have can be split.
-    spread = F.min("id") < F.max("id")
-    seen = done(sampled.groupBy("name").agg(spread.alias("spread")).where("spread").select("name"))
-    live = done(sampled.join(seen, "name", "left_semi").groupBy(F.col("id").alias("id2"), F.col("tag").alias("tag2")).agg(F.collect_set("name").alias("names")))
+    spread = (F.min("id") < F.max("id")).alias("spread")
+    sampled = _sampled(long, size)
+    seen = done(sampled.groupBy("name").agg(spread).where("spread").select("name"))
+    live = done(sampled.join(seen, "name", "left_semi").groupBy(*by_text).agg(F.collect_set("name").alias("names")))
     scratch.drop(seen)
-    here = (F.col("id") == F.col("id2")) & (F.col("tag") == F.col("tag2"))
     spots = done(_spots(long.join(live, here).select("id", "tag", "text", "names"), size))
     scratch.drop(live)
     # Equal surroundings of a sampled position are one class: all but the document that has it first lose it whole.
-    at = F.min(F.struct("id", "tag", "start", "n")).alias("at")
-    classes = done(spots.groupBy("name", "around").agg(F.min("id").alias("first"), F.max("id").alias("last"), at, F.first("right").alias("right"), F.first("left").alias("left")))
-    # Rounds of 32 bytes and more: a class goes on if another has its right or its left side.
-    open_ = classes.select("name", "around", "at", "first", "right", "left")
-    for k in range(len(_levels(size))):
-        sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("right")[k].alias("wide")), F.struct(F.lit(1).alias("side"), F.col("left")[k].alias("wide")))).alias("s")
-        each = open_.select("*", sides).select("name", "around", "at", "first", "right", "left", "s.side", "s.wide").where("wide <> 0")
+    sides = [c for c in spots.columns if c.startswith(("right", "left"))]
+    classes = done(spots.groupBy("name", "around").agg(F.min("id").alias("first"), F.max("id").alias("last"), *[F.first(c).alias(c) for c in sides]))
+    # Rounds of 32 bytes and more: a class stays open if another that comes first elsewhere has its right or its left side.
+    open_ = classes.select("name", "around", "first", *sides)
+    for k in range(0, len(sides), 2):
+        rest = sides[k + 2 :]
+        each = open_.select("name", "around", "first", *rest, F.posexplode(F.array(*sides[k : k + 2])).alias("side", "wide")).where("wide <> 0")
         shared = done(each.groupBy("side", "wide").agg((F.min("first") < F.max("first")).alias("spread")).where("spread").select("side", "wide"))
-        rest = each.join(shared, ["side", "wide"], "left_semi")
-        open_ = done(rest.groupBy("name", "around").agg(*[F.first(c).alias(c) for c in ("at", "first", "right", "left")]))
-    # The last round, at full length, window by window.
-    marks = open_.groupBy(F.col("at.id").alias("id2"), F.col("at.tag").alias("tag2")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "name", "around")).alias("marks"))
-    # Repeated rows are one document: the mark is in each of them.
-    pairs = done(_pairs(long.join(done(marks), here).select("id", "text", "marks"), size))
-    least = done(pairs.groupBy("low", "high").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("low", "high", "least"))
-    places = pairs.join(least, ["low", "high"]).where(F.col("least") < F.col("first")).groupBy("name", "around").agg(F.collect_set("place").alias("places"))
-    verdicts = done(classes.join(places, ["name", "around"], "left").where("first < last or places is not null").select("name", "around", "first", "places"))
-    scratch.drop(pairs, least)
-    gone = spots.join(verdicts, ["name", "around"]).select("id", "tag", "start", "n", "first", F.when(F.col("id") == F.col("first"), F.col("places")).alias("places")).where("id > first or places is not null")
-    gone = done(gone.groupBy(F.col("id").alias("id2"), F.col("tag").alias("tag2")).agg(F.collect_set(F.struct("start", "n", "places")).alias("gone")))
-    scratch.drop(spots, classes, verdicts)
-    return _cut(rows.join(gone, here, "left").select("id", "text", "gone"), size)
+        open_ = done(each.join(shared, ["side", "wide"], "left_semi").groupBy("name", "around").agg(*[F.first(c).alias(c) for c in ("first", *rest)]))
+    verdicts = done(classes.join(open_.select("name", "around", F.lit(True).alias("open")), ["name", "around"], "left").where("first < last or open").select("name", "around", "first", "open"))
+    scratch.drop(classes, open_)
+    whole = (F.col("id") > F.col("first")).alias("whole")
+    marks = spots.select("id", "tag", "start", "n", "name", "around").join(verdicts, ["name", "around"]).where("id > first or open").groupBy(*by_text).agg(F.collect_set(F.struct("start", "n", whole)).alias("marks"))
+    marks = done(marks)
+    scratch.drop(spots, verdicts)
+    # The round of full length, window by window, for what is open in the document that has it first.
+    some = marks.where(F.exists("marks", lambda m: ~m["whole"]))
+    windows = done(_windows(long.join(some, here).select("id", "tag", "text", "marks"), size))
+    least = done(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least"))
+    places = windows.join(least, "window").where(F.col("least") < F.col("id")).groupBy(*by_text).agg(F.collect_set("place").alias("places"))
+    gone = done(marks.join(places, ["id2", "tag2"], "full_outer"))
+    scratch.drop(windows, least, marks)
+    return _cut(rows.join(gone, here, "left").select("id", "text", "marks", "places"), size)
