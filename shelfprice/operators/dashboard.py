@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..sources.star import Star
+from ..sources.stored import between, days
 
 #: Where price buckets begin.
 BUCKETS = (500, 1000, 2000, 3000, 5000, 10000)
@@ -16,41 +17,69 @@ MAX_SPAN_DAYS = 732
 AUTO_WEEK_DAYS = 120
 
 
-def listings(star: Star) -> DataFrame:
-    """Snapshots with what the dashboard groups by: product, brand, type, country, store."""
+def listings(star: Star, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Snapshots with what the dashboard groups by: product, brand, type, country, store; of all days, or of a range, which is checked as in within()."""
+    rows = days(star) if first is None else between(star, *(F.lit(x) for x in _checked(first, last)))
     dims = star.product.join(star.country, "country_id", "left").select("product_id", "brand", "type", F.col("code").alias("country"))
-    return star.snapshot.join(dims, "product_id").join(star.store, "store_id")
+    return rows.join(dims, "product_id").join(star.store, "store_id")
 
 
-def within(rows: DataFrame, first: str, last: str) -> DataFrame:
-    """Rows of the days first to last, both included. A span over 732 days, or one that ends before it begins, is an error."""
+def _checked(first: str, last: str) -> tuple[date, date]:
     a, b = date.fromisoformat(first), date.fromisoformat(last)
     if a > b or (b - a).days + 1 > MAX_SPAN_DAYS:
         raise ValueError(f"a range of 1 to {MAX_SPAN_DAYS} days is needed")
+    return a, b
+
+
+def within(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """Rows of the days first to last, both included. A span over 732 days, or one that ends before it begins, is an error."""
+    a, b = _checked(first, last)
     return rows.where(F.col("captured_on").between(F.lit(a), F.lit(b)))
 
 
-def _metrics() -> list[Column]:
-    prices = F.percentile(F.col("price").cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [
-        F.count("*").alias("in_stock"), F.countDistinct("product_id").alias("products"), F.countDistinct("brand").alias("brands"), F.countDistinct("store_id").alias("stores"),
-        prices.alias("prices"), F.count_if("promo").alias("promo"),
-    ]
+QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 
-def _named(df: DataFrame) -> DataFrame:
-    cents = lambda i: F.round(F.col("prices")[i], 4)
-    return df.withColumns({"p25": cents(0), "median": cents(1), "p75": cents(2)}).drop("prices")
+def price_quartiles(rows: DataFrame, *by: str, wanted: dict[str, float] | None = None) -> DataFrame:
+    """Per group: listings, promotions, and exact continuous percentiles of the price, rounded to 4 places.
+
+    Rows are counted by price first, where tasks add up before the shuffle; a running sum of those counts
+    says at which price each rank lies, and a percentile is the point between two ranks' prices. So a group
+    is sorted, and may spill, but is never one value in memory.
+    """
+    wanted = QUARTILES if wanted is None else wanted
+    price = F.col("price").cast("double")
+    counts = rows.groupBy(*by, price.alias("__price")).agg(F.count("*").alias("__n"), F.count_if("promo").alias("__promo"))
+    whole = W.partitionBy(*by)
+    priced = F.when(F.col("__price").isNotNull(), F.col("__n")).otherwise(F.lit(0))
+    running = F.sum(priced).over(whole.orderBy("__price").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranks = counts.withColumn("__upto", running).withColumn("__all", F.sum(priced).over(whole))
+    at = lambda rank: F.min(F.when((rank >= F.col("__upto") - priced) & (rank < F.col("__upto")), F.col("__price")))
+    place = {name: (F.col("__all") - 1) * F.lit(q) for name, q in wanted.items()}
+    found = [F.struct(at(F.floor(r)).alias("low"), at(F.ceil(r)).alias("high"), F.max(r - F.floor(r)).alias("part")).alias(f"__{name}") for name, r in place.items()]
+    out = ranks.groupBy(*by).agg(F.sum("__n").alias("in_stock"), F.sum("__promo").alias("promo"), *found)
+    between_ = lambda c: F.round(c["low"] + c["part"] * (c["high"] - c["low"]), 4)
+    return out.withColumns({name: between_(F.col(f"__{name}")) for name in wanted}).drop(*[f"__{name}" for name in wanted])
+
+
+def distinct_members(rows: DataFrame, *by: str) -> DataFrame:
+    """Per group: distinct products, brands and stores. Pairs of group and product are made once; their brands and then the group are counted from them."""
+    pairs = rows.groupBy(*by, "product_id").agg(F.first("brand").alias("brand"))
+    brands = pairs.groupBy(*by, "brand").agg(F.count("*").alias("products"))
+    counted = brands.groupBy(*by).agg(F.sum("products").alias("products"), F.count("brand").alias("brands"))
+    stores = rows.groupBy(*by, "store_id").agg(F.count("*").alias("n")).groupBy(*by).agg(F.count("store_id").alias("stores"))
+    return counted.join(stores, list(by))
 
 
 def daily(rows: DataFrame, *by: str) -> DataFrame:
     """Per day (and store or country): listings, distinct products, brands and stores, price quartiles, promotions.
 
     Days without data give no row. Distinct counts and medians of parts don't add up to the whole's, so
-    totals are always aggregated from the rows.
+    totals are always aggregated from the rows. A product has one brand.
     """
     keyed = rows.withColumn("country", F.coalesce("country", F.lit("unknown"))) if "country" in by else rows
-    return _named(keyed.groupBy("captured_on", *by).agg(*_metrics()))
+    both = price_quartiles(keyed, "captured_on", *by).join(distinct_members(keyed, "captured_on", *by), ["captured_on", *by])
+    return both.select("captured_on", *by, "in_stock", "products", "brands", "stores", "promo", *QUARTILES)
 
 
 def edge_days(rows: DataFrame) -> DataFrame:
@@ -84,8 +113,9 @@ def totals(rows: DataFrame) -> DataFrame:
 
 def breakdown(rows: DataFrame, by: str) -> DataFrame:
     """Listings, products and median price of each value; null is "unknown"."""
-    median = F.round(F.percentile(F.col("price").cast("double"), F.lit(0.5)), 4)
-    return rows.groupBy(F.coalesce(by, F.lit("unknown")).alias("key")).agg(F.count("*").alias("listings"), F.countDistinct("product_id").alias("products"), median.alias("median"))
+    keyed = rows.withColumn("key", F.coalesce(by, F.lit("unknown")))
+    products = keyed.groupBy("key", "product_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("product_id").alias("products"))
+    return price_quartiles(keyed, "key", wanted={"median": 0.5}).join(products, "key").select("key", F.col("in_stock").alias("listings"), "products", "median")
 
 
 def breakdown_flavors(rows: DataFrame, flavors: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.star import Star
+from ..sources.stored import since_day
 from .offers import discount_percent, price_extremes, price_since
 
 #: Fixed values of the reports.
@@ -61,27 +63,26 @@ def catalog(offers: DataFrame) -> DataFrame:
     return group_offers(_enriched(offers, _previous_drop()))
 
 
-def _cutoff(offers: DataFrame, window: str) -> DataFrame:
-    """The first day of the window before the newest day among these offers: one row, so the join to it is no product of tables."""
-    return offers.agg(F.date_sub(F.max("captured_on"), WINDOW_DAYS[window]).alias("cutoff"))
+def _extremes(offers: DataFrame, snapshot: DataFrame | Star, window: str, days: DataFrame | None) -> DataFrame:
+    """Extremes from the first day of the window before the newest day among these offers on; that day is a subquery, known before snapshots are read."""
+    newest = (offers if days is None else days).agg(F.max("captured_on").alias("newest"))
+    cutoff = newest.select(F.date_sub("newest", WINDOW_DAYS[window]).alias("cutoff")).scalar()
+    return price_extremes(since_day(snapshot, cutoff) if isinstance(snapshot, Star) else snapshot, cutoff)
 
 
-def _extremes(offers: DataFrame, snapshot: DataFrame, window: str, days: DataFrame | None) -> DataFrame:
-    recent = snapshot.crossJoin(F.broadcast(_cutoff(offers if days is None else days, window)))
-    return price_extremes(recent, F.col("cutoff"))
-
-
-def drops(offers: DataFrame, snapshot: DataFrame, as_of: str, *, window: str = "week", discount_window: str | None = None, least: int | None = None, days: DataFrame | None = None) -> DataFrame:
+def drops(offers: DataFrame, snapshot: DataFrame | Star, as_of: str, *, window: str = "week", discount_window: str | None = None, least: int | None = None, days: DataFrame | None = None) -> DataFrame:
     """Offers below their highest price of the window, with the days since the price took hold, grouped by product.
 
     days: captured_on of these offers, where it is stored, so that the newest day needs no second look at them.
+    Of a star that is stored by day, only the window's months are read for the highest price.
     """
-    rows = offers.join(_extremes(offers, snapshot, window, days), "offer_id", "left").join(price_since(snapshot), "offer_id", "left")
+    since = price_since(snapshot.snapshot if isinstance(snapshot, Star) else snapshot)
+    rows = offers.join(_extremes(offers, snapshot, window, days), "offer_id", "left").join(since, "offer_id", "left")
     rows = _enriched(rows, F.when(F.col("max_price") > F.col("price"), F.col("max_price")), F.date_diff(F.lit(as_of).cast("date"), F.col("since")))
     return group_offers(min_discount(day_window(rows.where("discount is not null"), discount_window), least))
 
 
-def lows(offers: DataFrame, snapshot: DataFrame, *, window: str = "week", least: int | None = None, days: DataFrame | None = None) -> DataFrame:
+def lows(offers: DataFrame, snapshot: DataFrame | Star, *, window: str = "week", least: int | None = None, days: DataFrame | None = None) -> DataFrame:
     """Offers at their lowest price of the window that dropped against their previous price; each is a group of its own. days: as for drops."""
     rows = offers.join(_extremes(offers, snapshot, window, days), "offer_id").where(F.col("price") <= F.col("min_price") + 1e-9)
     rows = _enriched(rows, F.col("previous_price")).where("discount is not null")

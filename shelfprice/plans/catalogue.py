@@ -12,19 +12,23 @@ from ..operators import dashboard as dash
 from ..operators import curation, ingest, offers, preferences, reports, runs
 from ..operators.filters import OfferFilter, filter_offers
 from ..sources import html
-from ..sources.star import AS_OF, STAR_SQL, Star, last_write_wins, star_views
-
-FIRST, LAST = "1995-01-01", AS_OF
-DAY = "1996-05-15"
+from ..sources.star import STAR_SQL, Star, last_write_wins, star_sql, star_views
+from ..sources.stored import between, stored_star
+
+#: The dashboard's range, a day of it, the first day of its second year; the day of a report on what was new then; the day of an ingest run.
+FIRST, LAST = "1997-01-01", "1998-12-31"
+DAY, YEAR = "1998-05-15", "1998-01-01"
+NEW_ON = "1996-06-30"
+RUN_DAY = "1999-01-15"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _LISTING_SQL = STAR_SQL + """, listing as (
   select s.*, p.brand, p.type, c.code as country, st.slug
   from snapshot s join product p using (product_id) join store st using (store_id) left join country c on p.country_id = c.country_id
-  where captured_on between date '1995-01-01' and date '1996-06-30')
-"""
-_CURRENT_SQL = STAR_SQL + """, newest as (
+  where captured_on between date 'FIRST' and date 'LAST')
+""".replace("FIRST", FIRST).replace("LAST", LAST)
+_NOW_SQL = """, newest as (
   select offer_id, price, promo, captured_on, lead(price) over w as previous_price, row_number() over w as rn
   from snapshot window w as (partition by offer_id order by captured_on desc)),
 flavors as (select product_id, list_sort(list(distinct flavor)) as flavors from product_flavor group by product_id),
@@ -35,6 +39,7 @@ cur as (
     left join country c on c.country_id = p.country_id left join flavors f on f.product_id = o.product_id where rn = 1),
 stocked as (select * from cur where in_stock)
 """
+_CURRENT_SQL = STAR_SQL + _NOW_SQL
 _DISCOUNT = "case when {r} > 0 and {p} < {r} then cast(floor(({r} - {p}) / {r} * 100 + 0.5) as int) end"
 
 
@@ -42,7 +47,7 @@ def _query(name: str, sql: str | None = None):
     """Registers a function of the star (or of the session and folder, where it asks for them)."""
 
     def add(f):
-        QUERIES[name] = f if f.__code__.co_varnames[0] == "spark" else lambda spark, sf_dir: f(star_views(spark, sf_dir))
+        QUERIES[name] = f if f.__code__.co_varnames[0] == "spark" else lambda spark, sf_dir: f(stored_star(spark, sf_dir))
         if sql:
             ORACLES[name] = sql
         return f
@@ -64,7 +69,7 @@ def _seen(star: Star) -> DataFrame:
 
 
 def _listings(star: Star) -> DataFrame:
-    return dash.within(dash.listings(star), FIRST, LAST)
+    return dash.listings(star, FIRST, LAST)
 
 
 _FLAT = ["offer_id", "product_id", "slug", "price", "previous_price", "captured_on"]
@@ -82,9 +87,9 @@ def _(star):
     return offers.latest_date(star.snapshot)
 
 
-@_query("price_extremes", STAR_SQL + "select offer_id, min(price) as min_price, max(price) as max_price from snapshot where captured_on >= date '1995-07-01' group by offer_id")
+@_query("price_extremes", STAR_SQL + "select offer_id, min(price) as min_price, max(price) as max_price from snapshot where captured_on >= date '1998-01-01' group by offer_id")
 def _(star):
-    return offers.price_extremes(star.snapshot, F.lit("1995-07-01").cast("date"))
+    return offers.price_extremes(star.snapshot, F.lit(YEAR).cast("date"))
 
 
 _SINCE_SQL = """, now as (select offer_id, arg_max(price, captured_on) as now from snapshot group by offer_id),
@@ -160,7 +165,7 @@ def _(star):
 
 @_query("brk_totals", _LISTING_SQL + f"select count(*) as listings, count(distinct product_id) as products from listing where captured_on = date '{DAY}'")
 def _(star):
-    return dash.totals(dash.within(dash.listings(star), DAY, DAY))
+    return dash.totals(dash.listings(star, DAY, DAY))
 
 
 def _brk_sql(by: str, source: str = "listing") -> str:
@@ -187,7 +192,7 @@ def _(star):
 
 def _life_sql(by: str = "", source: str = "offer") -> str:
     keys, on = (f"{by}, ", f"and x.{by} = k.{by}") if by else ("", "")
-    axis = f"(select distinct {by} from {source}) k, range(date '{FIRST}', date '1996-07-01', interval 1 day) d(day)" if by else f"(select 1) k, range(date '{FIRST}', date '1996-07-01', interval 1 day) d(day)"
+    axis = f"(select distinct {by} from {source}) k, range(date '{FIRST}', date '{LAST}' + interval 1 day, interval 1 day) d(day)" if by else f"(select 1) k, range(date '{FIRST}', date '{LAST}' + interval 1 day, interval 1 day) d(day)"
     return f"""select {'k.' + by + ',' if by else ''} d.day::date as day,
   (select count(*) from {source} x where x.first_seen <= d.day::date {on}) as tracked,
   (select count(*) from {source} x where x.first_seen = d.day::date {on}) as new,
@@ -299,20 +304,21 @@ extremes as (select offer_id, min(price) as min_price, max(price) as max_price f
 
 
 @_query("rep_drops", _CURRENT_SQL + _SINCE_SQL + _RECENT_SQL + ", rows as (select s.*, max_price, since from stocked s left join extremes using (offer_id) left join since using (offer_id))"
-        + _enriched_sql("case when max_price > price then max_price end", "rows", f"date_diff('day', since, date '{AS_OF}')::int", where="discount is not null and discount >= 5") + _GROUP_SQL)
+        + _enriched_sql("case when max_price > price then max_price end", "rows", f"date_diff('day', since, date '{LAST}')::int", where="discount is not null and discount >= 5") + _GROUP_SQL)
 def _(star):
-    return reports.flat(reports.drops(_stocked(star), star.snapshot, AS_OF, window="year", least=5, days=_seen(star)))
+    return reports.flat(reports.drops(_stocked(star), star, LAST, window="year", least=5, days=_seen(star)))
 
 
 @_query("rep_low", _CURRENT_SQL + _RECENT_SQL + ", rows as (select s.* from stocked s join extremes using (offer_id) where price <= min_price + 1e-9)"
         + _enriched_sql("previous_price", "rows", key="offer_id", where="discount is not null") + _GROUP_SQL)
 def _(star):
-    return reports.flat(reports.lows(_stocked(star), star.snapshot, window="year", days=_seen(star)))
+    return reports.flat(reports.lows(_stocked(star), star, window="year", days=_seen(star)))
 
 
-@_query("rep_new", _CURRENT_SQL + f", rows as (select * from stocked where first_seen >= date '{AS_OF}' - 6)" + _enriched_sql("null::double", "rows", f"date_diff('day', first_seen, date '{AS_OF}')::int") + _GROUP_SQL)
-def _(star):
-    return reports.flat(reports.new_listings(_stocked(star), AS_OF))
+@_query("rep_new", star_sql(NEW_ON) + _NOW_SQL + f", rows as (select * from stocked where first_seen >= date '{NEW_ON}' - 6)" + _enriched_sql("null::double", "rows", f"date_diff('day', first_seen, date '{NEW_ON}')::int") + _GROUP_SQL)
+def _(spark, sf_dir):
+    # A report of a past day: the tables as they stood then.
+    return reports.flat(reports.new_listings(_stocked(star_views(spark, sf_dir, NEW_ON)), NEW_ON))
 
 
 @_query("rep_best", _CURRENT_SQL + """, placed as (select *, row_number() over w as place, lead(price) over w as next_price from stocked window w as (partition by product_id order by price, store_name, offer_id)),
@@ -428,26 +434,26 @@ def _(star):
     return ingest.fill_missing(star.product.select("product_id", "name", "brand", "type"), given, ["brand", "type"], "offer_id")
 
 
-@_query("oos_sweep", STAR_SQL + f""", day as (select * from snapshot where captured_on between date '1996-06-01' and date '{AS_OF}')
+@_query("oos_sweep", STAR_SQL + f""", day as (select * from snapshot where captured_on between date '1998-11-01' and date '{LAST}')
 select store_id, offer_id as sku, case when store_id = 0 then in_stock when store_id < 3 then in_stock and offer_id in (select offer_id from day)
   else in_stock and not (product_id % 10 = 0) end as in_stock from offer""")
 def _(star):
     sku = F.col("offer_id").alias("sku")
     stored = star.offer.select("store_id", sku, "in_stock")
-    seen = dash.within(star.snapshot, "1996-06-01", AS_OF).select("store_id", sku)
+    seen = between(star, F.lit("1998-11-01").cast("date"), F.lit(LAST).cast("date")).select("store_id", sku)
     gone = star.offer.where("product_id % 10 = 0 and store_id >= 3").select("store_id", sku)
     verdicts = star.store.where("store_id > 0").select("store_id", (F.col("store_id") < 3).alias("complete"))
     return ingest.sweep(stored, seen, gone, verdicts)
 
 
-@_query("diff_snapshots", STAR_SQL + f""", a as (select offer_id as sku, max(price) as price, bool_or(promo) as promo from snapshot where captured_on < date '1995-07-01' group by 1),
-b as (select offer_id as sku, max(price) as price, bool_or(promo) as promo from snapshot where captured_on >= date '1995-07-01' group by 1)
+@_query("diff_snapshots", STAR_SQL + f""", a as (select offer_id as sku, max(price) as price, bool_or(promo) as promo from snapshot where captured_on < date '1997-01-01' group by 1),
+b as (select offer_id as sku, max(price) as price, bool_or(promo) as promo from snapshot where captured_on >= date '1997-01-01' group by 1)
 select count(*) filter (where a.sku is not null and b.sku is not null) as shared, count(*) filter (where b.sku is null) as only_left, count(*) filter (where a.sku is null) as only_right,
   count(*) filter (where a.sku is not null and b.sku is not null and a.price is distinct from b.price) as differ_price,
   count(*) filter (where a.sku is not null and b.sku is not null and a.promo is distinct from b.promo) as differ_promo from a full join b on a.sku = b.sku""")
 def _(star):
     half = lambda test: star.snapshot.where(test).groupBy(F.col("offer_id").alias("sku")).agg(F.max("price").alias("price"), F.bool_or("promo").alias("promo"))
-    return ingest.diff_snapshots(half("captured_on < date '1995-07-01'"), half("captured_on >= date '1995-07-01'"), ["price", "promo"])
+    return ingest.diff_snapshots(half("captured_on < date '1997-01-01'"), half("captured_on >= date '1997-01-01'"), ["price", "promo"])
 
 
 @_query("null_census", STAR_SQL + """select slug, count(*) as n, count(*) filter (where brand is null) as null_brand, count(*) filter (where type is null) as null_type,
@@ -534,11 +540,11 @@ def _(star):
 
 # Writes
 
-@_query("upsert_snapshots", STAR_SQL + "select offer_id, captured_on, case when captured_on >= date '1995-07-01' then price + 1 else price end as price from snapshot")
+@_query("upsert_snapshots", STAR_SQL + "select offer_id, captured_on, case when captured_on >= date '1997-01-01' then price + 1 else price end as price from snapshot")
 def _(star):
     rows = star.snapshot.select("offer_id", "captured_on", "price")
-    late = rows.where("captured_on >= date '1995-07-01'")
-    stored = rows.where("captured_on < date '1996-01-01'").withColumn("written_at", F.lit(1))
+    late = rows.where("captured_on >= date '1997-01-01'")
+    stored = rows.where("captured_on < date '1998-01-01'").withColumn("written_at", F.lit(1))
     incoming = late.withColumn("price", F.col("price") + 1).withColumn("written_at", F.lit(1)).unionByName(late.withColumn("written_at", F.lit(0)))
     return ingest.upsert_snapshots(stored, incoming).select("offer_id", "captured_on", "price")
 
@@ -548,17 +554,17 @@ def _stored_offers(star: Star) -> DataFrame:
 
 
 @_query("upsert_offers", STAR_SQL + f"""select store_id, offer_id as sku, case when product_id % 2 = 0 then product_id else product_id + 1 end as product_id, case when product_id % 3 = 0 then 'v' else 'u' end as url,
-  product_id % 3 = 0 or in_stock as in_stock, case when product_id % 2 = 0 then first_seen else date '{AS_OF}' end as first_seen, case when product_id % 3 = 0 then date '{AS_OF}' else last_seen end as last_seen
+  product_id % 3 = 0 or in_stock as in_stock, case when product_id % 2 = 0 then first_seen else date '{RUN_DAY}' end as first_seen, case when product_id % 3 = 0 then date '{RUN_DAY}' else last_seen end as last_seen
 from offer where product_id % 2 = 0 or product_id % 3 = 0""")
 def _(star):
     seen = star.offer.where("product_id % 3 = 0").select("store_id", F.col("offer_id").alias("sku"), (F.col("product_id") + 1).alias("product_id"), F.lit("v").alias("url"), F.lit("m").alias("name_orig"), F.lit(True).alias("in_stock"))
-    return ingest.upsert_offers(_stored_offers(star), seen, F.lit(AS_OF).cast("date")).select("store_id", "sku", "product_id", "url", "in_stock", "first_seen", "last_seen")
+    return ingest.upsert_offers(_stored_offers(star), seen, F.lit(RUN_DAY).cast("date")).select("store_id", "sku", "product_id", "url", "in_stock", "first_seen", "last_seen")
 
 
-@_query("touch_offers", STAR_SQL + f"""select offer_id as sku, product_id % 3 = 0 or in_stock as in_stock, case when product_id % 3 = 0 then date '{AS_OF}' else last_seen end as last_seen from offer where product_id % 2 = 0""")
+@_query("touch_offers", STAR_SQL + f"""select offer_id as sku, product_id % 3 = 0 or in_stock as in_stock, case when product_id % 3 = 0 then date '{RUN_DAY}' else last_seen end as last_seen from offer where product_id % 2 = 0""")
 def _(star):
     seen = star.offer.where("product_id % 3 = 0").select("store_id", F.col("offer_id").alias("sku"))
-    return ingest.touch_offers(_stored_offers(star), seen, F.lit(AS_OF).cast("date")).select("sku", "in_stock", "last_seen")
+    return ingest.touch_offers(_stored_offers(star), seen, F.lit(RUN_DAY).cast("date")).select("sku", "in_stock", "last_seen")
 
 
 @_query("find_or_create", STAR_SQL + """select name as match_key, case when min(product_id) % 2 = 0 then min(product_id)::varchar else md5(name) end as product_id, min(product_id) % 2 <> 0 as is_new from product group by name""")

@@ -18,13 +18,16 @@ RUN_LOG = "run_id string, store_id string, success boolean, added int, removed i
 PRODUCT_FLAVOR = "product_id string, flavor_id string, source string"
 PREFERENCE = "user_id string, target_id string, created_at timestamp_ntz"
 
-#: The day on which the derived data stands still.
-AS_OF = "1996-06-30"
+#: An offer not seen for so many days before the newest day of the data is out of stock.
+STOCK_DAYS = 365
 
 
 @dataclass(frozen=True)
 class Star:
-    """store, country, product, product_flavor, offer, snapshot, run_log; products carry brand and type by name."""
+    """store, country, product, product_flavor, offer, snapshot, run_log; products carry brand and type by name.
+
+    by_day, where it is stored, has the rows of snapshot and their month, a partition column.
+    """
 
     store: DataFrame
     country: DataFrame
@@ -33,6 +36,7 @@ class Star:
     offer: DataFrame
     snapshot: DataFrame
     run_log: DataFrame
+    by_day: DataFrame | None = None
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,8 +44,8 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def star_views(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> Star:
-    """The domain tables as views of region, nation, supplier, part, lineitem and events."""
+def star_views(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> Star:
+    """The domain tables as views of region, nation, supplier, part, lineitem and events: all days, or those up to as_of, as the tables stood then."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     store = t("region").select(
         F.col("r_regionkey").alias("store_id"), F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))).alias("slug"), F.col("r_name").alias("store_name")
@@ -59,7 +63,8 @@ def star_views(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> Star:
     flavor = part.select(key.alias("product_id"), F.explode(F.array_distinct(F.array(words[0], F.get(words, F.lit(1))))).alias("flavor"))
     supplier = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("store_id"))
     day = F.col("l_shipdate").cast("date")
-    lines = t("lineitem").where(day <= F.lit(as_of).cast("date")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = t("lineitem")
+    lines = (lines if as_of is None else lines.where(day <= F.lit(as_of).cast("date"))).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     lines = lines.select(
         F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("store_id").cast("string")).alias("offer_id"),
         F.col("l_partkey").alias("product_id"), "store_id", day.alias("captured_on"),
@@ -67,15 +72,20 @@ def star_views(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> Star:
         F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag").alias("written"),
     )
     snapshot = last_write_wins(lines, ["offer_id", "product_id", "store_id", "captured_on"], "written").drop("written")
-    offer = snapshot.groupBy("offer_id", "product_id", "store_id").agg(F.min("captured_on").alias("first_seen"), F.max("captured_on").alias("last_seen"))
-    offer = offer.withColumn("in_stock", F.col("last_seen") >= F.date_sub(F.lit(as_of).cast("date"), 365))
     done = F.when(F.col("event_type") == "error", False).when(F.col("event_type") != "signup", True)
     run_log = t("events").select(
         F.col("event_id").alias("run_id"), (F.col("user_id") % 5).cast("int").alias("store_id"), F.col("ts").alias("created_at"), done.alias("success"),
         F.floor("value").cast("int").alias("added"), F.floor(F.col("value") / 2).cast("int").alias("removed"), F.floor(F.col("value") / 3).cast("int").alias("updated"),
         F.when(done.isNotNull(), F.col("value")).alias("seconds"),
     )
-    return Star(store, country, product, flavor, offer, snapshot, run_log)
+    return Star(store, country, product, flavor, offers_of(snapshot, as_of), snapshot, run_log)
+
+
+def offers_of(snapshot: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Offers with their first and last day; in stock are those seen within a year before as_of, or the newest day of all."""
+    offer = snapshot.groupBy("offer_id", "product_id", "store_id").agg(F.min("captured_on").alias("first_seen"), F.max("captured_on").alias("last_seen"))
+    newest = snapshot.agg(F.max("captured_on").alias("newest")).scalar() if as_of is None else F.lit(as_of).cast("date")
+    return offer.withColumn("in_stock", F.col("last_seen") >= F.date_sub(newest, STOCK_DAYS))
 
 
 def last_write_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -85,8 +95,10 @@ def last_write_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return newest.select(*key, *[F.col(f"__last.{c}").alias(c) for c in rest])
 
 
-#: The same views in SQL, for other engines: a block of common table expressions to put before a query.
-STAR_SQL = """with store as (
+def star_sql(as_of: str | None = None) -> str:
+    """The same views in SQL, for other engines: a block of common table expressions to put before a query."""
+    newest = "(select max(captured_on) from snapshot)" if as_of is None else f"date '{as_of}'"
+    return f"""with store as (
   select r_regionkey as store_id, lower(replace(r_name,' ','-')) as slug, r_name as store_name from region),
 country as (select cast(n_nationkey as int) as country_id, lower(n_name) as code, n_name as country_name from nation),
 product as (
@@ -110,10 +122,10 @@ raw_line as (
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
 snapshot as (
   select offer_id, product_id, store_id, captured_on, price, promo from raw_line
-  where rn = 1 and captured_on <= date '1996-06-30'),
+  where rn = 1{'' if as_of is None else f" and captured_on <= date '{as_of}'"}),
 offer as (
   select offer_id, product_id, store_id, min(captured_on) as first_seen, max(captured_on) as last_seen,
-    max(captured_on) >= date '1995-07-01' as in_stock
+    max(captured_on) >= {newest} - {STOCK_DAYS} as in_stock
   from snapshot group by offer_id, product_id, store_id),
 run_log as (
   select event_id as run_id, cast(user_id % 5 as int) as store_id, ts as created_at,
@@ -121,3 +133,6 @@ run_log as (
     cast(floor(value) as int) as added, cast(floor(value / 2) as int) as removed, cast(floor(value / 3) as int) as updated,
     case when event_type <> 'signup' then value end as seconds from events)
 """
+
+
+STAR_SQL = star_sql()
