@@ -92,15 +92,13 @@ def samples(pieces: list[bytes], size: int, length: int = _BASE) -> tuple[np.nda
 
 
 def _sampled(rows: DataFrame, size: int) -> DataFrame:
-    """(id, tag, text) to id, tag and the 16-byte name of each sampled position, once a row."""
+    """(id, tag, text) to id, tag and the 16-byte name of each sampled position, runs of one name once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, pieces in segments(batch.column("text").to_pylist(), size):
                 _, name, _, owner, _, _, spot = samples(pieces, size)
                 found, whose = name[_BASE][spot], row[owner]
-                order = np.lexsort((found, whose))
-                found, whose = found[order], whose[order]
                 new = np.flatnonzero((np.diff(found, prepend=found[:1] - np.uint64(1)) != 0) | (np.diff(whose, prepend=-1) != 0))
                 take = pa.array(whose[new])
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tag").take(take), pa.array(found[new].view(np.int64))], ["id", "tag", "name"])
@@ -118,7 +116,7 @@ def _levels(size: int) -> list[int]:
 
 
 def _spots(marked: DataFrame, size: int) -> DataFrame:
-    """(id, tag, text, names) to the sampled positions whose name is among names: id, tag, first window, number of windows, name, name of all bytes around, and names to the right and to the left at each level (0: not within a window)."""
+    """(id, tag, text, names) to the sampled positions whose name is among names: id, tag, first window, number of windows, how far the first begins before the position, name of all bytes around, and names to the right and to the left at each level (0: not within a window)."""
     levels = _levels(size)
     sides = [f"{side}{length}" for length in levels for side in ("right", "left")]
     longest = max([_BASE, *levels])
@@ -144,13 +142,13 @@ def _spots(marked: DataFrame, size: int) -> DataFrame:
                 take = pa.array(row[owner])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").take(take), batch.column("tag").take(take), pa.array((begins - at[owner] + offset[owner]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                        pa.array(name[_BASE][spot].view(np.int64)), pa.array(word_hashes(buf, begins, ends).view(np.int64)), *wide,
+                        batch.column("id").take(take), batch.column("tag").take(take), pa.array((begins - at[owner] + offset[owner]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((spot - begins).astype(np.int32)),
+                        pa.array(word_hashes(buf, begins, ends).view(np.int64)), *wide,
                     ],
-                    ["id", "tag", "start", "n", "name", "around", *sides],
+                    ["id", "tag", "start", "n", "lead", "around", *sides],
                 )
 
-    schema = f"id {marked.schema['id'].dataType.simpleString()}, tag int, start int, n int, name long, around long"
+    schema = f"id {marked.schema['id'].dataType.simpleString()}, tag int, start int, n int, lead int, around long"
     return marked.mapInArrow(lean(run), ", ".join([schema, *[f"{side} long" for side in sides]]))
 
 
@@ -254,18 +252,26 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
     scratch.drop(live)
     # Equal surroundings of a sampled position are one class: all but the document that has it first lose it whole.
     sides = [c for c in spots.columns if c.startswith(("right", "left"))]
-    classes = done(spots.groupBy("name", "around").agg(F.min("id").alias("first"), F.max("id").alias("last"), *[F.first(c).alias(c) for c in sides]))
+    classes = done(spots.groupBy("around").agg(F.min("id").alias("first"), F.max("id").alias("last"), *[F.first(c).alias(c) for c in sides]))
     # Rounds of 32 bytes and more: a class stays open if another that comes first elsewhere has its right or its left side.
-    open_ = classes.select("name", "around", "first", *sides)
-    for k in range(0, len(sides), 2):
+    open_ = classes.select("around", "first", *sides, F.lit(True).alias("right"), F.lit(True).alias("left"))
+    reach = _BASE
+    for k, reach in zip(range(0, len(sides), 2), _levels(size), strict=True):
         rest = sides[k + 2 :]
-        each = open_.select("name", "around", "first", *rest, F.posexplode(F.array(*sides[k : k + 2])).alias("side", "wide")).where("wide <> 0")
+        each = open_.select("around", "first", *rest, F.posexplode(F.array(*sides[k : k + 2])).alias("side", "wide")).where("wide <> 0")
         shared = done(each.groupBy("side", "wide").agg((F.min("first") < F.max("first")).alias("spread")).where("spread").select("side", "wide"))
-        open_ = done(each.join(shared, ["side", "wide"], "left_semi").groupBy("name", "around").agg(*[F.first(c).alias(c) for c in ("first", *rest)]))
-    verdicts = done(classes.join(open_.select("name", "around", F.lit(True).alias("open")), ["name", "around"], "left").where("first < last or open").select("name", "around", "first", "open"))
+        found = [F.bool_or(F.col("side") == i).alias(side) for i, side in enumerate(("right", "left"))]
+        open_ = done(each.join(shared, ["side", "wide"], "left_semi").groupBy("around").agg(*[F.first(c).alias(c) for c in ("first", *rest)], *found))
+    verdicts = done(classes.join(open_.select("around", "right", "left"), "around", "left").where("first < last or right or left").select("around", "first", "right", "left"))
     scratch.drop(classes, open_)
-    whole = (F.col("id") > F.col("first")).alias("whole")
-    marks = spots.select("id", "tag", "start", "n", "name", "around").join(verdicts, ["name", "around"]).where("id > first or open").groupBy(*by_text).agg(F.collect_set(F.struct("start", "n", whole)).alias("marks"))
+    # Only windows that hold a shared side can be shared: with the right one alone those that reach as far to the right, with the left one alone those that begin as far to the left.
+    skip = F.when(F.col("left"), 0).otherwise(F.greatest(F.lit(0), F.col("lead") - (size - reach)))
+    stop = F.when(F.col("right"), F.col("n")).otherwise(F.least("n", F.col("lead") - (reach - _BASE) + 1))
+    whole = F.col("id") > F.col("first")
+    mark = F.struct(
+        F.when(whole, F.col("start")).otherwise(F.col("start") + skip).alias("start"), F.when(whole, F.col("n")).otherwise(stop - skip).alias("n"), whole.alias("whole")
+    )
+    marks = spots.select("id", "tag", "start", "n", "lead", "around").join(verdicts, "around").where("id > first or right or left").groupBy(*by_text).agg(F.collect_set(mark).alias("marks"))
     marks = done(marks)
     scratch.drop(spots, verdicts)
     # The round of full length, window by window, for what is open in the document that has it first.
