@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -98,6 +99,29 @@ def bounds(snapshot: DataFrame) -> DataFrame:
     return snapshot.agg(F.min("captured_on").alias("first_day"), F.max("captured_on").alias("last_day"), F.countDistinct("captured_on").alias("days"))
 
 
+def clamped_range(snapshot: DataFrame, first: str, last: str) -> DataFrame:
+    """One row, first, last and empty: the range cut to the days that have data; as it was asked for, and empty, where it meets none. A span that is wrong is an error, as in within()."""
+    a, b = (F.lit(x) for x in _checked(first, last))
+    cut = snapshot.agg(F.min("captured_on").alias("low"), F.max("captured_on").alias("high")).select(F.greatest(a, "low").alias("from"), F.least(b, "high").alias("to"), F.col("low").isNull().alias("none"))
+    empty = F.col("none") | (F.col("from") > F.col("to"))
+    return cut.select(F.when(empty, a).otherwise(F.col("from")).alias("first"), F.when(empty, b).otherwise(F.col("to")).alias("last"), empty.alias("empty"))
+
+
+def daily_in_range(star: Star, first: str, last: str, *by: str) -> DataFrame:
+    """daily() of a clamped range with first, last and empty on each row; one row without a day where the range is empty.
+
+    Its ends are subqueries, known before snapshots are read: no job runs while this is planned, and months beside the range are skipped.
+    """
+    cut = clamped_range(star.snapshot, first, last)
+    rows = listings(replace(star, snapshot=between(star, cut.select("first").scalar(), cut.select("last").scalar()), by_day=None))
+    return cut.join(daily(rows, *by), ~F.col("empty"), "left")
+
+
+def meta(star: Star) -> DataFrame:
+    """The dashboard's context: each store's coverage, with the first, the last and the number of days of all."""
+    return coverage(star).crossJoin(F.broadcast(bounds(star.snapshot).select(F.col("first_day").alias("floor"), F.col("last_day").alias("latest"), F.col("days").alias("day_count"))))
+
+
 def coverage(star: Star) -> DataFrame:
     """Each store, empty ones too: listings, those in stock, first and last day with data."""
     counts = star.offer.groupBy("store_id").agg(F.count("*").alias("listings"), F.count_if("in_stock").alias("in_stock"))

@@ -12,9 +12,16 @@ BASELINE_SHARE = 0.5
 
 
 def upsert_snapshots(stored: DataFrame, incoming: DataFrame, order: str = "written_at") -> DataFrame:
-    """One row for each (offer_id, captured_on): the one written last; incoming wins ties. An aggregate, so rows combine before the shuffle."""
+    """One row for each (offer_id, captured_on): the one written last; incoming wins ties. An aggregate, so rows combine before the shuffle.
+
+    created_at, where the table has it, stays that of the first write.
+    """
     both = stored.withColumn("__at", F.struct(order, F.lit(0))).unionByName(incoming.withColumn("__at", F.struct(order, F.lit(1))))
-    return last_write_wins(both, ["offer_id", "captured_on"], "__at").select(*stored.columns)
+    key = ["offer_id", "captured_on"]
+    rest = [c for c in stored.columns if c not in key]
+    first = [F.min_by("created_at", F.struct(~F.col("__stored"), "__at")).alias("__created")] if "created_at" in rest else []
+    newest = both.withColumn("__stored", F.col("__at")["col2"] == 0).groupBy(*key).agg(F.max_by(F.struct(*rest), "__at").alias("__last"), *first)
+    return newest.select(*[F.col("__created").alias(c) if first and c == "created_at" else F.col(c) if c in key else F.col(f"__last.{c}").alias(c) for c in stored.columns])
 
 
 def stock_alerts(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -55,12 +62,15 @@ def upsert_offers(stored: DataFrame, seen: DataFrame, day: Column) -> DataFrame:
 
 
 def touch_offers(stored: DataFrame, seen: DataFrame, day: Column) -> DataFrame:
-    """Known offers only: seen ones are in stock and last seen on the day; their product stays."""
-    mark = seen.select("store_id", "sku").distinct().withColumn("__seen", F.lit(True))
-    hit = F.coalesce("__seen", F.lit(False))
-    return stored.join(mark, ["store_id", "sku"], "left").withColumns(
-        {"in_stock": F.when(hit, True).otherwise(F.col("in_stock")), "last_seen": F.when(hit, day).otherwise(F.col("last_seen"))}
-    ).drop("__seen")
+    """Known offers only: seen ones take the listing's url and raw name, are in stock and last seen on the day; their product stays.
+
+    seen: store_id, sku, url, name_orig; its first row for a key by url counts. What is not stored adds nothing.
+    """
+    key, fields = ["store_id", "sku"], ["url", "name_orig"]
+    one = seen.groupBy(*key).agg(F.min(F.struct(*fields)).alias("__n"))
+    hit = F.col("__n").isNotNull()
+    now = {f: F.when(hit, F.col(f"__n.{f}")).otherwise(F.col(f)) for f in fields} | {"in_stock": F.when(hit, True).otherwise(F.col("in_stock")), "last_seen": F.when(hit, day).otherwise(F.col("last_seen"))}
+    return stored.join(one, key, "left").select(*[now.get(c, F.col(c)).alias(c) for c in stored.columns])
 
 
 def find_or_create(stored: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -105,6 +115,12 @@ def replace_manual_flavors(stored: DataFrame, wanted: DataFrame, products: DataF
     return stored.join(products.select("product_id"), "product_id", "left_anti").unionByName(wanted.select("product_id", "flavor").distinct().withColumn("source", F.lit("manual")))
 
 
+def stamped(products: DataFrame, done: DataFrame, column: str, at: Column) -> DataFrame:
+    """Products with the stamp set for those of done (product_id): classified_at after a model's answer, also for curated ones, so that it is not asked again; curated_at after a choice by hand."""
+    hit = done.select("product_id").distinct().withColumn("__hit", F.lit(True))
+    return products.join(hit, "product_id", "left").select(*[F.when(F.col("__hit"), at).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in products.columns])
+
+
 def listing_verdict(listings: DataFrame) -> DataFrame:
     """verdict: incomplete unless it stopped exhausted; exhausted without a stated count; short below it; else counted."""
     verdict = (

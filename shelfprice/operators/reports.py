@@ -130,3 +130,9 @@ def page(groups: DataFrame, kind: str, *, number: int = 1, size: int = 50, sort:
     if number < 1 or size not in PAGE_SIZES:
         raise ValueError(f"pages count from 1 and hold one of {PAGE_SIZES} groups")
     return ordered(groups, kind, sort, descending).offset((number - 1) * size).limit(size)
+
+
+def paged(groups: DataFrame, kind: str, **asked) -> DataFrame:
+    """A page as page() gives it, each row with total, the number of groups of all pages; a page beyond the last is one row with the total alone."""
+    total = groups.agg(F.count("*").alias("total"))
+    return total.join(page(groups, kind, **asked), F.lit(True), "left")

@@ -40,8 +40,8 @@ def set_active(store: DataFrame, slug: str, active: bool) -> DataFrame:
 
 
 def meta(store: DataFrame, country: DataFrame, product: DataFrame, offer: DataFrame, product_flavor: DataFrame) -> DataFrame:
-    """What filters can offer, one row a value: kind (store, type, flavor, country sold, any country), key and label."""
-    sold = product.join(offer, "product_id", "left_semi")
+    """What filters can offer, one row a value: kind (store, type, flavor, country in stock, any country), key and label."""
+    sold = product.join(offer.where("in_stock"), "product_id", "left_semi")
     kind = lambda df, name, key, label: df.select(F.lit(name).alias("kind"), F.col(key).cast("string").alias("key"), F.col(label).alias("label")).where("key is not null").distinct()
     return (
         kind(store, "store", "slug", "store_name").unionByName(kind(product, "type", "type", "type")).unionByName(kind(product_flavor, "flavor", "flavor", "flavor"))

@@ -540,13 +540,14 @@ def _(star):
 
 # Writes
 
-@_query("upsert_snapshots", STAR_SQL + "select offer_id, captured_on, case when captured_on >= date '1997-01-01' then price + 1 else price end as price from snapshot")
+@_query("upsert_snapshots", STAR_SQL + """select offer_id, captured_on, case when captured_on >= date '1997-01-01' then price + 1 else price end as price,
+  case when captured_on < date '1998-01-01' then 1 else 2 end as created_at from snapshot""")
 def _(star):
     rows = star.snapshot.select("offer_id", "captured_on", "price")
     late = rows.where("captured_on >= date '1997-01-01'")
-    stored = rows.where("captured_on < date '1998-01-01'").withColumn("written_at", F.lit(1))
-    incoming = late.withColumn("price", F.col("price") + 1).withColumn("written_at", F.lit(1)).unionByName(late.withColumn("written_at", F.lit(0)))
-    return ingest.upsert_snapshots(stored, incoming).select("offer_id", "captured_on", "price")
+    stored = rows.where("captured_on < date '1998-01-01'").withColumns({"created_at": F.lit(1), "written_at": F.lit(1)})
+    incoming = late.withColumn("price", F.col("price") + 1).withColumns({"created_at": F.lit(3), "written_at": F.lit(2)}).unionByName(late.withColumns({"created_at": F.lit(2), "written_at": F.lit(0)}))
+    return ingest.upsert_snapshots(stored, incoming).select("offer_id", "captured_on", "price", "created_at")
 
 
 def _stored_offers(star: Star) -> DataFrame:
@@ -561,10 +562,11 @@ def _(star):
     return ingest.upsert_offers(_stored_offers(star), seen, F.lit(RUN_DAY).cast("date")).select("store_id", "sku", "product_id", "url", "in_stock", "first_seen", "last_seen")
 
 
-@_query("touch_offers", STAR_SQL + f"""select offer_id as sku, product_id % 3 = 0 or in_stock as in_stock, case when product_id % 3 = 0 then date '{RUN_DAY}' else last_seen end as last_seen from offer where product_id % 2 = 0""")
+@_query("touch_offers", STAR_SQL + f"""select offer_id as sku, product_id, case when product_id % 3 = 0 then 'v' else 'u' end as url, case when product_id % 3 = 0 then 'm' else 'n' end as name_orig,
+  product_id % 3 = 0 or in_stock as in_stock, case when product_id % 3 = 0 then date '{RUN_DAY}' else last_seen end as last_seen from offer where product_id % 2 = 0""")
 def _(star):
-    seen = star.offer.where("product_id % 3 = 0").select("store_id", F.col("offer_id").alias("sku"))
-    return ingest.touch_offers(_stored_offers(star), seen, F.lit(RUN_DAY).cast("date")).select("sku", "in_stock", "last_seen")
+    seen = star.offer.where("product_id % 3 = 0").select("store_id", F.col("offer_id").alias("sku"), F.lit("v").alias("url"), F.lit("m").alias("name_orig"))
+    return ingest.touch_offers(_stored_offers(star), seen, F.lit(RUN_DAY).cast("date")).select("sku", "product_id", "url", "name_orig", "in_stock", "last_seen")
 
 
 @_query("find_or_create", STAR_SQL + """select name as match_key, case when min(product_id) % 2 = 0 then min(product_id)::varchar else md5(name) end as product_id, min(product_id) % 2 <> 0 as is_new from product group by name""")
@@ -663,7 +665,7 @@ def _(star):
 
 
 @_query("meta_values", STAR_SQL + """select 'store' as kind, slug as key, store_name as label from store union select 'type', type, type from product where type is not null union select 'flavor', flavor, flavor from product_flavor
-union select 'country', code, country_name from country where country_id in (select country_id from product where product_id in (select product_id from offer)) union select 'any_country', code, country_name from country""")
+union select 'country', code, country_name from country where country_id in (select country_id from product where product_id in (select product_id from offer where in_stock)) union select 'any_country', code, country_name from country""")
 def _(star):
     return runs.meta(star.store, star.country, star.product, star.offer, star.product_flavor)
 

@@ -97,3 +97,10 @@ def since_day(star: Star, first) -> DataFrame:
     """Snapshots from a day on (a column, which may be a subquery); earlier months are not read."""
     here = F.col("captured_on") >= first
     return star.snapshot.where(here) if star.by_day is None else star.by_day.where((F.col("month") >= F.trunc(first, "month")) & here).drop("month")
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back: its lineage ends here, and a lost executor costs no more than a step."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

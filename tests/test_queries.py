@@ -6,10 +6,12 @@ import os
 import duckdb
 import pytest
 
-from shelfprice.plans.catalogue import ORACLES, QUERIES
+from shelfprice.plans import catalogue, upkeep
 
 from .conftest import SF
 
+QUERIES, ORACLES = catalogue.QUERIES | upkeep.QUERIES, catalogue.ORACLES | upkeep.ORACLES
+
 
 @pytest.fixture(scope="module")
 def db():
