@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, lean, pick
@@ -39,6 +39,16 @@ def _paired(low: np.ndarray, high: np.ndarray, round_: int) -> np.ndarray:
     return x
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """mix() in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
 def names(buf: np.ndarray, length: int) -> dict[int, np.ndarray]:
     """Names of all positions at lengths 16, 32, 64 ... up to length, by the length, each from pairs of those at half of it."""
     now, size, out = _BYTES[buf], 1, {}
@@ -48,7 +58,7 @@ def names(buf: np.ndarray, length: int) -> dict[int, np.ndarray]:
         now = _paired(now[:-size], now[size:], round_)
         size *= 2
         if size >= _BASE:
-            now = mix(now)
+            now = _mixed(now)
             out[size] = now
     return out
 
@@ -77,18 +87,20 @@ def samples(pieces: list[bytes], size: int, length: int = _BASE) -> tuple[np.nda
     name = names(buf, length)
     sizes = np.array([len(p) for p in pieces], np.int64)
     at = np.cumsum(sizes) - sizes
-    count = np.maximum(0, sizes - size + 1)
-    places = np.arange(len(name[_BASE]), dtype=np.uint64)
-    least, reach, wide = (name[_BASE] & np.uint64(~_PLACE & ((1 << 64) - 1))) | places, 1, size - _BASE + 1
+    least, reach, wide = name[_BASE] & np.uint64(~_PLACE & ((1 << 64) - 1)), 1, size - _BASE + 1
+    least |= np.arange(len(least), dtype=np.uint64)
     while reach < wide:
         step = min(reach, wide - reach)
         least = np.minimum(least[:-step], least[step:])
         reach += step
-    owner = np.repeat(np.arange(len(pieces)), count)
-    begins = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + at[owner]
-    spot = (least[begins] & np.uint64(_PLACE)).astype(np.int64)
-    new = np.flatnonzero(np.diff(spot, prepend=-1) | np.diff(owner, prepend=-1))
-    return buf, name, at, owner[new], begins[new], np.diff(new, append=len(owner)), spot[new]
+    least &= np.uint64(_PLACE)
+    # A run of windows with one sampled position ends where that changes, and where a piece's windows begin or end.
+    begins = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, at, at + sizes - size + 1]))
+    n = np.diff(begins, append=len(buf))
+    owner = np.searchsorted(at, begins, side="right") - 1
+    inside = begins < at[owner] + sizes[owner] - size + 1
+    owner, begins, n = owner[inside], begins[inside], n[inside]
+    return buf, name, at, owner, begins, n, least[begins].astype(np.int64)
 
 
 def _sampled(rows: DataFrame, size: int) -> DataFrame:
@@ -152,6 +164,18 @@ def _spots(marked: DataFrame, size: int) -> DataFrame:
     return marked.mapInArrow(lean(run), ", ".join([schema, *[f"{side} long" for side in sides]]))
 
 
+def _mark(start: Column, n: Column, whole: Column) -> Column:
+    """A run of n windows, and whether they are all lost, as one number."""
+    return F.shiftleft(start.cast("long"), 32) + F.shiftleft(n.cast("long"), 1) + whole.cast("long")
+
+
+def _marks(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of marks (null: none) as row, first window, number of windows, and whether all are lost."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return row, x >> 32, (x >> 1) & 0x7FFFFFFF, (x & 1).astype(bool)
+
+
 def _windows(marked: DataFrame, size: int) -> DataFrame:
     """(id, tag, text, marks) to one row a window of each mark that is not whole: id, tag, place, and the name of its size bytes, a pair of names that cover it."""
     half = _BASE
@@ -160,11 +184,8 @@ def _windows(marked: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("marks")
-            marks = pa.RecordBatch.from_struct_array(lists.flatten())
-            open_ = ~marks.column("whole").to_numpy(zero_copy_only=False).astype(bool)
-            whose = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[open_]
-            start, n = (marks.column(c).to_numpy().astype(np.int64)[open_] for c in ("start", "n"))
+            whose, start, n, whole = _marks(batch.column("marks"))
+            whose, start, n = whose[~whole], start[~whole], n[~whole]
             piece_of = (whose << 32) | (start // _LIMIT)  # a mark's windows are within one piece
             order = np.argsort(piece_of, kind="stable")
             whose, start, n, piece_of = whose[order], start[order], n[order], piece_of[order]
@@ -192,23 +213,26 @@ def _cut(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            row, start, n, whole = _marks(batch.column("marks"))
+            places = batch.column("places")
+            alone = np.repeat(np.arange(len(places)), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            row, start = np.concatenate([row[whole], alone]), np.concatenate([start[whole], places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)])
+            n = np.concatenate([n[whole], np.ones(len(alone), np.int64)])
+            # Runs of all texts at once: a text's places lie beyond all of the one before it.
+            low, high = (row << 32) + start, (row << 32) + start + n - 1 + size
+            order = np.argsort(low, kind="stable")
+            low, reach = low[order], np.maximum.accumulate(high[order])
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(low)), bool), low[1:] > reach[:-1]]))
+            begins, ends = low[new], reach[np.append(new[1:], len(low))[: len(new)] - 1]
+            cuts = np.searchsorted(begins >> 32, np.arange(batch.num_rows + 1)).tolist()
+            begins, ends = (begins & 0xFFFFFFFF).tolist(), (ends & 0xFFFFFFFF).tolist()
             n_bytes, spans, kept = [], [], []
-            for text, marks, places in zip(batch.column("text"), batch.column("marks"), batch.column("places"), strict=True):
-                data = text.as_py() if text.is_valid else b""
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                data = text or b""
                 n_bytes.append(len(data))
-                runs = []
-                if marks.is_valid or places.is_valid:
-                    edge = np.zeros(len(data) + 1, np.int32)
-                    whole = [(m["start"], m["n"]) for m in marks.as_py() if m["whole"]] if marks.is_valid else []
-                    begins = np.array([a for a, _ in whole] + (places.as_py() if places.is_valid else []), np.int64)
-                    many = np.ones(len(begins), np.int64)
-                    many[: len(whole)] = [n for _, n in whole]
-                    np.add.at(edge, begins, 1)
-                    np.add.at(edge, begins + many - 1 + size, -1)
-                    turn = np.flatnonzero(np.diff(np.cumsum(edge) > 0, prepend=False))
-                    runs = list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
-                spans.append([{"start": a, "end": b} for a, b in runs])
-                kept.append(b"".join(data[a:b] for a, b in zip([0, *[b for _, b in runs]], [*[a for a, _ in runs], len(data)], strict=True)))
+                a, b = begins[cuts[i] : cuts[i + 1]], ends[cuts[i] : cuts[i + 1]]
+                spans.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
+                kept.append(b"".join(data[x:y] for x, y in zip([0, *b], [*a, len(data)], strict=True)) if a else data)
             arrays = [batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_bytes", "spans", "kept"])
 
@@ -268,14 +292,12 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
     skip = F.when(F.col("left"), 0).otherwise(F.greatest(F.lit(0), F.col("lead") - (size - reach)))
     stop = F.when(F.col("right"), F.col("n")).otherwise(F.least("n", F.col("lead") - (reach - _BASE) + 1))
     whole = F.col("id") > F.col("first")
-    mark = F.struct(
-        F.when(whole, F.col("start")).otherwise(F.col("start") + skip).alias("start"), F.when(whole, F.col("n")).otherwise(stop - skip).alias("n"), whole.alias("whole")
-    )
+    mark = F.when(whole, _mark(F.col("start"), F.col("n"), F.lit(True))).otherwise(_mark(F.col("start") + skip, stop - skip, F.lit(False)))
     marks = spots.select("id", "tag", "start", "n", "lead", "around").join(verdicts, "around").where("id > first or right or left").groupBy(*by_text).agg(F.collect_set(mark).alias("marks"))
     marks = done(marks)
     scratch.drop(spots, verdicts)
     # The round of full length, window by window, for what is open in the document that has it first.
-    some = marks.where(F.exists("marks", lambda m: ~m["whole"]))
+    some = marks.where(F.exists("marks", lambda m: m % 2 == 0))
     windows = done(_windows(long.join(some, here).select("id", "tag", "text", "marks"), size))
     least = done(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least"))
     places = windows.join(least, "window").where(F.col("least") < F.col("id")).groupBy(*by_text).agg(F.collect_set("place").alias("places"))
