@@ -15,11 +15,11 @@ from ..sources import html
 from ..sources.star import STAR_SQL, Star, last_write_wins, star_sql, star_views
 from ..sources.stored import between, stored_star
 
-#: The dashboard's range, a day of it, the first day of its second year; the day of a report on what was new then; the day of an ingest run.
+#: The dashboard's range, a day of it, the first day of its second year; the day of a report on what was new then; today, for reports and runs over all days.
 FIRST, LAST = "1997-01-01", "1998-12-31"
 DAY, YEAR = "1998-05-15", "1998-01-01"
 NEW_ON = "1996-06-30"
-RUN_DAY = "1999-01-15"
+TODAY = "2001-12-31"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -304,9 +304,9 @@ extremes as (select offer_id, min(price) as min_price, max(price) as max_price f
 
 
 @_query("rep_drops", _CURRENT_SQL + _SINCE_SQL + _RECENT_SQL + ", rows as (select s.*, max_price, since from stocked s left join extremes using (offer_id) left join since using (offer_id))"
-        + _enriched_sql("case when max_price > price then max_price end", "rows", f"date_diff('day', since, date '{LAST}')::int", where="discount is not null and discount >= 5") + _GROUP_SQL)
+        + _enriched_sql("case when max_price > price then max_price end", "rows", f"date_diff('day', since, date '{TODAY}')::int", where="discount is not null and discount >= 5") + _GROUP_SQL)
 def _(star):
-    return reports.flat(reports.drops(_stocked(star), star, LAST, window="year", least=5, days=_seen(star)))
+    return reports.flat(reports.drops(_stocked(star), star, TODAY, window="year", least=5, days=_seen(star)))
 
 
 @_query("rep_low", _CURRENT_SQL + _RECENT_SQL + ", rows as (select s.* from stocked s join extremes using (offer_id) where price <= min_price + 1e-9)"
@@ -434,13 +434,13 @@ def _(star):
     return ingest.fill_missing(star.product.select("product_id", "name", "brand", "type"), given, ["brand", "type"], "offer_id")
 
 
-@_query("oos_sweep", STAR_SQL + f""", day as (select * from snapshot where captured_on between date '1998-11-01' and date '{LAST}')
+@_query("oos_sweep", STAR_SQL + f""", day as (select * from snapshot where captured_on between date '2001-03-01' and date '{TODAY}')
 select store_id, offer_id as sku, case when store_id = 0 then in_stock when store_id < 3 then in_stock and offer_id in (select offer_id from day)
   else in_stock and not (product_id % 10 = 0) end as in_stock from offer""")
 def _(star):
     sku = F.col("offer_id").alias("sku")
     stored = star.offer.select("store_id", sku, "in_stock")
-    seen = between(star, F.lit("1998-11-01").cast("date"), F.lit(LAST).cast("date")).select("store_id", sku)
+    seen = between(star, F.lit("2001-03-01").cast("date"), F.lit(TODAY).cast("date")).select("store_id", sku)
     gone = star.offer.where("product_id % 10 = 0 and store_id >= 3").select("store_id", sku)
     verdicts = star.store.where("store_id > 0").select("store_id", (F.col("store_id") < 3).alias("complete"))
     return ingest.sweep(stored, seen, gone, verdicts)
@@ -555,18 +555,18 @@ def _stored_offers(star: Star) -> DataFrame:
 
 
 @_query("upsert_offers", STAR_SQL + f"""select store_id, offer_id as sku, case when product_id % 2 = 0 then product_id else product_id + 1 end as product_id, case when product_id % 3 = 0 then 'v' else 'u' end as url,
-  product_id % 3 = 0 or in_stock as in_stock, case when product_id % 2 = 0 then first_seen else date '{RUN_DAY}' end as first_seen, case when product_id % 3 = 0 then date '{RUN_DAY}' else last_seen end as last_seen
+  product_id % 3 = 0 or in_stock as in_stock, case when product_id % 2 = 0 then first_seen else date '{TODAY}' end as first_seen, case when product_id % 3 = 0 then date '{TODAY}' else last_seen end as last_seen
 from offer where product_id % 2 = 0 or product_id % 3 = 0""")
 def _(star):
     seen = star.offer.where("product_id % 3 = 0").select("store_id", F.col("offer_id").alias("sku"), (F.col("product_id") + 1).alias("product_id"), F.lit("v").alias("url"), F.lit("m").alias("name_orig"), F.lit(True).alias("in_stock"))
-    return ingest.upsert_offers(_stored_offers(star), seen, F.lit(RUN_DAY).cast("date")).select("store_id", "sku", "product_id", "url", "in_stock", "first_seen", "last_seen")
+    return ingest.upsert_offers(_stored_offers(star), seen, F.lit(TODAY).cast("date")).select("store_id", "sku", "product_id", "url", "in_stock", "first_seen", "last_seen")
 
 
 @_query("touch_offers", STAR_SQL + f"""select offer_id as sku, product_id, case when product_id % 3 = 0 then 'v' else 'u' end as url, case when product_id % 3 = 0 then 'm' else 'n' end as name_orig,
-  product_id % 3 = 0 or in_stock as in_stock, case when product_id % 3 = 0 then date '{RUN_DAY}' else last_seen end as last_seen from offer where product_id % 2 = 0""")
+  product_id % 3 = 0 or in_stock as in_stock, case when product_id % 3 = 0 then date '{TODAY}' else last_seen end as last_seen from offer where product_id % 2 = 0""")
 def _(star):
     seen = star.offer.where("product_id % 3 = 0").select("store_id", F.col("offer_id").alias("sku"), F.lit("v").alias("url"), F.lit("m").alias("name_orig"))
-    return ingest.touch_offers(_stored_offers(star), seen, F.lit(RUN_DAY).cast("date")).select("sku", "product_id", "url", "name_orig", "in_stock", "last_seen")
+    return ingest.touch_offers(_stored_offers(star), seen, F.lit(TODAY).cast("date")).select("sku", "product_id", "url", "name_orig", "in_stock", "last_seen")
 
 
 @_query("find_or_create", STAR_SQL + """select name as match_key, case when min(product_id) % 2 = 0 then min(product_id)::varchar else md5(name) end as product_id, min(product_id) % 2 <> 0 as is_new from product group by name""")
