@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators import dashboard as dash
 from ..operators import edits, enrichment, ingest, merging, offers, reports
+from ..sources import paged, sink
 from ..sources.star import STAR_SQL, Star
-from ..sources.stored import stored_star
+from ..sources.stored import shared_folder, stored_star
 from .catalogue import _CURRENT_SQL, _METRICS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +260,52 @@ def _(star):
     groups = reports.catalog(offers.current_offers(star).where("in_stock"))
     shown = reports.paged(groups, "catalog", number=2).unionByName(reports.paged(groups, "catalog", number=10_000))
     return shown.select("total", "group_id", "name")
+
+
+# Sources and sinks
+
+_PAGES_SQL = """with recursive item as (
+  select (doc_id % 5)::varchar as store_id, (doc_id // 50 + 1)::int as page, doc_id, (row_number() over (partition by doc_id % 5, doc_id // 50 order by doc_id) - 1)::int as position,
+    (length(coalesce(text, '')) % (20 + doc_id % 5 * 12))::varchar as sku from documents),
+stood as (select store_id, sku, min((page, position)) as first from item group by store_id, sku),
+landed as (select store_id, page, count(*) as n from item group by store_id, page),
+news as (
+  select l.store_id, l.page, l.n, (select count(*) from stood s where s.store_id = l.store_id and s.first[1] = l.page) as fresh from landed l),
+ends as (
+  select store_id, page, n, fresh, fresh = 0 and lag(fresh) over (partition by store_id order by page) = 0 as ended, lead(page) over (partition by store_id order by page) as next_page from news),
+stops as (
+  select store_id, min(page) filter (where ended) as ended_at, min(page) filter (where next_page is distinct from page + 1) as broken_at from ends group by store_id),
+walked as (select store_id, least(coalesce(ended_at, 500), broken_at, 500)::int as pages,
+  case when ended_at <= least(broken_at, 500) then 'exhausted' when broken_at < 500 then 'page_failed' else 'page_cap' end as stop from stops)
+"""
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as the items of five stores, ten a page, landed in the shared folder: the source reads folders."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sku = (F.length(F.coalesce("text", F.lit(""))) % (20 + F.col("doc_id") % 5 * 12)).cast("string")
+    rows = docs.select((F.col("doc_id") % 5).cast("string").alias("store_id"), (F.floor(F.col("doc_id") / 50) + 1).cast("int").alias("page"), F.struct("doc_id", sku.alias("sku")).alias("item"))
+    pages = rows.groupBy("store_id", "page").agg(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["sku"]).alias("skus"))
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    paged.land_pages(pages.withColumns({"last_page": F.lit(None).cast("boolean"), "total_pages": F.lit(None).cast("int")}), path)
+    return path
+
+
+QUERIES["paged_items"] = lambda spark, sf_dir: paged.read_listing(spark, _landed(spark, sf_dir))
+ORACLES["paged_items"] = _PAGES_SQL + """select s.store_id, s.first[1] as page, s.first[2] as position, s.sku from stood s join walked w using (store_id) where s.first[1] <= pages"""
+QUERIES["paged_listings"] = lambda spark, sf_dir: paged.read_listing(spark, _landed(spark, sf_dir), rows="listings")
+ORACLES["paged_listings"] = _PAGES_SQL + """select store_id, pages, sum(n)::int as received, null::int as stated, sum(fresh)::int as n_items, any_value(stop) as stop
+from walked join ends using (store_id) where page <= pages group by store_id, pages"""
+
+
+@_query("sink_batches", STAR_SQL + """select offer_id, captured_on, case when product_id % 10 = 0 and captured_on >= date '2000-01-01' then price + 1 else price end as price,
+  case when product_id % 7 = 0 and captured_on >= date '2000-01-01' and product_id % 10 = 0 then 3 when product_id % 7 = 0 then null else 1 end as created_at
+from snapshot where product_id % 7 <> 0 or (product_id % 10 = 0 and captured_on >= date '2000-01-01')""")
+def _(star):
+    folder = f"{shared_folder(star.snapshot.sparkSession)}/sink-{uuid.uuid4().hex}"
+    put = lambda rows, name: sink.write_batch(rows.select("offer_id", "captured_on", "price", "created_at", "written_at"), f"{folder}/table", f"{folder}/work", name)
+    put(star.snapshot.where("product_id % 7 <> 0").withColumns({"created_at": F.lit(1), "written_at": F.lit(1)}), "first")
+    late = star.snapshot.where("product_id % 10 = 0 and captured_on >= date '2000-01-01'")
+    for _ in range(2):  # the same batch comes twice
+        put(late.withColumns({"price": F.col("price") + 1, "created_at": F.lit(3), "written_at": F.lit(2)}), "late")
+    return sink.read_snapshots(star.snapshot.sparkSession, f"{folder}/table", "offer_id string, captured_on date, price double, created_at int, written_at int").drop("written_at")
