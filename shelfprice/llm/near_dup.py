@@ -124,7 +124,8 @@ def _texts(scratch: Scratch, wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, text) of the classes wanted: (key, who), who the id and text hash of the class's first row."""
     wanted = scratch.keep(wanted.select("key", F.col("who.id").alias("id2"), F.col("who.tag").alias("tag2")))
     same = rows["id"].eqNullSafe(wanted["id2"]) & (rows["tag"] == wanted["tag2"])
-    return scratch.keep(rows.join(wanted, same).groupBy("key").agg(F.first("text").alias("text")))
+    # What is wanted grows with the documents, so it is never broadcast, however small it is here.
+    return scratch.keep(rows.join(wanted.hint("merge"), same).groupBy("key").agg(F.first("text").alias("text")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
