@@ -1,6 +1,6 @@
 """Names out of listing titles."""
 
-import pytest
+from pyspark.sql import functions as F
 
 from shelfprice.functions import names
 
@@ -16,27 +16,38 @@ PAIRS = [
 ]
 
 
-def test_decorated_names():
-    for name in PLAIN:
-        for before in BEFORE:
-            for after in AFTER:
-                assert names.clean_name(before + name + after) == name, before + name + after
+def by(spark, of, *rows):
+    """The values of a column expression over rows of strings."""
+    frame = spark.createDataFrame(list(enumerate_rows(rows)), "at int, " + ", ".join(f"c{i} string" for i in range(len(rows[0]))))
+    return [r["out"] for r in frame.select("at", of(*[F.col(f"c{i}") for i in range(len(rows[0]))]).alias("out")).orderBy("at").collect()]
 
 
-@pytest.mark.parametrize(("raw", "name"), PAIRS)
-def test_names(raw, name):
-    assert names.clean_name(raw) == name
+def enumerate_rows(rows):
+    return ((i, *r) for i, r in enumerate(rows))
 
 
-def test_parts():
-    assert names.balanced("a) (b (c") == "a b c" and names.balanced("(a) b") == "(a) b"
-    assert names.bundle_parts("Norvale 0.7 л + Quill") == ["Norvale 0.7 л", "Quill"] and names.bundle_parts("Norvale + 2 склянки") is None
-    assert names.without_stated_numbers("Norvale 17", "Norvale 17 yo 46%") == "Norvale" and names.without_stated_numbers("Tarn 46", "Tarn 46 47%") == "Tarn 46"
-    assert names.faithful("Quill Fern", "віскі Quill Fern 0.7") and not names.faithful("Quill Other", "Quill Fern") and not names.faithful("A", "A + B")
-    assert names.without_repeats("Quill Fern Quill Fern 12 12") == "Quill Fern 12"
+def test_decorated_names(spark):
+    cases = [(before + name + after, name) for name in PLAIN for before in BEFORE for after in AFTER]
+    got = by(spark, names.clean_name, *[(raw,) for raw, _ in cases])
+    assert [(raw, g) for (raw, name), g in zip(cases, got, strict=True) if g != name] == []
+
+
+def test_names(spark):
+    got = by(spark, names.clean_name, *[(raw,) for raw, _ in PAIRS])
+    assert [(raw, g, name) for (raw, name), g in zip(PAIRS, got, strict=True) if g != name] == []
+
+
+def test_parts(spark):
+    assert by(spark, names.balanced, ("a) (b (c",), ("(a) b",)) == ["a b c", "(a) b"]
+    assert by(spark, names.bundle_parts, ("Norvale 0.7 л + Quill",), ("Norvale + 2 склянки",), ("Norvale",)) == [["Norvale 0.7 л", "Quill"], None, None]
+    assert by(spark, names.without_stated_numbers, ("Norvale 17", "Norvale 17 yo 46%"), ("Tarn 46", "Tarn 46 47%"), ("12", "12 років"), ("Tarn 12.5% 46", "Tarn 12.5% 46%")) == ["Norvale", "Tarn 46", "12", "Tarn 12.5%"]
+    assert by(spark, names.faithful, ("Quill Fern", "віскі Quill Fern 0.7"), ("Quill Other", "Quill Fern"), ("A", "A + B"), ("A + B", "A + B"), (" ", "x"), ("x" * 513, "x" * 600)) == [True, False, False, True, False, False]
+    assert by(spark, names.without_repeats, ("Quill Fern Quill Fern 12 12",), ("Quill Quill",), ("Quill + Fern Quill + Fern",)) == ["Quill Fern 12", "Quill Quill", "Quill + Fern Quill + Fern"]
 
 
 def test_distinct_titles(spark):
     titles = spark.createDataFrame([(r,) for r, _ in PAIRS * 2], "name string")
-    got = {r["raw"]: r["clean"] for r in names.cleaned_names(titles).collect()}
+    cleaned = names.cleaned_names(titles)
+    got = {r["raw"]: r["clean"] for r in cleaned.collect()}
     assert got == {r: n for r, n in PAIRS if r is not None}
+    assert "Python" not in cleaned._jdf.queryExecution().executedPlan().toString() and "InArrow" not in cleaned._jdf.queryExecution().executedPlan().toString()
