@@ -108,7 +108,7 @@ def _one_script(word: Column) -> Column:
 
 def tokens(title: Column) -> Column:
     """A title as a string of tokens; curly apostrophes and quotes made plain, words of two alphabets of one."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(title, "[‘’ʼ`´]", "'"), '["«»“”„]', " "), "_dup[A-Za-z0-9]+", "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(title, "[‘’ʼ`´]", "'"), f'["«»“”„{_S}]', " "), "_dup[A-Za-z0-9]+", "")
     kinds = "|".join((
         r"[#№][0-9]+", r"(?<=\s)[-−–][0-9]+(?:[.,][0-9]+)?\s*%", r"[0-9]+(?:[.,/][0-9]+)?", rf"(?<=[0-9]\s?)[yYуУ][.]?[oOоО][.]?(?![{_LETTERS}])",
         rf"[{_LETTERS}]+(?:'[{_LETTERS}]+)*", r"[^\s]",

@@ -25,25 +25,25 @@ def brand_index(brands: DataFrame, column: str = "name") -> DataFrame:
     return brands.select(_folded(column).alias("key"), F.col(column).alias("brand")).where("key <> ''").groupBy("key").agg(F.min("brand").alias("brand"))
 
 
-def most_words(index: DataFrame) -> int:
-    """How many words the index's longest key has: one number."""
-    return index.agg(F.max(F.size(F.split("key", " "))).alias("n")).first()["n"] or 0
-
-
 def _longest_key(texts: DataFrame, index: DataFrame, value: str) -> DataFrame:
-    """(__text) to __text and the value of the longest key that stands as whole words in it."""
-    words = F.split(_folded("__text"), " ")
-    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(words), F.lit(most_words(index))))), of_length))
-    keys = texts.where("__text is not null").distinct().select("__text", F.explode(F.array_distinct(runs)).alias("key"))
+    """(__text) to __text and the value of the longest key that stands as whole words in it.
+
+    A key is looked for only where its first word stands, and only in the lengths that keys of that first
+    word have, so a long key adds nothing to texts that it cannot be in. No job runs while this is planned.
+    """
+    first = index.select(F.split("key", " ").alias("w")).groupBy(F.col("w")[0].alias("__word")).agg(F.collect_set(F.size("w")).alias("__sizes"))
+    spelled = texts.where("__text is not null").distinct().select("__text", F.split(_folded("__text"), " ").alias("__words"))
+    starts = spelled.select("__text", "__words", F.posexplode("__words").alias("__at", "__word")).join(first, "__word")
+    fits = F.filter("__sizes", lambda n: n + F.col("__at") <= F.size("__words"))
+    keys = starts.select("__text", F.explode(F.transform(fits, lambda n: F.array_join(F.slice("__words", F.col("__at") + 1, n), " "))).alias("key")).distinct()
     return keys.join(index, "key").groupBy("__text").agg(F.max_by(value, F.struct(F.length("key"), F.col("key"))).alias(value), F.max(F.length("key")).alias("__size"))
 
 
 def brand_from_name(items: DataFrame, index: DataFrame, column: str = "name") -> DataFrame:
     """Items with found_brand: the longest brand that stands as whole words in the name.
 
-    Each run of a name's words, up to as many as the longest brand has, is looked up by its hash, an
-    equi-join, so items and brands are never multiplied. Names are joined once each.
+    Runs of a name's words that begin as a brand does are looked up by equi-joins, so items and brands are
+    never multiplied. Names are joined once each.
     """
     hits = _longest_key(items.select(F.col(column).alias("__text")), index, "brand").select("__text", F.col("brand").alias("found_brand"))
     return items.join(hits, F.col(column) == F.col("__text"), "left").drop("__text")

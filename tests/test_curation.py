@@ -44,3 +44,13 @@ def test_edits_and_lookups(spark):
     assert [tuple(r) for r in heads.collect()] == [("k", "1", "a")]
     links = spark.createDataFrame([("p", "oak"), ("p", "invented")], "product_id string, flavor string")
     assert curation.known_flavors(links).count() == 1
+
+
+def test_planning_runs_no_job(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    for action in ("first", "collect", "count", "head", "take", "toPandas"):
+        monkeypatch.setattr(DataFrame, action, lambda *_, **__: (_ for _ in ()).throw(AssertionError("a job ran while this was planned")))
+    index = curation.brand_index(spark.createDataFrame([("Glen",)], "name string"))
+    curation.brand_from_name(spark.createDataFrame([("Glen 12",)], "name string"), index)
+    curation.brand_facts(spark.createDataFrame([("Glen 12", None)], "name string, brand string"), spark.createDataFrame([("Glen", "x", None)], "brand string, country string, type string"))
