@@ -30,6 +30,7 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _PLACE = (1 << 24) - 1
 _LIMIT = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _paired(low: np.ndarray, high: np.ndarray, round_: int) -> np.ndarray:
@@ -257,10 +258,13 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
     scratch = Scratch(spark, "suffixes")
 
     def done(df: DataFrame) -> DataFrame:
-        """Written; then the JVM's collector lets Spark remove the shuffle files of what led there."""
-        kept = scratch.keep(df)
-        spark.sparkContext._jvm.System.gc()
-        return kept
+        """Written, after which Spark removes the shuffle files of what led there, as nothing reads them again."""
+        before = spark.conf.get(_CLEANUP, "false")
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            return scratch.keep(df)
+        finally:
+            spark.conf.set(_CLEANUP, before)
 
     rows = pick(docs, id=id_col, text=text_col).select("id", F.hash("text").alias("tag"), F.col("text").cast("binary").alias("text"))
     long = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= size))
@@ -268,10 +272,10 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
     here = (F.col("id") == F.col("id2")) & (F.col("tag") == F.col("tag2"))
     # Round of 16 bytes. One row a name, written before the join: then a name that very many documents have can be split.
     spread = (F.min("id") < F.max("id")).alias("spread")
-    sampled = _sampled(long, size)
+    sampled = done(_sampled(long, size))
     seen = done(sampled.groupBy("name").agg(spread).where("spread").select("name"))
     live = done(sampled.join(seen, "name", "left_semi").groupBy(*by_text).agg(F.collect_set("name").alias("names")))
-    scratch.drop(seen)
+    scratch.drop(seen, sampled)
     spots = done(_spots(long.join(live, here).select("id", "tag", "text", "names"), size))
     scratch.drop(live)
     # Equal surroundings of a sampled position are one class: all but the document that has it first lose it whole.
