@@ -678,12 +678,37 @@ def _(star):
 
 # Pages and text functions
 
-@_query("html_pages")
+_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "©", "&middot;": "·", "&nbsp;": "\u00a0", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€"}
+
+
+def _plain_sql(text: str) -> str:
+    """Character references that the pages have; the ampersand last, as it begins others."""
+    for name, char in reversed(_ENTITIES.items()):
+        text = f"replace({text}, '{name}', '{char}')"
+    return text
+
+
+@_query("html_pages", r"""with bare as (select page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>', '</z>', 'gis') as h from pages),
+parts as (select page_id, h, list_transform(regexp_split_to_array(h, '</?[A-Za-z][^>]*>'), lambda t: PLAIN) as texts from bare)
+select page_id, nullif(trim(TITLE), '') as title,
+  length(array_to_string(list_transform(texts, lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), ''))::int as n_stripped, md5(trim(regexp_replace(array_to_string(texts, ' '), '\s+', ' ', 'g'))) as rich_md5,
+  length(trim(regexp_replace(array_to_string(texts, ' '), '\s+', ' ', 'g')))::int as n_rich, len(regexp_extract_all(h, '<a\s[^>]*href'))::bigint as links, 0::int as n_attributes from parts"""
+        .replace("PLAIN", _plain_sql("t")).replace("TITLE", _plain_sql("regexp_extract(h, '<title>(.*?)</title>', 1, 's')")))
 def _(spark, sf_dir):
     pages = html.page_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return pages.select("page_id", "title", "links", F.length("stripped").alias("n_stripped"), F.length("rich").alias("n_rich"), F.md5("rich").alias("rich_md5"), F.size("attributes").alias("n_attributes"))
 
 
+@_query("html_cards", r"""with bare as (select page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>', '</z>', 'gis') as h from pages),
+cards as (select page_id, unnest(regexp_extract_all(h, '<li>.*?</li>', 0, 's')) as card, generate_subscripts(regexp_extract_all(h, '<li>.*?</li>', 0, 's'), 1) - 1 as position from bare)
+select page_id, PLAIN1 as sku, PLAIN2 as name, position::int as position from cards where regexp_extract(card, 'href="([^"]*)"', 1) <> '' and regexp_extract(card, '<a [^>]*>([^<]*)</a>', 1) <> ''"""
+        .replace("PLAIN1", _plain_sql("""regexp_extract(card, 'href="([^"]*)"', 1)""")).replace("PLAIN2", _plain_sql("regexp_extract(card, '<a [^>]*>([^<]*)</a>', 1)")))
+def _(spark, sf_dir):
+    # The navigation's entries as cards: the pages have no other list.
+    spec = html.CardSpec("li", "a", sku_attr="href")
+    return html.cards(spark.read.parquet(f"{sf_dir}/pages.parquet"), spec).select("page_id", "sku", "name", "position")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .star import Star, offers_of, star_views
 
+#: Fixed value: Spark's own limit (spark.sql.sources.bucketing.maxBuckets).
+MOST_BUCKETS = 100_000
 _TABLES = ("store", "country", "product", "product_flavor", "run_log")
 
 
@@ -54,29 +56,31 @@ def read_star(spark: SparkSession, name: str) -> Star:
     return Star(*[t(x) for x in ("store", "country", "product", "product_flavor", "offer", "snapshot", "run_log")], by_day=t("by_day"))
 
 
-def _state(spark: SparkSession, sf_dir: str) -> str:
-    """A digest of the source files' names, sizes and times: other files are another state."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [sf_dir]
+def _state(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """A digest of the source files' names, sizes and times (other files are another state), and the bytes of lineitem."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(sf_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, size = [sf_dir], 0
     for table in ("region", "nation", "supplier", "part", "lineitem", "events"):
-        top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
-        statuses = files.listStatus(top)
+        statuses = files.listStatus(hadoop.Path(f"{sf_dir}/{table}.parquet"))
         found += [f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in statuses]
-    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:16]
+        size += sum(x.getLen() for x in statuses) if table == "lineitem" else 0
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:16], size
 
 
 def stored_star(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> Star:
     """The star of the sources in sf_dir as they are now; it is written at the first call and read by later ones of the application.
 
-    buckets: the number of shuffle partitions if it is not given. What a broken write has left is written anew.
+    buckets: if it is not given, as many as tasks run at once, and one for each half GB of lineitem where
+    those are more. What a broken write has left is written anew.
     """
-    name = f"star_{_state(spark, sf_dir)}"
+    digest, size = _state(spark, sf_dir)
+    name = f"star_{digest}"
     if not spark.catalog.tableExists(f"{name}_run_log"):  # the last table written
         for table in ("snapshot", "offer", "by_day", *_TABLES):
             spark.sql(f"drop table if exists {name}_{table}")
         folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        write_star(star_views(spark, sf_dir), name, folder, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        write_star(star_views(spark, sf_dir), name, folder, buckets or min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, size >> 29)))
     return read_star(spark, name)
 
 

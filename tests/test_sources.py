@@ -21,7 +21,22 @@ def test_cards(spark):
     text = {r["page_id"]: r for r in html.page_text(pages).collect()}
     assert text[1]["title"] == "Shop" and text[1]["links"] == 2 and text[1]["attributes"] == {"volume": "1.0", "abv": "40 %"} and "Glen Test 0.7 л" in text[1]["rich"]
     assert text[3]["rich"] == "unclosed x" and text[2]["stripped"] == ""
-    assert html.labelled(["Country: Japan", "country of origin: X", "ABV 5", "Age :  12 "], {"country": "country", "age": "age"}) == {"country": "Japan", "age": "12"}
+    lines = F.array(*map(F.lit, ["Country: Japan", "country of origin: X", "ABV 5", "Age :  12 ", "Type:"]))
+    assert spark.range(1).select(html.labelled(lines, {"country": "country", "age": "age", "type": "type"}).alias("v")).first()["v"].asDict() == {"country": "Japan", "age": "12", "type": None}
+
+
+def test_tokens_and_references(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    assert one(html.unescaped(F.lit("a &amp; b &lt;&#233;&#x416;&nosuch; & &copy;&#0;&#x1F600;"))) == "a & b <éЖ&nosuch; & ©&#0;\U0001f600"
+    page = html.tokens(F.lit("<!DOCTYPE html><!-- <p>no</p> --><script>var t='<p>';</script><DIV class='a  b' id=x><div>in<br/>ner</div> out</div> 1 < 2<p>last"))
+    assert one(html.stripped_text(page)) == "innerout1<2last" and one(html.rich_text(page)) == "in ner out 1 < 2 last"
+    assert one(html.first_text(page, "div.b")) == "innerout" and one(html.first_text(page, "p")) == "last" and one(html.first_text(page, "h1")) is None and one(F.size(html.elements(page, "div"))) == 2
+    assert one(html.first_attribute(page, "[id]", "id")) == "x" and one(html.attribute(F.lit("<a data-x href>"), "href")) == "" and one(html.attribute(F.lit("<a data-href='q'>"), "href")) is None
+
+
+def test_cards_of_a_walk(spark):
+    rows = spark.createDataFrame([("s", 2, 0, "a", "late"), ("s", 1, 3, "a", "first"), ("s", 1, 4, "b", "x"), ("t", 9, 0, "a", "own")], "store_id string, page int, position int, sku string, name string")
+    assert sorted((r["store_id"], r["sku"], r["name"]) for r in html.first_seen(rows).collect()) == [("s", "a", "first"), ("s", "b", "x"), ("t", "a", "own")]
 
 
 def test_json_items(spark):
