@@ -266,6 +266,10 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
         finally:
             spark.conf.set(_CLEANUP, before)
 
+    def small(table: DataFrame) -> DataFrame:
+        """A side of a join that has one row a key, a fraction of the other: hashed, so that neither positions nor texts are sorted. Its part grows with the data and the partitions alike."""
+        return table.hint("shuffle_hash")
+
     rows = pick(docs, id=id_col, text=text_col).select("id", F.hash("text").alias("tag"), F.col("text").cast("binary").alias("text"))
     long = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= size))
     by_text = [F.col("id").alias("id2"), F.col("tag").alias("tag2")]
@@ -274,9 +278,9 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
     spread = (F.min("id") < F.max("id")).alias("spread")
     sampled = done(_sampled(long, size))
     seen = done(sampled.groupBy("name").agg(spread).where("spread").select("name"))
-    live = done(sampled.join(seen, "name", "left_semi").groupBy(*by_text).agg(F.collect_set("name").alias("names")))
+    live = done(sampled.join(small(seen), "name", "left_semi").groupBy(*by_text).agg(F.collect_set("name").alias("names")))
     scratch.drop(seen, sampled)
-    spots = done(_spots(long.join(live, here).select("id", "tag", "text", "names"), size))
+    spots = done(_spots(long.join(small(live), here).select("id", "tag", "text", "names"), size))
     scratch.drop(live)
     # Equal surroundings of a sampled position are one class: all but the document that has it first lose it whole.
     sides = [c for c in spots.columns if c.startswith(("right", "left"))]
@@ -289,7 +293,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
         each = open_.select("around", "first", *rest, F.posexplode(F.array(*sides[k : k + 2])).alias("side", "wide")).where("wide <> 0")
         shared = done(each.groupBy("side", "wide").agg((F.min("first") < F.max("first")).alias("spread")).where("spread").select("side", "wide"))
         found = [F.bool_or(F.col("side") == i).alias(side) for i, side in enumerate(("right", "left"))]
-        open_ = done(each.join(shared, ["side", "wide"], "left_semi").groupBy("around").agg(*[F.first(c).alias(c) for c in ("first", *rest)], *found))
+        open_ = done(each.join(small(shared), ["side", "wide"], "left_semi").groupBy("around").agg(*[F.first(c).alias(c) for c in ("first", *rest)], *found))
     verdicts = done(classes.join(open_.select("around", "right", "left"), "around", "left").where("first < last or right or left").select("around", "first", "right", "left"))
     scratch.drop(classes, open_)
     # Only windows that hold a shared side can be shared: with the right one alone those that reach as far to the right, with the left one alone those that begin as far to the left.
@@ -297,14 +301,14 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", size: i
     stop = F.when(F.col("right"), F.col("n")).otherwise(F.least("n", F.col("lead") - (reach - _BASE) + 1))
     whole = F.col("id") > F.col("first")
     mark = F.when(whole, _mark(F.col("start"), F.col("n"), F.lit(True))).otherwise(_mark(F.col("start") + skip, stop - skip, F.lit(False)))
-    marks = spots.select("id", "tag", "start", "n", "lead", "around").join(verdicts, "around").where("id > first or right or left").groupBy(*by_text).agg(F.collect_set(mark).alias("marks"))
+    marks = spots.select("id", "tag", "start", "n", "lead", "around").join(small(verdicts), "around").where("id > first or right or left").groupBy(*by_text).agg(F.collect_set(mark).alias("marks"))
     marks = done(marks)
     scratch.drop(spots, verdicts)
     # The round of full length, window by window, for what is open in the document that has it first.
     some = marks.where(F.exists("marks", lambda m: m % 2 == 0))
-    windows = done(_windows(long.join(some, here).select("id", "tag", "text", "marks"), size))
+    windows = done(_windows(long.join(small(some), here).select("id", "tag", "text", "marks"), size))
     least = done(windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("window", "least"))
-    places = windows.join(least, "window").where(F.col("least") < F.col("id")).groupBy(*by_text).agg(F.collect_set("place").alias("places"))
+    places = windows.join(small(least), "window").where(F.col("least") < F.col("id")).groupBy(*by_text).agg(F.collect_set("place").alias("places"))
     gone = done(marks.join(places, ["id2", "tag2"], "full_outer"))
     scratch.drop(windows, least, marks)
-    return _cut(rows.join(gone, here, "left").select("id", "text", "marks", "places"), size)
+    return _cut(rows.join(small(gone), here, "left").select("id", "text", "marks", "places"), size)
