@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dashboard as dash
-from ..operators import edits, enrichment, ingest, merging, offers, reports
-from ..sources import paged, sink
+from ..functions import text
+from ..operators import curation, edits, enrichment, ingest, merging, offers, reports
+from ..sources import html, items, paged, registry, sink
 from ..sources.star import STAR_SQL, Star
 from ..sources.stored import shared_folder, stored_star
 from .catalogue import _CURRENT_SQL, _METRICS
@@ -309,3 +310,91 @@ def _(star):
     for _ in range(2):  # the same batch comes twice
         put(late.withColumns({"price": F.col("price") + 1, "created_at": F.lit(3), "written_at": F.lit(2)}), "late")
     return sink.read_snapshots(star.snapshot.sparkSession, f"{folder}/table", "offer_id string, captured_on date, price double, created_at int, written_at int").drop("written_at")
+
+
+_BODIES_SQL = STAR_SQL + """, item as (
+  select offer_id as sku, name, 'u/' || offer_id as url, (product_id * 100 + 99) / 100.0::double as price, case when product_id % 3 = 0 then (product_id * 100 + 199) / 100.0::double end as old_price,
+    case when product_id % 5 = 0 then false else true end as in_stock, product_id % 3 = 0 as promo, volume_ml::int as volume_ml, brand, case when product_id % 4 = 0 then 'ua' end as country, store_id, product_id
+  from offer join product using (product_id))
+"""
+
+
+def _bodies(star: Star) -> DataFrame:
+    """Offers as a chain's listing has them: prices in hundredths, an old price also where no discount is."""
+    key, rows = F.col("product_id"), star.offer.join(star.product, "product_id")
+    even = key % 2 == 0
+    body = F.to_json(F.struct(
+        F.when(even, F.col("offer_id")).otherwise("").alias("ean"), F.when(even, "other").otherwise(F.col("offer_id")).alias("sku"), F.col("name").alias("title"), (key * 100 + 99).alias("price"),
+        F.struct((key % 3 == 0).alias("status"), (key * 100 + 199).alias("old_price")).alias("discount"), (F.col("volume_ml") + F.lit(0.5)).alias("volume"),
+        F.struct(F.when(even, F.col("brand")).alias("trademark"), F.col("brand").alias("name")).alias("producer"), F.when(key % 4 == 0, "ua").alias("country"), F.concat(F.lit("u/"), "offer_id").alias("web_url"),
+        F.when(key % 5 == 0, F.lit(False)).alias("in_stock"),
+    ))
+    return rows.select("store_id", "product_id", "offer_id", body.alias("body"))
+
+
+@_query("src_json_items", _BODIES_SQL + "select sku, name, url, price, old_price, in_stock, promo, volume_ml, brand, country from item where product_id % 11 <> 0")
+def _(star):
+    # A body in eleven is cut off and gives no item.
+    broken = F.when(F.col("product_id") % 11 == 0, F.substring("body", 1, 30)).otherwise(F.col("body"))
+    return items.json_items(_bodies(star).select(broken.alias("body")))
+
+
+@_query("src_registry", _BODIES_SQL + """select case when store_id % 2 = 0 then 'chain-' || store_id else 'shop-' || store_id end as slug, sku, case when store_id % 2 = 0 then name else trim(name) end as name, url, price,
+  case when store_id % 2 = 0 or promo then old_price end as old_price, in_stock, promo from item""")
+def _(star):
+    rows = _bodies(star).join(star.product.select("product_id", "name"), "product_id")
+    shop = F.col("store_id") % 2 == 1
+    key, cents = F.col("product_id"), lambda c: F.format_string("%d,%02d", F.floor(c / 100), (c % 100).cast("int"))
+    price, old = cents(key * 100 + 99), cents(key * 100 + 199)
+    card = F.format_string(
+        '<ul><li class="product%s%s" data-product_id="%s"><a href="u/%s"><h2> %s</h2></a><span class="price">%s</span></li></ul>', F.when(key % 5 == 0, " outofstock").otherwise(""),
+        F.when(key % 3 == 0, " sale").otherwise(""), "offer_id", "offer_id", "name", F.when(key % 3 == 0, F.format_string("<del>%s</del><ins>%s</ins>", old, price)).otherwise(price),
+    )
+    slug = F.concat(F.when(shop, "shop-").otherwise("chain-"), F.col("store_id").cast("string"))
+    landed = rows.select(slug.alias("slug"), F.lit(1).alias("page"), F.when(shop, card).otherwise(F.col("body")).alias("body"))
+    own = {"shop-3": registry.card_reader(html.CardSpec("li", "a", link="a"))}
+    specs = [registry.StoreSpec(f"chain-{i}", chain="c") for i in (0, 2, 4)] + [registry.StoreSpec(f"shop-{i}", base_url="b") for i in (1, 3)]
+    return registry.Registry(special=own).read(landed, specs).drop("page")
+
+
+@_query("first_in_listing", STAR_SQL + """, seen as (select store_id, product_id // 3 as sku, product_id % 7 as page, product_id as position, offer_id as name from offer)
+select store_id, sku::varchar as sku, name from (select *, row_number() over (partition by store_id, sku order by page, position) as rn from seen) where rn = 1""")
+def _(star):
+    key = F.col("product_id")
+    seen = star.offer.select("store_id", F.floor(key / 3).cast("string").alias("sku"), (key % 7).alias("page"), key.alias("position"), F.col("offer_id").alias("name"))
+    return ingest.first_in_listing(seen).select("store_id", "sku", "name")
+
+
+@_query("unmatched_items", STAR_SQL + "select store_id, offer_id as sku, md5('sku/' || store_id || '/' || offer_id) as product_id, true as is_new from offer where product_id % 6 = 0")
+def _(star):
+    wanted = star.offer.select("store_id", F.col("offer_id").alias("sku"), F.when(F.col("product_id") % 6 != 0, F.lit("k")).alias("match_key"))
+    return ingest.unmatched(wanted)
+
+
+@_query("bulk_duplicates", STAR_SQL + """, batch as (select name as name, product_id::varchar as code from product where product_id % 4 = 0 union all select 'new ' || product_id, product_id::varchar from product where product_id % 8 = 0),
+kept as (select name, product_id::varchar as code from product where product_id % 20 = 0),
+long as (select 'name' as field, name as value from batch union all select 'code', code from batch), old as (select 'name' as field, name as value from kept union all select 'code', code from kept)
+select distinct field, value from (select field, value from long group by field, value having count(*) > 1 union all select l.field, l.value from long l join old o on l.field = o.field and l.value = o.value)""")
+def _(star):
+    rows = lambda test, name: star.product.where(test).select(name.alias("name"), F.col("product_id").cast("string").alias("code"))
+    batch = rows("product_id % 4 = 0", F.col("name")).union(rows("product_id % 8 = 0", F.concat(F.lit("new "), F.col("product_id").cast("string"))))
+    return curation.duplicates(rows("product_id % 20 = 0", F.col("name")), batch, ["name", "code"])
+
+
+@_query("model_answers", STAR_SQL + """select product_id::varchar as id, case product_id % 3 when 0 then 'high' when 1 then 'low' else 'sure' end as confidence, case when product_id % 3 = 2 then '' when product_id % 2 = 0 then 'oak,smoky' else 'smoky' end as tags
+from product where product_id % 5 <> 0""")
+def _(star):
+    key = F.col("product_id")
+    one = F.struct(key.cast("string").alias("id"), F.when(key % 3 == 0, "HIGH").when(key % 3 == 1, "low").otherwise("sure").alias("confidence"),
+                   F.when(key % 2 == 0, F.array(F.lit(" Smoky"), F.lit("oak"), F.lit("nothing known"))).otherwise(F.array(F.lit("smoky"))).alias("tags"))
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.array(one)), F.lit("\n```"))
+    bodies = star.product.select(F.when(key % 5 == 0, F.lit("I do not know.")).otherwise(fenced).alias("body"))
+    return curation.model_answers(bodies).select("id", "confidence", F.concat_ws(",", "tags").alias("tags"))
+
+
+@_query("fn_values", STAR_SQL + """select product_id, case when age between 1 and 60 then age end::int as age, case when volume_ml // 100 < 20 then (volume_ml // 100) * 1000 else volume_ml // 100 end::int as volume, (40 + age / 2.0)::double as abv from product""")
+def _(star):
+    return star.product.select(
+        "product_id", text.age_value(F.col("age").cast("string")).alias("age"), text.volume_value(F.floor(F.col("volume_ml") / 100).cast("string")).alias("volume"),
+        text.abv_value((F.lit(40) + F.col("age") / 2).cast("string")).alias("abv"),
+    )
