@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..sources.star import Star
-from ..sources.stored import between, days
+from ..sources.stored import between
 
 #: Where price buckets begin.
 BUCKETS = (500, 1000, 2000, 3000, 5000, 10000)
@@ -20,7 +19,10 @@ AUTO_WEEK_DAYS = 120
 
 def listings(star: Star, first: str | None = None, last: str | None = None) -> DataFrame:
     """Snapshots with what the dashboard groups by: product, brand, type, country, store; of all days, or of a range, which is checked as in within()."""
-    rows = days(star) if first is None else between(star, *(F.lit(x) for x in _checked(first, last)))
+    return _described(star, star.snapshot if first is None else between(star, *(F.lit(x) for x in _checked(first, last))))
+
+
+def _described(star: Star, rows: DataFrame) -> DataFrame:
     dims = star.product.join(star.country, "country_id", "left").select("product_id", "brand", "type", F.col("code").alias("country"))
     return rows.join(dims, "product_id").join(star.store, "store_id")
 
@@ -113,7 +115,7 @@ def daily_in_range(star: Star, first: str, last: str, *by: str) -> DataFrame:
     Its ends are subqueries, known before snapshots are read: no job runs while this is planned, and months beside the range are skipped.
     """
     cut = clamped_range(star.snapshot, first, last)
-    rows = listings(replace(star, snapshot=between(star, cut.select("first").scalar(), cut.select("last").scalar()), by_day=None))
+    rows = _described(star, between(star, cut.select("first").scalar(), cut.select("last").scalar()))
     return cut.join(daily(rows, *by), ~F.col("empty"), "left")
 
 

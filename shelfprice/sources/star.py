@@ -44,41 +44,70 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def star_views(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> Star:
-    """The domain tables as views of region, nation, supplier, part, lineitem and events: all days, or those up to as_of, as the tables stood then."""
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    store = t("region").select(
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "region").select(
         F.col("r_regionkey").alias("store_id"), F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))).alias("slug"), F.col("r_name").alias("store_name")
     )
-    country = t("nation").select(F.col("n_nationkey").cast("int").alias("country_id"), F.lower("n_name").alias("code"), F.col("n_name").alias("country_name"))
+
+
+def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("country_id"), F.lower("n_name").alias("code"), F.col("n_name").alias("country_name"))
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    part = t("part")
-    product = part.select(
+    return _table(spark, sf_dir, "part").select(
         key.alias("product_id"), F.col("p_name").alias("name"),
         F.when(key % 11 != 0, F.col("p_brand")).alias("brand"), F.when(key % 13 != 0, F.col("p_type")).alias("type"),
         F.when(key % 7 != 0, (key % 25).cast("int")).alias("country_id"),
         (F.col("p_size") % 30).alias("age"), (F.col("p_size") * 25).alias("volume_ml"),
     )
+
+
+def product_flavors(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("p_name", " ")
-    flavor = part.select(key.alias("product_id"), F.explode(F.array_distinct(F.array(words[0], F.get(words, F.lit(1))))).alias("flavor"))
-    supplier = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("store_id"))
-    day = F.col("l_shipdate").cast("date")
-    lines = t("lineitem")
-    lines = (lines if as_of is None else lines.where(day <= F.lit(as_of).cast("date"))).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    lines = lines.select(
-        F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("store_id").cast("string")).alias("offer_id"),
-        F.col("l_partkey").alias("product_id"), "store_id", day.alias("captured_on"),
-        (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100).alias("price"), (F.col("l_returnflag") == "R").alias("promo"),
-        F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag").alias("written"),
-    )
-    snapshot = last_write_wins(lines, ["offer_id", "product_id", "store_id", "captured_on"], "written").drop("written")
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.explode(F.array_distinct(F.array(words[0], F.get(words, F.lit(1))))).alias("flavor"))
+
+
+def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.when(F.col("event_type") == "error", False).when(F.col("event_type") != "signup", True)
-    run_log = t("events").select(
+    return _table(spark, sf_dir, "events").select(
         F.col("event_id").alias("run_id"), (F.col("user_id") % 5).cast("int").alias("store_id"), F.col("ts").alias("created_at"), done.alias("success"),
         F.floor("value").cast("int").alias("added"), F.floor(F.col("value") / 2).cast("int").alias("removed"), F.floor(F.col("value") / 3).cast("int").alias("updated"),
         F.when(done.isNotNull(), F.col("value")).alias("seconds"),
     )
-    return Star(store, country, product, flavor, offers_of(snapshot, as_of), snapshot, run_log)
+
+
+def snapshots(spark: SparkSession, sf_dir: str, as_of: str | None = None, buckets: int | None = None) -> DataFrame:
+    """One row an offer and day, the last write's; with buckets, dealt to so many tasks by offer, in the one shuffle that also brings an offer's writes together.
+
+    Suppliers and nations are joined one after the other: the size of either is known, that of their join is only
+    guessed, and too high, so all writes would be shuffled for it. Price and promo follow from the write that is kept.
+    """
+    day = F.col("l_shipdate").cast("date")
+    lines = _table(spark, sf_dir, "lineitem")
+    lines = lines if as_of is None else lines.where(day <= F.lit(as_of).cast("date"))
+    supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("store_id"))
+    lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    lines = lines.select(
+        F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("store_id").cast("string")).alias("offer_id"),
+        F.col("l_partkey").alias("product_id"), "store_id", day.alias("captured_on"),
+        F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag").alias("w"),
+    )
+    key = ["offer_id", "product_id", "store_id", "captured_on"]
+    kept = (lines if buckets is None else lines.repartition(buckets, "offer_id")).groupBy(*key).agg(F.max("w").alias("w"))
+    return kept.select(*key, (F.floor(F.col("w.l_extendedprice") / F.col("w.l_quantity") * 100 + 0.5) / 100).alias("price"), (F.col("w.l_returnflag") == "R").alias("promo"))
+
+
+def star_views(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> Star:
+    """The domain tables as views of region, nation, supplier, part, lineitem and events: all days, or those up to as_of, as the tables stood then."""
+    snapshot = snapshots(spark, sf_dir, as_of)
+    return Star(*[f(spark, sf_dir) for f in (stores, countries, products, product_flavors)], offers_of(snapshot, as_of), snapshot, run_logs(spark, sf_dir))
 
 
 def offers_of(snapshot: DataFrame, as_of: str | None = None) -> DataFrame:
