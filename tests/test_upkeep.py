@@ -11,6 +11,9 @@ from shelfprice.operators import edits, enrichment, ingest, reports
 from shelfprice.sources.star import Star
 
 from .test_reports import SCHEMA as OFFER_SCHEMA
+from shelfprice.plans import upkeep
+from shelfprice.sources import stored
+from .conftest import SF
 
 ITEM = "store_id string, sku string, match_key string, in_stock boolean, place int, abv double, volume_ml int, type string, country_id int"
 STORED = "match_key string, abv double, volume_ml int, type string, country_id int, classified_at int, curated_at int"
@@ -135,3 +138,13 @@ def test_first_writes_keep_their_time(spark):
     day = date(2026, 7, 1)
     out = ingest.upsert_snapshots(frame(("a", day, 1.0, 5, 9)), frame(("a", day, 2.0, 1, 10), ("b", day, 3.0, 8, 2), ("b", day, 4.0, 7, 3)))
     assert rows(out.select("offer_id", "price", "created_at")) == [("a", 2.0, 5), ("b", 4.0, 8)]
+
+
+def test_the_page_beyond_the_last_is_beyond_it_at_any_size(spark, monkeypatch):
+    star = stored.stored_star(spark, SF)
+    vars(star)["product"] = star.product.crossJoin(spark.range(10_000).select("id")).drop("id")
+    asked, paged = [], upkeep.reports.paged
+    monkeypatch.setattr(upkeep, "stored_star", lambda *_: star)
+    monkeypatch.setattr(upkeep.reports, "paged", lambda *a, **k: asked.append(k["number"]) or paged(*a, **k))
+    upkeep.QUERIES["rep_page_total"](spark, SF)
+    assert asked[0] == 2 and (asked[1] - 1) * 50 > star.product.count() > 500_000
