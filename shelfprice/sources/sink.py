@@ -31,9 +31,9 @@ def stage(stored: DataFrame | None, batch: DataFrame, folder: str, part: Column,
 
 
 def swap(spark: SparkSession, folder: str, path: str, schema) -> None:
-    """Staged partitions take the place of the table's; others are not touched."""
+    """Staged partitions take the place of the table's; others are not touched. A partition that is too large for a task is written by several."""
     ready = spark.read.schema(schema).parquet(folder)
-    ready.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    ready.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def write_batch(batch: DataFrame, path: str, work: str, name: str, *, part: Column | None = None, order: str = "written_at") -> None:

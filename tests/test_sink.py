@@ -68,3 +68,17 @@ def test_a_later_write_of_an_earlier_time_does_not_win(table):
     put, read, _, _ = table
     put("late", ("a", 6, 1, 7.0, 0, 0))
     assert ("a", 6, 1, 2.0, 1) in read()
+
+
+def test_a_large_month_is_written_by_several_tasks(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    schema = spark.createDataFrame([], SCHEMA).schema.add("part", "date")
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("sha2(cast(id as string), 256) as offer_id", "date '2026-05-01' as captured_on", "rand(1) as price", "1 as created_at", "1 as written_at", "date '2026-05-01' as part")
+    rows.write.parquet(f"{path}/staged")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        sink.swap(spark, f"{path}/staged", f"{path}/table", schema)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(files(str(tmp_path / "table"))) > 1 and spark.read.parquet(f"{path}/table").count() == 200_000
