@@ -90,7 +90,26 @@ def resolve_offer(offer: DataFrame, wanted: str) -> DataFrame:
     return mine.unionByName(product).orderBy(*order).limit(1).select("offer_id", "product_id", "store_id")
 
 
+def named(rows: DataFrame, term: str) -> DataFrame:
+    """Rows whose name holds the term in any case."""
+    return rows.where(F.col("name").ilike(f"%{term}%"))
+
+
+def _best(offers: DataFrame, term: str) -> DataFrame:
+    return named(offers, term).orderBy(F.desc("in_stock"), F.desc("last_seen"), "offer_id").limit(1)
+
+
 def resolve_term(offers: DataFrame, term: str) -> DataFrame:
     """The best current offer whose name holds the term in any case: in stock first, then the one seen last."""
-    found = offers.where(F.col("name").ilike(f"%{term}%"))
-    return found.orderBy(F.desc("in_stock"), F.desc("last_seen"), "offer_id").limit(1).select("offer_id", "name", "in_stock", "last_seen")
+    return _best(offers, term).select("offer_id", "name", "in_stock", "last_seen")
+
+
+def term_history(star: Star, term: str, limit: int = 60) -> DataFrame:
+    """The price history of the offer that a term stands for.
+
+    Which offer that is follows from offers, products and stores, without their prices. It is a subquery, known
+    before snapshots are read, so that its product and id reach the scan.
+    """
+    offers = star.offer.join(star.product, "product_id").join(star.store, "store_id", "left_semi")
+    one = _best(offers, term).select(F.struct("product_id", "offer_id")).scalar()
+    return price_history(star.snapshot.where((F.col("product_id") == one["product_id"]) & (F.col("offer_id") == one["offer_id"])), limit)

@@ -332,7 +332,7 @@ def _(star):
 tail as (select *, row_number() over (partition by offer_id order by captured_on desc) as back from snapshot join one using (offer_id))
 select offer_id, row_number() over (partition by offer_id order by captured_on)::int as point, captured_on, price from tail where back <= 60""")
 def _(star):
-    return offers.price_history(star.snapshot.join(offers.resolve_term(_current(star), "red").select("offer_id"), "offer_id"))
+    return offers.term_history(star.of_products(offers.named(star.product, "red")), "red")
 
 
 @_query("fn_discount", _CURRENT_SQL + f"select offer_id, {_DISCOUNT.format(p='price', r='previous_price')} as discount from cur")

@@ -82,38 +82,53 @@ def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshots(spark: SparkSession, sf_dir: str, as_of: str | None = None, buckets: int | None = None) -> DataFrame:
-    """One row an offer and day, the last write's; with buckets, dealt to so many tasks by offer, in the one shuffle that also brings an offer's writes together.
+def writes(spark: SparkSession, sf_dir: str, as_of: str | None = None, product: DataFrame | None = None) -> DataFrame:
+    """One row a line, or a line of these products: its offer, product, store and day, and w, what it writes of them.
 
     Suppliers and nations are joined one after the other: the size of either is known, that of their join is only
-    guessed, and too high, so all writes would be shuffled for it. Price and promo follow from the write that is kept.
+    guessed, and too high, so all writes would be shuffled for it.
     """
-    day = F.col("l_shipdate").cast("date")
-    lines = _table(spark, sf_dir, "lineitem")
-    lines = lines if as_of is None else lines.where(day <= F.lit(as_of).cast("date"))
+    lines = _table(spark, sf_dir, "lineitem").withColumn("captured_on", F.col("l_shipdate").cast("date"))
+    lines = lines if as_of is None else lines.where(F.col("captured_on") <= F.lit(as_of).cast("date"))
+    lines = lines if product is None else lines.join(product, F.col("l_partkey") == F.col("product_id"), "left_semi")
     supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("store_id"))
     lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    lines = lines.select(
+    return lines.select(
         F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("store_id").cast("string")).alias("offer_id"),
-        F.col("l_partkey").alias("product_id"), "store_id", day.alias("captured_on"),
+        F.col("l_partkey").alias("product_id"), "store_id", "captured_on",
         F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag").alias("w"),
     )
+
+
+def snapshots_of(lines: DataFrame, buckets: int | None = None) -> DataFrame:
+    """One row an offer and day, the last write's; with buckets, dealt to so many tasks by offer, in the one shuffle that also brings an offer's writes together.
+
+    Price and promo follow from the write that is kept.
+    """
     key = ["offer_id", "product_id", "store_id", "captured_on"]
     kept = (lines if buckets is None else lines.repartition(buckets, "offer_id")).groupBy(*key).agg(F.max("w").alias("w"))
     return kept.select(*key, (F.floor(F.col("w.l_extendedprice") / F.col("w.l_quantity") * 100 + 0.5) / 100).alias("price"), (F.col("w.l_returnflag") == "R").alias("promo"))
 
 
+def snapshots(spark: SparkSession, sf_dir: str, as_of: str | None = None, buckets: int | None = None) -> DataFrame:
+    """The snapshots of all writes, or of those up to as_of."""
+    return snapshots_of(writes(spark, sf_dir, as_of), buckets)
+
+
 def star_views(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> Star:
     """The domain tables as views of region, nation, supplier, part, lineitem and events: all days, or those up to as_of, as the tables stood then."""
     snapshot = snapshots(spark, sf_dir, as_of)
     return Star(*[f(spark, sf_dir) for f in (stores, countries, products, product_flavors)], offers_of(snapshot, as_of), snapshot, run_logs(spark, sf_dir))
 
 
-def offers_of(snapshot: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Offers with their first and last day; in stock are those seen within a year before as_of, or the newest day of all."""
+def offers_of(snapshot: DataFrame, as_of: str | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Offers with their first and last day; in stock are those seen within a year before as_of, or the newest day of all.
+
+    days: captured_on of all, where snapshot has some offers alone.
+    """
     offer = snapshot.groupBy("offer_id", "product_id", "store_id").agg(F.min("captured_on").alias("first_seen"), F.max("captured_on").alias("last_seen"))
-    newest = snapshot.agg(F.max("captured_on").alias("newest")).scalar() if as_of is None else F.lit(as_of).cast("date")
+    newest = (snapshot if days is None else days).agg(F.max("captured_on").alias("newest")).scalar() if as_of is None else F.lit(as_of).cast("date")
     return offer.withColumn("in_stock", F.col("last_seen") >= F.date_sub(newest, STOCK_DAYS))
 
 
