@@ -100,33 +100,35 @@ class Scratch:
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+    """Connected components by pointer jumping along least neighbours.
 
     edges: (a, b), any orderable type. Returns (node, root), root the smallest node reachable, for each
-    node with an edge to another. Each round's minima are a table of their own, one row a node, so the join
-    back to the edges is of two plain tables, whose large partitions can be split: a node with very many
-    neighbours is no single group. Each round ends in a written table, and the one before it goes.
+    node with an edge to another: a written table. Each round finds m, the least of a node and its
+    neighbours. An edge (u, v), v below u, becomes (u, m(v)) if v is m(u), else (v, m(u)): what was connected
+    stays so, no round has more edges than the one before, and every edge sinks until it leads to a root.
+    Then the minima are the result, so no round is run to see that nothing changes. The minima are a table
+    of their own, one row a node, so the joins are of plain tables, whose large partitions can be split: a
+    node with very many neighbours is no single group. What a round has read goes once it is written.
     """
     now = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        # A star's edges lead from its centre: (u, v) with v above u goes to v, with the centre's least neighbour.
-        large = now.select(F.col("v").alias("c"), F.col("u").alias("far")).join(least, F.col("c") == least["u"]).select(F.col("far").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep(large)
-        floor = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, now = now, scratch.keep(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
-        scratch.drop(old, least, large, floor)
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
+        below, above = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), below.alias("below"), above.alias("above"))
+        least = scratch.keep(least.select("u", F.least("u", "m").alias("m"), (F.col("below") > 1).alias("forks"), ((F.col("below") > 0) & (F.col("above") > 0)).alias("between")))
+        forks, between = least.agg(F.bool_or("forks"), F.bool_or("between")).first()
+        if not forks and not between:
             break
-        before = after
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        jumped = least.where("m < u").select("u", F.col("m").alias("mid")).join(least.select(F.col("u").alias("mid"), F.col("m").alias("v")), "mid").select("u", "v")
+        if forks:
+            others = now.join(least.select("u", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            jumped = jumped.unionByName(others).distinct()
+        old, now = now, scratch.keep(jumped)
+        scratch.drop(old, least)
+    scratch.drop(now)
+    return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
 
 
 def local_groups(near: np.ndarray) -> np.ndarray:

@@ -311,17 +311,18 @@ def near_duplicates(
     links = scratch.keep(_verified(first, texts, size, percent))
 
     # Buckets whose other classes are still apart.
-    joined = scratch.keep(components(scratch, links))
+    joined = components(scratch, links)
     root_of = lambda key, root: joined.select(F.col("node").alias(key), F.col("root").alias(root))
     rest = members.join(root_of("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = scratch.keep(rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band"))
     rest = scratch.keep(rest.join(apart, "band").select("band", "centre", "key", "root", (F.col("n") - 1).alias("n")))
     few = rest.where(F.col("n") <= small).join(classes.select("key", "sig"), "key").select("band", "key", "root", "sig")
     second = scratch.keep(_small_buckets(few, least).join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(scratch.keep(_verified(second, texts, size, percent)))
-    many = rest.where(F.col("n") > small).select("centre", "key", "root").distinct()
+    # What the first links have joined are stars by now, so that few rounds are left.
+    links = joined.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(_verified(second, texts, size, percent))
+    many = rest.where(F.col("n") > small)
     if not many.isEmpty():
-        many = many.join(root_of("centre", "centre_root"), "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
+        many = many.select("centre", "key", "root").distinct().join(root_of("centre", "centre_root"), "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
         links = links.unionByName(scratch.keep(_families(scratch, scratch.keep(many), texts, size, percent, block)))
 
     grouped = components(scratch, links).withColumnRenamed("node", "key").join(classes.select("key", "who"), "key")
